@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import arrow, pursuit, vectors
+from ..shipping import ensure_shipped, map_batches
 from ..sources.models import Dictionary, load_dictionary
 from . import large
 
@@ -26,6 +27,7 @@ TERMS = "array<struct<atom_id:int,coef:double>>"
 
 def ship(signals: DataFrame, found: Dictionary):
     """The dictionary as a broadcast value, sent once per executor."""
+    ensure_shipped(signals.sparkSession)
     return signals.sparkSession.sparkContext.broadcast(found)
 
 
@@ -57,7 +59,7 @@ def best_atom(signals: DataFrame, atoms: DataFrame | Dictionary) -> DataFrame:
                 choice, corr = pursuit.strongest(rows, matrix, np.linalg.norm(rows, axis=1))
                 yield _code_batch(np.asarray(batch.column("signal_id")), ids[choice], corr)
 
-    return source.mapInArrow(search, CODES)
+    return source.transform(map_batches, search, CODES)
 
 
 def matching_pursuit(signals: DataFrame, atoms: DataFrame | Dictionary, rounds: int) -> DataFrame:
@@ -78,7 +80,7 @@ def matching_pursuit(signals: DataFrame, atoms: DataFrame | Dictionary, rounds:
                 row, atom = np.nonzero(dense)
                 yield _code_batch(np.asarray(batch.column("signal_id"))[row], ids[atom], dense[row, atom])
 
-    return source.mapInArrow(search, CODES)
+    return source.transform(map_batches, search, CODES)
 
 
 def omp(signals: DataFrame, atoms: DataFrame | Dictionary, tol: float | None = None,
@@ -104,7 +106,7 @@ def omp(signals: DataFrame, atoms: DataFrame | Dictionary, tol: float | None = N
             yield _code_batch(np.asarray(batch.column("signal_id"))[row], ids[result.picks[row, place]],
                               result.coefs[row, place])
 
-    return source.mapInArrow(search, CODES)
+    return source.transform(map_batches, search, CODES)
 
 
 def pursue(batches: Iterator[pa.RecordBatch], model: Dictionary, limit: int, tol: float | None):
@@ -129,7 +131,7 @@ def residual_curve(signals: DataFrame, found: Dictionary, depth: int) -> np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)],
                                              ["picks", "value"])
 
-    rows = signal_vectors(signals).mapInArrow(squares, "picks int, value double").groupBy("picks").agg(
+    rows = signal_vectors(signals).transform(map_batches, squares, "picks int, value double").groupBy("picks").agg(
         F.sum("value").alias("value")).orderBy("picks").collect()
     return np.sqrt(np.array([r["value"] for r in rows]))
 
@@ -195,8 +197,7 @@ def residual(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame
                 rows = arrow.dense_rows_or_zero(batch.column("vec"), matrix.shape[1]) - x @ matrix
                 yield pa.RecordBatch.from_arrays([batch.column("signal_id"), arrow.list_rows(rows)], ["signal_id", "vec"])
 
-    return attach_codes(signals.select("signal_id", "vec"), codes, how).mapInArrow(
-        subtract, "signal_id long, vec array<double>")
+    return attach_codes(signals.select("signal_id", "vec"), codes, how).transform(map_batches, subtract, "signal_id long, vec array<double>")
 
 
 def reconstruct(atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
@@ -214,7 +215,7 @@ def reconstruct(atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("signal_id"), arrow.list_rows(x @ matrix)],
                                                  ["signal_id", "vec"])
 
-    return grouped_codes(codes).mapInArrow(combine, "signal_id long, vec array<double>")
+    return grouped_codes(codes).transform(map_batches, combine, "signal_id long, vec array<double>")
 
 
 def relative_error(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
@@ -255,7 +256,7 @@ def refit(signals: DataFrame, atoms: DataFrame | Dictionary, support: DataFrame)
                     yield _code_batch(np.repeat(names[some], size), ids[picked].ravel(), coefs.ravel())
 
     joined = attach_codes(signals.select("signal_id", "vec"), chosen, "inner")
-    return joined.mapInArrow(solve, CODES).where("coef != 0")
+    return joined.transform(map_batches, solve, CODES).where("coef != 0")
 
 
 def codes_to_matrix(codes: DataFrame, n_atoms: int) -> DataFrame:

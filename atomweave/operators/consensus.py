@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import arrow, sums
 from ..session import cut_lineage
+from ..shipping import map_batches
 from ..sizing import check_row_width, join_model, model_bytes_limit, pinned
 from ..sources.models import Dictionary
 from .coding import attach_codes, ship
@@ -99,7 +100,7 @@ def _spread(nodes: DataFrame, atom: np.ndarray, dim: np.ndarray, value: np.ndarr
                     [pa.array(np.full(len(value), node, dtype=np.int64)), pa.array(atom), pa.array(dim), pa.array(value)],
                     ["node_id", "atom_id", "dim", "value"])
 
-    return nodes.select(F.col("node_id").cast("long").alias("node_id")).mapInArrow(copy, ESTIMATES)
+    return nodes.select(F.col("node_id").cast("long").alias("node_id")).transform(map_batches, copy, ESTIMATES)
 
 
 def consensus_correction(estimates: DataFrame, weights: DataFrame, first: int | None = None) -> DataFrame:
@@ -202,8 +203,7 @@ class SiteRows:
                     [batch.column("node_id"), batch.column("signal_id"), arrow.list_rows(residual), arrow.list_rows(x)],
                     ["node_id", "signal_id", "residual", "codes"])
 
-        self.rows = cut_lineage(source.mapInArrow(
-            rows, "node_id long, signal_id long, residual array<double>, codes array<double>"))
+        self.rows = cut_lineage(source.transform(map_batches, rows, "node_id long, signal_id long, residual array<double>, codes array<double>"))
 
     def step(self, estimates: DataFrame) -> DataFrame:
         shared = ship(estimates, self.found)
@@ -228,7 +228,7 @@ class SiteRows:
                             [pa.array(np.full(size, node)), pa.array(model.ids[k].astype(np.int32)), pa.array(dim),
                              pa.array(z.ravel())], ["node_id", "atom_id", "dim", "value"])
 
-        found = join_model(self.rows, packed, ["node_id"], "signal_id").mapInArrow(run, ESTIMATES)
+        found = join_model(self.rows, packed, ["node_id"], "signal_id").transform(map_batches, run, ESTIMATES)
         return found.groupBy("node_id", "atom_id", "dim").agg(F.sum("value").alias("value"))
 
 

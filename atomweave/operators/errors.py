@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import arrow, pursuit, sums
+from ..shipping import map_batches
 from ..sizing import SizeLimitError, join_model, model_bytes_limit
 from ..sources.models import Dictionary, load_dictionary, table_to_matrix
 from .coding import attach_codes, pursue, ship, signal_vectors
@@ -81,7 +82,7 @@ def sum_cells(source: DataFrame, coded: Coded, new_sums: Callable[[], object], p
         if whole is not None:
             yield sums.cell_batch(None, whole)
 
-    return source.mapInArrow(partial, sums.CELLS).groupBy("node_id", "part", "i", "j").agg(F.sum("value").alias("value"))
+    return source.transform(map_batches, partial, sums.CELLS).groupBy("node_id", "part", "i", "j").agg(F.sum("value").alias("value"))
 
 
 def collect_totals(cells: DataFrame, n_atoms: int, m: int) -> sums.Totals:
@@ -138,8 +139,7 @@ def atom_errors(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFr
                     [pa.array(np.tile(ids, len(errors))), pa.array(np.repeat(names[some], k)),
                      arrow.list_rows(errors.reshape(-1, m))], ["atom_id", "signal_id", "vec"])
 
-    return attach_codes(signals.select("signal_id", "vec"), codes).mapInArrow(
-        put_back, "atom_id int, signal_id long, vec array<double>")
+    return attach_codes(signals.select("signal_id", "vec"), codes).transform(map_batches, put_back, "atom_id int, signal_id long, vec array<double>")
 
 
 def site_errors(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def gramian_table(signals: DataFrame, found: Dictionary, totals: sums.Totals) ->
                     [pa.array(np.full(m * m, model.ids[k], dtype=np.int32)), pa.array(i), pa.array(j), pa.array(full.ravel())],
                     ["atom_id", "i", "j", "value"])
 
-    return per_atom(spark, found).mapInArrow(expand, "atom_id int, i int, j int, value double")
+    return per_atom(spark, found).transform(map_batches, expand, "atom_id int, i int, j int, value double")
 
 
 def per_atom(spark, found: Dictionary) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import arrow, pursuit, vectors
 from ..session import cut_lineage
+from ..shipping import map_batches
 from ..sizing import SizeLimitError, join_model, model_bytes_limit, table_bytes
 from ..sources.models import Dictionary, load_dictionary
 
@@ -49,7 +50,7 @@ def _search(state: DataFrame, blocks: AtomBlocks, exclude: bool) -> DataFrame:
         state = state.withColumn(name, F.lit(None).cast(kind))
     for block in blocks:
         model = state.sparkSession.sparkContext.broadcast(block)
-        state = cut_lineage(state.mapInArrow(_compare(model, exclude), state.schema))
+        state = cut_lineage(state.transform(map_batches, _compare(model, exclude), state.schema))
         model.unpersist()
     return state
 
@@ -144,7 +145,7 @@ def _rounds(source: DataFrame, blocks: AtomBlocks, limit: int, tol: float | None
             break
         found = _search(state, blocks, exclude=True)
         schema = state.schema
-        state = found.mapInArrow(_extend(blocks.width, r + 1, limit, tol), schema)
+        state = found.transform(map_batches, _extend(blocks.width, r + 1, limit, tol), schema)
     for part in done:
         state = state.unionByName(part)
     return state.select(*source.columns, "residual", "picks", "coefs")
@@ -245,4 +246,4 @@ def refit(source: DataFrame, atoms: DataFrame, chosen: DataFrame) -> DataFrame:
                     [one.column("signal_id"), one.column("picks"), arrow.list_rows(coefs[None])],
                     ["signal_id", "picks", "coefs"])
 
-    return rows.mapInArrow(solve, "signal_id long, picks array<int>, coefs array<double>")
+    return rows.transform(map_batches, solve, "signal_id long, picks array<int>, coefs array<double>")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import arrow, vectors
 from ..session import cached, cut_lineage
+from ..shipping import map_batches
 from ..sizing import check_row_width, join_model
 
 _CELL = "i int, j int, value double"
@@ -80,7 +81,7 @@ def from_entries(entries: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row_id"), arrow.list_rows(out.reshape(batch.num_rows, size))], ["row_id", "vec"])
 
-    return rows.mapInArrow(assemble, "row_id long, vec array<double>")
+    return rows.transform(map_batches, assemble, "row_id long, vec array<double>")
 
 
 def transpose(entries: DataFrame) -> DataFrame:
@@ -168,7 +169,7 @@ def gramian_upper(df: DataFrame, vec: str = "vec", weight: str | None = None) ->
                 [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "value"])
 
     packed = (F.col("i") + F.col("j") * (F.col("j") + 1) / 2).cast("long")
-    return source.mapInArrow(partial, _CELL).groupBy("i", "j").agg(F.sum("value").alias("value")).select(
+    return source.transform(map_batches, partial, _CELL).groupBy("i", "j").agg(F.sum("value").alias("value")).select(
         "i", "j", packed.alias("packed"), "value")
 
 
@@ -260,7 +261,7 @@ def tall_skinny_qr(df: DataFrame, key: str = "signal_id", vec: str = "vec",
         return pa.table({"part": part, "vec": arrow.list_rows(total)})
 
     schema = "part long, vec array<double>"
-    parts = cached(source.select(F.spark_partition_id().cast("long").alias("part"), "vec").mapInArrow(reduce_rows, schema))
+    parts = cached(source.select(F.spark_partition_id().cast("long").alias("part"), "vec").transform(map_batches, reduce_rows, schema))
     last = parts.agg(F.max("part").alias("p")).first()["p"]
     if last is None:
         raise ValueError("QR of an empty matrix")
@@ -285,7 +286,7 @@ def tall_skinny_qr(df: DataFrame, key: str = "signal_id", vec: str = "vec",
             rows = arrow.dense_rows(batch.column("vec"), width)
             yield pa.RecordBatch.from_arrays([batch.column(key), arrow.list_rows(rows @ inverse.value)], [key, "vec"])
 
-    q = source.mapInArrow(divide, f"{key} {source.schema[key].dataType.simpleString()}, vec array<double>")
+    q = source.transform(map_batches, divide, f"{key} {source.schema[key].dataType.simpleString()}, vec array<double>")
     i, j = np.triu_indices(width)
     cells = pa.table({"row_id": i.astype(np.int64), "col_id": j.astype(np.int32), "value": r[i, j]})
     return q, spark.createDataFrame(cells)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import arrow, sums
+from ..shipping import map_batches
 from ..sources.models import Dictionary, matrix_to_table
 from .coding import attach_codes, ship
 from .errors import (Coded, code_totals, coded_by_table, local_dictionary, per_atom, rr_fits, weight_matrix)
@@ -48,7 +49,7 @@ def leading_vectors(spark, found: Dictionary, totals: sums.Totals) -> DataFrame:
                 [pa.array(model.ids[keys].astype(np.int32)), pa.array(sigma), arrow.list_rows(vecs)],
                 ["atom_id", "sigma", "vec"])
 
-    return per_atom(spark, found).mapInArrow(solve, _LEADING)
+    return per_atom(spark, found).transform(map_batches, solve, _LEADING)
 
 
 def top_singular(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
@@ -86,8 +87,7 @@ def sigma_v(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame)
                 [pa.array(np.tile(ids, n)), pa.array(np.repeat(np.asarray(batch.column("signal_id")), len(ids))),
                  pa.array(np.tile(sigma, n)), pa.array(v.ravel())], ["atom_id", "signal_id", "sigma", "v"])
 
-    return attach_codes(signals.select("signal_id", "vec"), codes).mapInArrow(
-        project, "atom_id int, signal_id long, sigma double, v double")
+    return attach_codes(signals.select("signal_id", "vec"), codes).transform(map_batches, project, "atom_id int, signal_id long, sigma double, v double")
 
 
 def update_codes(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def power_steps(spark, found: Dictionary, totals: sums.Totals, q: np.ndarray, ro
             yield pa.RecordBatch.from_arrays([pa.array(model.ids[keys].astype(np.int32)), arrow.list_rows(vecs)],
                                              ["atom_id", "atom"])
 
-    return per_atom(spark, found).mapInArrow(run, "atom_id int, atom array<double>")
+    return per_atom(spark, found).transform(map_batches, run, "atom_id int, atom array<double>")
 
 
 def power_passes(source: DataFrame, found: Dictionary, coded: Coded, q: np.ndarray, rounds: int,
@@ -155,7 +155,7 @@ def power_passes(source: DataFrame, found: Dictionary, coded: Coded, q: np.ndarr
                     [pa.array(k.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(total.ravel())],
                     ["k", "j", "value"])
 
-        rows = source.mapInArrow(partial, "k int, j int, value double").groupBy("k", "j").agg(
+        rows = source.transform(map_batches, partial, "k int, j int, value double").groupBy("k", "j").agg(
             F.sum("value").alias("value")).toArrow()
         z = np.zeros_like(q)
         z[np.asarray(rows["k"]), np.asarray(rows["j"])] = np.asarray(rows["value"])

@@ -84,8 +84,8 @@ def table_to_matrix(df: DataFrame, key: str = "row_id", vec: str = "vec") -> np.
 
 
 # Fixed values of the formula dictionary: cell (k, j) is
-# ((7919 k + 104729 j + 31 k j + 17) mod 1009 + 1) / 1010 before scaling to unit length.
-FORMULA = {"k": 7919, "j": 104729, "kj": 31, "shift": 17, "modulus": 1009}
+# ((37 k + 101 j + 11)^3 mod 1009 + 1) / 1010 before scaling to unit length.
+FORMULA = {"k": 37, "j": 101, "shift": 11, "modulus": 1009}
 
 
 def init_dictionary(spark: SparkSession, m: int, n_atoms: int | None = None, seed: int = 0, init: str = "random",
@@ -109,8 +109,8 @@ def init_dictionary(spark: SparkSession, m: int, n_atoms: int | None = None, see
         cell = lambda j: F.pmod(F.xxhash64(F.lit(seed), atom, j), F.lit(1 << 53)).cast("double") / float(1 << 53)
     elif init == "formula":
         c = FORMULA
-        cell = lambda j: ((atom * c["k"] + j * c["j"] + atom * j * c["kj"] + c["shift"]) % c["modulus"] + 1).cast(
-            "double") / (c["modulus"] + 1)
+        base = lambda j: (atom * c["k"] + j * c["j"] + c["shift"]) % c["modulus"]
+        cell = lambda j: (base(j) * base(j) * base(j) % c["modulus"] + 1).cast("double") / (c["modulus"] + 1)
     else:
         raise ValueError("init is 'random', 'formula' or 'first_k'")
     cells = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: cell(j.cast("long")))
