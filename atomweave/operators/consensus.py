@@ -35,9 +35,10 @@ def metropolis_weights(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     given = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src != dst")
     both = given.unionByName(given.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    degree, small = pinned(degree)
+    other = degree.select(F.col("src").alias("dst"), F.col("deg").alias("deg_dst"))
     off = (
-        both.join(degree, "src")
-        .join(degree.select(F.col("src").alias("dst"), F.col("deg").alias("deg_dst")), "dst")
+        join_model(join_model(both, degree, ["src"], "dst", measured=small), other, ["dst"], "src", measured=small)
         .select("src", "dst", (1.0 / (F.greatest("deg", "deg_dst") + 1)).alias("w"))
     )
     sums_of_rows = off.select("src", "w")
@@ -64,23 +65,29 @@ def assign_sites(signals: DataFrame, column: str | None = None) -> DataFrame:
 
 # --- exchange of estimates -----------------------------------------------------------------
 
-def consensus_mix(estimates: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def consensus_mix(estimates: DataFrame, weights: DataFrame | None = None, measured: bool = False) -> DataFrame:
     """Every node's estimate replaced by the weighted sum over its neighbours.
 
-    Without weights all nodes count alike: one mean, given to each node.
+    Without weights all nodes count alike: one mean, given to each node. The columns besides
+    ``node_id`` and ``value`` say which cell a value belongs to.
     """
+    cell = _cell_columns(estimates)
     if weights is None:
         nodes, _ = pinned(estimates.select("node_id").distinct())
         return spread_to_nodes(nodes, node_mean(estimates, nodes.count()))
     w = weights.where("w != 0").select(F.col("src").alias("node_id"), F.col("dst").alias("to"), "w")
     return (
-        join_model(estimates, w, ["node_id"], "dim")
-        .groupBy(F.col("to").alias("node_id"), "atom_id", "dim").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+        join_model(estimates, w, ["node_id"], cell[-1], measured=measured)
+        .groupBy(F.col("to").alias("node_id"), *cell).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
     )
 
 
+def _cell_columns(estimates: DataFrame) -> list[str]:
+    return [c for c in estimates.columns if c not in ("node_id", "value")]
+
+
 def node_mean(estimates: DataFrame, n_nodes: int) -> DataFrame:
-    return estimates.groupBy("atom_id", "dim").agg((F.sum("value") / n_nodes).alias("value"))
+    return estimates.groupBy(*_cell_columns(estimates)).agg((F.sum("value") / n_nodes).alias("value"))
 
 
 def spread_to_nodes(nodes: DataFrame, model: DataFrame) -> DataFrame:
@@ -116,11 +123,11 @@ def consensus_correction(estimates: DataFrame, weights: DataFrame, first: int |
     return join_model(estimates, towards, ["node_id"], "dim", "left").select("node_id", "atom_id", "dim", value.alias("value"))
 
 
-def normalize_estimates(estimates: DataFrame, keys: tuple[str, ...] = ("node_id", "atom_id")) -> DataFrame:
+def normalize_estimates(estimates: DataFrame) -> DataFrame:
     """Every node's atoms at unit length; zero atoms stay zero."""
-    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*keys)))
+    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("node_id", "atom_id")))
     value = F.when(F.col("length") > 0, F.col("value") / F.col("length")).otherwise(F.col("value"))
-    return estimates.withColumn("length", length).select(*keys, "dim", value.alias("value"))
+    return estimates.withColumn("length", length).select("node_id", "atom_id", "dim", value.alias("value"))
 
 
 def node_estimate(estimates: DataFrame, node_id: int | None = None) -> DataFrame:
@@ -130,60 +137,98 @@ def node_estimate(estimates: DataFrame, node_id: int | None = None) -> DataFrame
     return estimates.where(F.col("node_id") == node_id).select("atom_id", "dim", "value")
 
 
-def start_estimates(nodes: DataFrame, start: Dictionary) -> DataFrame:
-    """The same unit vectors at every node."""
-    k, dim = (x.ravel() for x in np.indices(start.matrix.shape))
-    return _spread(nodes, start.ids[k], dim, sums.unit_rows(start.matrix).ravel())
+# --- power steps at the sites ------------------------------------------------------------
+#
+# Inside the rounds a node's estimate is one row (node_id, q), the K by m values in a flat list,
+# or a single local matrix while all nodes agree. A step gives cells (node_id, pos, value).
 
+_CELLS = "node_id long, pos int, value double"
+
+
+def _cell_batch(node: int, z: np.ndarray) -> pa.RecordBatch:
+    flat = z.ravel()
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(flat), node, dtype=np.int64)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)],
+        ["node_id", "pos", "value"])
+
+
+def _pack(cells: DataFrame) -> DataFrame:
+    """Cells of every node put together, at most K by m to a row."""
+    rows = cells.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("c"))
+    return rows.select("node_id", F.transform("c", lambda c: c["value"]).alias("q"))
 
-# --- power steps at the sites ------------------------------------------------------------
 
-def _estimate_matrix(table: pa.Table, position: dict[int, int] | None, shape: tuple[int, int]) -> np.ndarray:
-    atom = np.asarray(table["atom_id"]).astype(np.int64)
-    if position is not None:
-        atom = np.array([position[int(a)] for a in atom], dtype=np.int64)
-    q = np.zeros(shape)
-    q[atom, np.asarray(table["dim"])] = np.asarray(table["value"])
-    return q
+def _unit_atoms(packed: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = arrow.dense_rows(batch.column("q"), shape[0] * shape[1])
+            rows = sums.unit_rows(q.reshape(-1, shape[1])).reshape(q.shape)
+            yield pa.RecordBatch.from_arrays([batch.column("node_id"), arrow.list_rows(rows)], ["node_id", "q"])
+
+    return packed.transform(map_batches, run, "node_id long, q array<double>")
+
+
+def _local_matrix(cells: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    rows = cells.select("pos", "value").toArrow()
+    flat = np.zeros(shape[0] * shape[1])
+    flat[np.asarray(rows["pos"])] = np.asarray(rows["value"])
+    return flat.reshape(shape)
 
 
 class SiteSums:
-    """Sites known by their sums: a step joins one set of sums and one estimate per node."""
+    """Sites known by their sums: one row per node holds all a step needs."""
 
     def __init__(self, source: DataFrame, coded: Coded, found: Dictionary):
         self.found = found
         k, m, with_xx = found.n_atoms, found.width, xx_fits(found.n_atoms)
-        cells = cut_lineage(sum_cells(source, coded, lambda: sums.ErrorSums(k, m, False, with_xx),
-                                      lambda: sums.ErrorSums(k, m)))
-        self.overall = collect_totals(cells, k, m)
-        self.cells = cells.where("node_id is not null")
+        self.cells = cut_lineage(sum_cells(source, coded, lambda: sums.ErrorSums(k, m, False, with_xx),
+                                           lambda: sums.ErrorSums(k, m)))
+        self.overall = collect_totals(self.cells, k, m)
+        self.used = np.arange(k)
+        self.rows: DataFrame | None = None
 
     def keep(self, used: np.ndarray, coding: Dictionary) -> None:
-        """Drop unused atoms: their sums go, the others take their new numbers."""
+        """Leave out unused atoms; the others take their new numbers."""
         self.overall.keep(used)
-        if len(used) < self.found.n_atoms:
-            number = F.create_map(*[F.lit(int(x)) for pair in zip(used, range(len(used))) for x in pair])
-            by_atom = F.col("part").isin(sums.RX, sums.ENERGY, sums.USAGE)
-            self.cells = self.cells.where(~by_atom | F.col("i").isin([int(u) for u in used])).withColumn(
-                "i", F.when(by_atom, F.try_element_at(number, "i")).otherwise(F.col("i")))
-        self.found = coding
+        self.used, self.found = used, coding
+
+    def _packed_sums(self) -> DataFrame:
+        n_before, used, m = self.found.n_atoms, self.used, self.found.width
+        n_before = int(max(n_before, used.max(initial=-1) + 1))
+
+        def pack(table: pa.Table) -> pa.Table:
+            part, i, j, value = (np.asarray(table[c]) for c in ("part", "i", "j", "value"))
+            totals = sums.Totals(n_before, m, part, i, j, value)
+            totals.keep(used)
+            return pa.table({"node_id": table["node_id"].slice(0, 1), "rr": arrow.list_rows(totals.rr.reshape(1, -1)),
+                             "rx": arrow.list_rows(totals.rx.reshape(1, -1)), "energy": arrow.list_rows(totals.energy[None])})
+
+        sites = self.cells.where("node_id is not null")
+        return cut_lineage(sites.groupBy("node_id").applyInArrow(
+            pack, "node_id long, rr array<double>, rx array<double>, energy array<double>"))
+
+    def step(self, estimate: np.ndarray | DataFrame, measured: bool) -> DataFrame:
+        if self.rows is None:
+            self.rows = self._packed_sums()
+        shared = ship(self.rows, self.found)
+        k, m = self.found.matrix.shape
+        common = self.rows.sparkSession.sparkContext.broadcast(estimate) if isinstance(estimate, np.ndarray) else None
+        source = self.rows if common is not None else join_model(self.rows, estimate, ["node_id"], "node_id", measured=measured)
 
-    def step(self, estimates: DataFrame) -> DataFrame:
-        shared = ship(estimates, self.found)
-
-        def run(known: pa.Table, now: pa.Table) -> pa.Table:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared.value
-            shape = model.matrix.shape
-            part, i, j, value = (np.asarray(known[c]) for c in ("part", "i", "j", "value"))
-            totals = sums.Totals(*shape, part, i, j, value)
-            q = _estimate_matrix(now, model.position(), shape)
-            z = sums.power_step(totals.rr, totals.rx, totals.energy, model.matrix, q)
-            k, dim = (x.ravel() for x in np.indices(shape))
-            node = (known if known.num_rows else now)["node_id"][0].as_py()
-            return pa.table({"node_id": np.full(len(k), node, dtype=np.int64), "atom_id": model.ids[k].astype(np.int32),
-                             "dim": dim.astype(np.int32), "value": z.ravel()})
+            for whole in batches:
+                for batch in arrow.slices(whole, arrow.rows_within(8 * (m * m + 2 * k * m))):
+                    nodes = np.asarray(batch.column("node_id"))
+                    rr = arrow.dense_rows(batch.column("rr"), m * m).reshape(-1, m, m)
+                    rx = arrow.dense_rows(batch.column("rx"), k * m).reshape(-1, k, m)
+                    energy = arrow.dense_rows(batch.column("energy"), k)
+                    q = None if common is not None else arrow.dense_rows(batch.column("q"), k * m).reshape(-1, k, m)
+                    for row, node in enumerate(nodes):
+                        now = common.value if q is None else q[row]
+                        yield _cell_batch(node, sums.power_step(rr[row], rx[row], energy[row], model.matrix, now))
 
-        return self.cells.groupBy("node_id").cogroup(estimates.groupBy("node_id")).applyInArrow(run, ESTIMATES)
+        return source.transform(map_batches, run, _CELLS)
 
 
 class SiteRows:
@@ -203,33 +248,31 @@ class SiteRows:
                     [batch.column("node_id"), batch.column("signal_id"), arrow.list_rows(residual), arrow.list_rows(x)],
                     ["node_id", "signal_id", "residual", "codes"])
 
-        self.rows = cut_lineage(source.transform(map_batches, rows, "node_id long, signal_id long, residual array<double>, codes array<double>"))
+        self.rows = cut_lineage(source.transform(map_batches, rows,
+            "node_id long, signal_id long, residual array<double>, codes array<double>"))
 
-    def step(self, estimates: DataFrame) -> DataFrame:
-        shared = ship(estimates, self.found)
-        size = self.found.n_atoms * self.found.width
-        shape = self.found.matrix.shape
-        packed = estimates.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("atom_id", "dim", "value"))).alias("c"))
-        packed = packed.select("node_id", F.transform("c", lambda c: c["value"]).alias("q"))
+    def step(self, estimate: np.ndarray | DataFrame, measured: bool) -> DataFrame:
+        shared = ship(self.rows, self.found)
+        k, m = self.found.matrix.shape
+        common = self.rows.sparkSession.sparkContext.broadcast(estimate) if isinstance(estimate, np.ndarray) else None
+        source = self.rows if common is not None else join_model(self.rows, estimate, ["node_id"], "signal_id", measured=measured)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared.value
-            k, dim = (x.ravel().astype(np.int32) for x in np.indices(shape))
             for whole in batches:
-                for batch in arrow.slices(whole, arrow.rows_within(24 * size)):
+                for batch in arrow.slices(whole, arrow.rows_within(24 * k * m)):
                     nodes = np.asarray(batch.column("node_id"))
-                    residual = arrow.dense_rows(batch.column("residual"), shape[1])
-                    x = arrow.dense_rows(batch.column("codes"), shape[0])
-                    q = arrow.dense_rows(batch.column("q"), size)
-                    for node in np.unique(nodes):
-                        mine = np.nonzero(nodes == node)[0]
-                        z = sums.power_step_of_rows(residual[mine], x[mine], model.matrix, q[mine[0]].reshape(shape))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(size, node)), pa.array(model.ids[k].astype(np.int32)), pa.array(dim),
-                             pa.array(z.ravel())], ["node_id", "atom_id", "dim", "value"])
+                    residual = arrow.dense_rows(batch.column("residual"), m)
+                    x = arrow.dense_rows(batch.column("codes"), k)
+                    q = None if common is not None else arrow.dense_rows(batch.column("q"), k * m)
+                    order = np.argsort(nodes, kind="stable")
+                    starts = np.nonzero(np.diff(nodes[order], prepend=nodes[order[0]] - 1))[0]
+                    for mine in np.split(order, starts[1:]):
+                        now = common.value if q is None else q[mine[0]].reshape(k, m)
+                        yield _cell_batch(nodes[mine[0]], sums.power_step_of_rows(residual[mine], x[mine], model.matrix, now))
 
-        found = join_model(self.rows, packed, ["node_id"], "signal_id").transform(map_batches, run, ESTIMATES)
-        return found.groupBy("node_id", "atom_id", "dim").agg(F.sum("value").alias("value"))
+        found = source.transform(map_batches, run, _CELLS)
+        return found.groupBy("node_id", "pos").agg(F.sum("value").alias("value"))
 
 
 def count_nodes(source: DataFrame) -> int:
@@ -242,26 +285,36 @@ def sums_suit(spark, found: Dictionary, n_nodes: int) -> bool:
     return rr_fits(spark, found.width) and 8 * cells * n_nodes <= 4 * model_bytes_limit(spark)
 
 
-def run_rounds(at_sites: SiteSums | SiteRows, nodes: DataFrame, start: Dictionary, power_rounds: int,
+def run_rounds(at_sites: SiteSums | SiteRows, nodes: DataFrame, start: np.ndarray, power_rounds: int,
                mix_rounds: int, weights: DataFrame | None, mix: str) -> DataFrame:
     """Estimates of all nodes after the power rounds; see :func:`consensus_update`."""
     if mix not in ("before", "after"):
         raise ValueError("mix is 'before' or 'after'")
-    power = None if weights is None else cut_lineage(matrix_power(weights, mix_rounds))
+    shape = start.shape
+    power, small_power = (None, False) if weights is None else pinned(matrix_power(weights, mix_rounds))
     n_nodes = nodes.count() if weights is None else 0
-    estimates = start_estimates(nodes, start)
+    estimate, small = sums.unit_rows(start), False
     for _ in range(power_rounds):
-        z = at_sites.step(estimates)
+        z = at_sites.step(estimate, small)
         if mix == "after":
-            z = normalize_estimates(z)
-        if power is not None:
-            mixed = consensus_mix(z, power)
-            estimates = cut_lineage(mixed if mix == "after" else normalize_estimates(mixed))
+            by_atom = Window.partitionBy("node_id", F.expr(f"pos div {shape[1]}"))
+            length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(by_atom))
+            z = z.withColumn("length", length).select(
+                "node_id", "pos", F.when(F.col("length") > 0, F.col("value") / F.col("length")).otherwise(F.col("value")).alias("value"))
+        if power is None:
+            # one mean, the size of the dictionary, serves all nodes
+            estimate = _local_matrix(node_mean(z, n_nodes), shape)
+            estimate = estimate if mix == "after" else sums.unit_rows(estimate)
         else:
-            # all nodes agree after one mean, which is the size of the dictionary
-            mean = node_mean(z, n_nodes)
-            estimates = spread_to_nodes(nodes, mean if mix == "after" else normalize_estimates(mean, ("atom_id",)))
-    return normalize_estimates(estimates) if mix == "after" else estimates
+            packed = _pack(consensus_mix(z, power, measured=small_power))
+            estimate, small = pinned(packed if mix == "after" else _unit_atoms(packed, shape))
+    if isinstance(estimate, np.ndarray):
+        k, dim = (x.ravel() for x in np.indices(shape))
+        return _spread(nodes, at_sites.found.ids[k], dim, sums.unit_rows(estimate).ravel())
+    ids = F.lit([int(a) for a in at_sites.found.ids])
+    return _unit_atoms(estimate, shape).select("node_id", F.posexplode("q").alias("pos", "value")).select(
+        "node_id", F.element_at(ids, F.expr(f"pos div {shape[1]}").cast("int") + 1).cast("int").alias("atom_id"),
+        (F.col("pos") % shape[1]).alias("dim"), "value")
 
 
 def consensus_update(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame, power_rounds: int,
@@ -281,7 +334,7 @@ def consensus_update(signals: DataFrame, atoms: DataFrame | Dictionary, codes: D
     if sites == "auto":
         sites = "sums" if sums_suit(signals.sparkSession, found, count_nodes(signals)) else "rows"
     at_sites = (SiteSums if sites == "sums" else SiteRows)(source, coded_by_table(ship(signals, found)), found)
-    return run_rounds(at_sites, signals.select("node_id").distinct(), first, power_rounds, mix_rounds, weights, mix)
+    return run_rounds(at_sites, signals.select("node_id").distinct(), first.matrix, power_rounds, mix_rounds, weights, mix)
 
 
 def estimate_to_atoms(estimate: DataFrame, width: int) -> DataFrame:

@@ -97,7 +97,8 @@ def rr_fits(spark, m: int) -> bool:
 
 
 def xx_fits(n_atoms: int) -> bool:
-    return n_atoms <= 2048
+    """Whether the K by K sums are worth handing on from every task (they only serve the report)."""
+    return n_atoms <= 256
 
 
 def pursuit_totals(signals: DataFrame, found: Dictionary, limit: int, tol: float | None,

@@ -24,33 +24,21 @@ _CELL = "i int, j int, value double"
 # --- keys and layout -------------------------------------------------------------------
 
 def with_row_index(df: DataFrame, order_by: str | None = None, name: str = "row_index") -> DataFrame:
-    """A dense 0-based key.
+    """A dense 0-based key: the place in partition order, or the rank by ``order_by``.
 
-    With ``order_by`` (a unique numeric column) the key is the rank: rows are cut into
-    value ranges, ranked inside their range, and shifted by the rows of the ranges before
-    it. Without it the key is the place in partition order of a written copy, which a lost
-    executor cannot change.
+    Rows are written once (range-partitioned and sorted for a rank), so that the place of a
+    row is fixed even if executors are lost; partition sizes then give the shift of each part.
     """
-    if order_by is None:
-        fixed = cut_lineage(df).withColumn("_seq", F.monotonically_increasing_id())
-        part = F.shiftright("_seq", 33)
-        place = F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1))
-        numbered = fixed.withColumn("_part", part).withColumn("_place", place)
-    else:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cuts = df.agg(F.percentile_approx(order_by, [k / n for k in range(1, n)], 10_000).alias("q")).first()["q"]
-        bucket = F.lit(0)
-        for cut in sorted(set(cuts or [])):
-            bucket = bucket + F.when(F.col(order_by) > cut, 1).otherwise(0)
-        inside = Window.partitionBy("_part").orderBy(order_by)
-        numbered = df.withColumn("_part", bucket.cast("long")).withColumn(
-            "_place", (F.row_number().over(inside) - 1).cast("long"))
+    if order_by is not None:
+        df = df.repartitionByRange(order_by).sortWithinPartitions(order_by)
+    place = F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1))  # partition number above, row number below
+    numbered = cut_lineage(df).withColumn("_seq", F.monotonically_increasing_id()).withColumns(
+        {"_part": F.shiftright("_seq", 33), "_place": place})
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select(
         "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    keep = [F.col(c) for c in df.columns]
     return join_model(numbered, sizes, ["_part"], "_place").select(
-        *keep, (F.col("_base") + F.col("_place")).cast("long").alias(name))
+        *df.columns, (F.col("_base") + F.col("_place")).cast("long").alias(name))
 
 
 def to_entries(df: DataFrame, key: str = "signal_id", vec: str = "vec") -> DataFrame:
@@ -191,16 +179,15 @@ def gramian_of_entries(entries: DataFrame, n_cols: int) -> DataFrame:
 def gramian_times(entries: DataFrame, v: DataFrame) -> DataFrame:
     """A'(A v) without forming A'A; ``v`` is ``(col_id, value)``, so is the result.
 
-    A row's product with v is a window over that row, so the cells move once.
+    Rows' products with v are summed before they are shuffled and meet the row's cells again
+    in an inner join, which splits a row that holds very many cells.
     """
     factor = v.select("col_id", F.col("value").alias("f"))
-    by_row = Window.partitionBy("row_id")
-    along = F.sum(F.col("value") * F.coalesce("f", F.lit(0.0))).over(by_row)
-    return (
-        join_model(entries, factor, ["col_id"], "row_id", "left")
-        .withColumn("along", along)
-        .groupBy("col_id").agg(F.sum(F.col("value") * F.col("along")).alias("value"))
+    along = (
+        join_model(entries, factor, ["col_id"], "row_id")
+        .groupBy("row_id").agg(F.sum(F.col("value") * F.col("f")).alias("along"))
     )
+    return entries.join(along, "row_id").groupBy("col_id").agg(F.sum(F.col("value") * F.col("along")).alias("value"))
 
 
 def outer_product(left: DataFrame, right: DataFrame, key: str = "key") -> DataFrame:

@@ -121,7 +121,7 @@ def fit_dictionary(signals: DataFrame, iterations: int, method: str = "svd", tol
                 if at_sites is None:
                     at_sites = consensus.SiteRows(source, coded_by_pursuit(ship(source, coding), limit, local_tol), coding)
                 q = _start_vectors(spark, start, coding, seed)
-                estimates = consensus.run_rounds(at_sites, nodes, q, power_rounds, consensus_rounds, weights, mix)
+                estimates = consensus.run_rounds(at_sites, nodes, q.matrix, power_rounds, consensus_rounds, weights, mix)
                 found = _agreed(estimates, coding, node_id)
             after = _updated_error(totals, coding.matrix, found.matrix)
             norm = float(np.sqrt(totals.r_square))

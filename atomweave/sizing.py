@@ -68,16 +68,19 @@ def pinned(small: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]
 
 
 def join_model(big: DataFrame, small: DataFrame, on: list[str], spread_by: str, how: str = "inner",
-               salts: int | None = None) -> DataFrame:
+               salts: int | None = None, measured: bool = False) -> DataFrame:
     """Join a large table to a model-sized one whose keys may be badly skewed.
 
     The model side is broadcast when its measured size is within the limit. Past
     the limit it is copied ``salts`` times and the large side is spread over the
     copies by ``spread_by``, so that one hot key is shared by ``salts`` tasks.
+    ``measured`` says that the model side was found within the limit before.
     """
     if how not in ("inner", "left"):
         raise ValueError("join_model keeps every copy on the model side, so only inner and left joins are exact")
-    small, is_small = pinned(small)
+    is_small = measured
+    if not measured:
+        small, is_small = pinned(small)
     if is_small:
         return big.join(F.broadcast(small), on, how)
     if salts is None:

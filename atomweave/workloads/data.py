@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import vectors
 from ..operators.coding import signal_vectors
@@ -74,11 +74,12 @@ def centroid_dictionary(spark: SparkSession, sf_dir: str) -> Dictionary:
     return load_dictionary(centroids(embeddings(spark, sf_dir)))
 
 
-def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations of one region, each pair once (regions are few and small)."""
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"), "n_regionkey")
-    other = nation.select(F.col("n").alias("dst"), "n_regionkey")
-    return nation.join(other, "n_regionkey").where("n < dst").select(F.col("n").alias("src"), "dst")
+def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of successive lines of an order."""
+    lines = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    pairs = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(lines).alias("dst"))
+    return pairs.where("dst is not null")
 
 
 def ring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import coding, consensus, errors, matrix, update
 from ..plans.fit import fit_dictionary
 from .coded import _CENTROID_CODES, centroid_codes
-from .data import (centroid_dictionary, embeddings, event_signals, formula_dictionary, region_edges, ring, rounded, table)
-from .oracles import (CENTROIDS, EMB, EVENTS, REGION_EDGES, RING, codes, formula, gramians, in_step, leading, metropolis,
+from .data import (centroid_dictionary, embeddings, event_signals, formula_dictionary, supply_edges, ring, rounded, table)
+from .oracles import (CENTROIDS, EMB, EVENTS, SUPPLY_EDGES, RING, codes, formula, gramians, in_step, leading, metropolis,
                       power_of, pruned, pursuit, query, r6, residual_and_errors, site_power, unit)
 from .registry import registered
 
@@ -144,9 +144,9 @@ def dimension_update(spark, sf_dir):
 
 # --- topology and consensus --------------------------------------------------------------
 
-@registered(query(REGION_EDGES + metropolis("edges"), f"SELECT src, dst, {r6('w', 'w')} FROM w"))
-def metropolis_region_weights(spark, sf_dir):
-    return consensus.metropolis_weights(region_edges(spark, sf_dir)).withColumn("w", rounded(F.col("w")))
+@registered(query(SUPPLY_EDGES + metropolis("edges"), f"SELECT src, dst, {r6('w', 'w')} FROM w"))
+def metropolis_supply_weights(spark, sf_dir):
+    return consensus.metropolis_weights(supply_edges(spark, sf_dir)).withColumn("w", rounded(F.col("w")))
 
 
 @registered("""WITH n AS (SELECT DISTINCT label::BIGINT AS l FROM embeddings) SELECT a.l AS src, b.l AS dst,

@@ -162,8 +162,8 @@ def metropolis(edges: str, name: str = "w") -> Steps:
     ]
 
 
-REGION_EDGES: Steps = [("edges", """SELECT a.n_nationkey::BIGINT AS src, b.n_nationkey::BIGINT AS dst FROM nation a
-  JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""")]
+SUPPLY_EDGES: Steps = [("edges", """SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src,
+  lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE src != dst""")]
 RING: Steps = [("labels_in_order", "SELECT DISTINCT label::BIGINT AS l FROM embeddings"),
                ("edges", """SELECT l AS src, coalesce(lead(l) OVER (ORDER BY l), (SELECT min(l) FROM labels_in_order)) AS dst
                  FROM labels_in_order""")]
