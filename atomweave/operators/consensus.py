@@ -7,6 +7,7 @@ Edges are ``(src LONG, dst LONG)``, weights ``(src, dst, w)``, estimates
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from ..shipping import map_batches
 from ..sizing import check_row_width, join_model, model_bytes_limit, pinned
 from ..sources.models import Dictionary
 from .coding import attach_codes, ship
-from .errors import Coded, coded_by_table, collect_totals, local_dictionary, rr_fits, sum_cells, xx_fits
+from .errors import Coded, coded_by_table, local_dictionary, rr_fits, sum_cells, xx_fits
 from .matrix import matrix_power
 
 ESTIMATES = "node_id long, atom_id int, dim int, value double"
@@ -33,7 +34,7 @@ def metropolis_weights(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     (column ``node_id``) adds nodes without edges, whose own weight is 1.
     """
     given = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src != dst")
-    both = given.unionByName(given.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = cut_lineage(given.unionByName(given.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     degree, small = pinned(degree)
     other = degree.select(F.col("src").alias("dst"), F.col("deg").alias("deg_dst"))
@@ -176,42 +177,52 @@ def _local_matrix(cells: DataFrame, shape: tuple[int, int]) -> np.ndarray:
 
 
 class SiteSums:
-    """Sites known by their sums: one row per node holds all a step needs."""
+    """Sites known by their sums: one row per node holds all a step needs.
+
+    A further row, of the null node, holds the sums over everything.
+    """
 
     def __init__(self, source: DataFrame, coded: Coded, found: Dictionary):
         self.found = found
         k, m, with_xx = found.n_atoms, found.width, xx_fits(found.n_atoms)
-        self.cells = cut_lineage(sum_cells(source, coded, lambda: sums.ErrorSums(k, m, False, with_xx),
-                                           lambda: sums.ErrorSums(k, m)))
-        self.overall = collect_totals(self.cells, k, m)
+
+        def pack(table: pa.Table) -> pa.Table:
+            part, i, j, value = (np.asarray(table[c]) for c in ("part", "i", "j", "value"))
+            totals = sums.Totals(k, m, part, i, j, value)
+            fields = {"rr": totals.rr, "rx": totals.rx, "energy": totals.energy, "usage": totals.usage,
+                      "totals": np.array([totals.y_square, totals.r_square, totals.n_signals]),
+                      "xx": np.zeros(0) if totals.xx is None else totals.xx}
+            return pa.table({"node_id": table["node_id"].slice(0, 1),
+                             **{name: arrow.list_rows(v.reshape(1, -1)) for name, v in fields.items()}})
+
+        cells = sum_cells(source, coded, lambda: sums.ErrorSums(k, m, False, with_xx), lambda: sums.ErrorSums(k, m))
+        packed = cut_lineage(cells.groupBy("node_id").applyInArrow(pack, "node_id long, " + ", ".join(
+            f"{c} array<double>" for c in ("rr", "rx", "energy", "usage", "totals", "xx"))))
+        self.rows = packed.where("node_id is not null").select("node_id", "rr", "rx", "energy")
+        self.overall = self._overall(packed)
         self.used = np.arange(k)
-        self.rows: DataFrame | None = None
+
+    def _overall(self, packed: DataFrame) -> sums.Totals:
+        row = packed.where("node_id is null").select("rx", "energy", "usage", "totals", "xx").first()
+        k, m = self.found.n_atoms, self.found.width
+        if row is None:
+            row = {"rx": np.zeros(k * m), "energy": np.zeros(k), "usage": np.zeros(k), "totals": np.zeros(3), "xx": []}
+        none = np.zeros(0, dtype=np.int64)
+        totals = sums.Totals(k, m, none, none, none, np.zeros(0))
+        totals.rx = np.array(row["rx"]).reshape(k, m)
+        totals.energy, totals.usage = np.array(row["energy"]), np.array(row["usage"])
+        totals.y_square, totals.r_square, totals.n_signals = row["totals"]
+        totals.xx = np.array(row["xx"]).reshape(k, k) if len(row["xx"]) else None
+        return totals
 
     def keep(self, used: np.ndarray, coding: Dictionary) -> None:
         """Leave out unused atoms; the others take their new numbers."""
         self.overall.keep(used)
         self.used, self.found = used, coding
 
-    def _packed_sums(self) -> DataFrame:
-        n_before, used, m = self.found.n_atoms, self.used, self.found.width
-        n_before = int(max(n_before, used.max(initial=-1) + 1))
-
-        def pack(table: pa.Table) -> pa.Table:
-            part, i, j, value = (np.asarray(table[c]) for c in ("part", "i", "j", "value"))
-            totals = sums.Totals(n_before, m, part, i, j, value)
-            totals.keep(used)
-            return pa.table({"node_id": table["node_id"].slice(0, 1), "rr": arrow.list_rows(totals.rr.reshape(1, -1)),
-                             "rx": arrow.list_rows(totals.rx.reshape(1, -1)), "energy": arrow.list_rows(totals.energy[None])})
-
-        sites = self.cells.where("node_id is not null")
-        return cut_lineage(sites.groupBy("node_id").applyInArrow(
-            pack, "node_id long, rr array<double>, rx array<double>, energy array<double>"))
-
     def step(self, estimate: np.ndarray | DataFrame, measured: bool) -> DataFrame:
-        if self.rows is None:
-            self.rows = self._packed_sums()
         shared = ship(self.rows, self.found)
-        k, m = self.found.matrix.shape
+        (k, m), used = self.found.matrix.shape, self.used
         common = self.rows.sparkSession.sparkContext.broadcast(estimate) if isinstance(estimate, np.ndarray) else None
         source = self.rows if common is not None else join_model(self.rows, estimate, ["node_id"], "node_id", measured=measured)
 
@@ -220,9 +231,10 @@ class SiteSums:
             for whole in batches:
                 for batch in arrow.slices(whole, arrow.rows_within(8 * (m * m + 2 * k * m))):
                     nodes = np.asarray(batch.column("node_id"))
+                    width = len(batch.column("energy")[0])
                     rr = arrow.dense_rows(batch.column("rr"), m * m).reshape(-1, m, m)
-                    rx = arrow.dense_rows(batch.column("rx"), k * m).reshape(-1, k, m)
-                    energy = arrow.dense_rows(batch.column("energy"), k)
+                    rx = arrow.dense_rows(batch.column("rx"), width * m).reshape(-1, width, m)[:, used]
+                    energy = arrow.dense_rows(batch.column("energy"), width)[:, used]
                     q = None if common is not None else arrow.dense_rows(batch.column("q"), k * m).reshape(-1, k, m)
                     for row, node in enumerate(nodes):
                         now = common.value if q is None else q[row]
@@ -285,14 +297,28 @@ def sums_suit(spark, found: Dictionary, n_nodes: int) -> bool:
     return rr_fits(spark, found.width) and 8 * cells * n_nodes <= 4 * model_bytes_limit(spark)
 
 
-def run_rounds(at_sites: SiteSums | SiteRows, nodes: DataFrame, start: np.ndarray, power_rounds: int,
-               mix_rounds: int, weights: DataFrame | None, mix: str) -> DataFrame:
-    """Estimates of all nodes after the power rounds; see :func:`consensus_update`."""
+@dataclass(frozen=True)
+class Exchange:
+    """What the rounds need to know of the graph: its nodes and the weights of one exchange."""
+
+    nodes: DataFrame
+    n_nodes: int
+    power: DataFrame | None   # weights to the number of mixing rounds; None: all nodes alike
+    power_is_small: bool
+
+    @staticmethod
+    def over(nodes: DataFrame, weights: DataFrame | None, mix_rounds: int) -> "Exchange":
+        nodes = nodes.select(F.col("node_id").cast("long").alias("node_id")).distinct()
+        power, small = (None, False) if weights is None else pinned(matrix_power(weights, mix_rounds))
+        return Exchange(nodes, nodes.count(), power, small)
+
+
+def run_rounds(at_sites: SiteSums | SiteRows, exchange: Exchange, start: np.ndarray, power_rounds: int,
+               mix: str) -> np.ndarray | DataFrame:
+    """The estimate all nodes share, or a row ``(node_id, q)`` for each; see :func:`consensus_update`."""
     if mix not in ("before", "after"):
         raise ValueError("mix is 'before' or 'after'")
     shape = start.shape
-    power, small_power = (None, False) if weights is None else pinned(matrix_power(weights, mix_rounds))
-    n_nodes = nodes.count() if weights is None else 0
     estimate, small = sums.unit_rows(start), False
     for _ in range(power_rounds):
         z = at_sites.step(estimate, small)
@@ -301,20 +327,30 @@ def run_rounds(at_sites: SiteSums | SiteRows, nodes: DataFrame, start: np.ndarra
             length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(by_atom))
             z = z.withColumn("length", length).select(
                 "node_id", "pos", F.when(F.col("length") > 0, F.col("value") / F.col("length")).otherwise(F.col("value")).alias("value"))
-        if power is None:
+        if exchange.power is None:
             # one mean, the size of the dictionary, serves all nodes
-            estimate = _local_matrix(node_mean(z, n_nodes), shape)
+            estimate = _local_matrix(node_mean(z, exchange.n_nodes), shape)
             estimate = estimate if mix == "after" else sums.unit_rows(estimate)
         else:
-            packed = _pack(consensus_mix(z, power, measured=small_power))
-            estimate, small = pinned(packed if mix == "after" else _unit_atoms(packed, shape))
+            packed = _pack(consensus_mix(z, exchange.power, measured=exchange.power_is_small))
+            packed = packed if mix == "after" else _unit_atoms(packed, shape)
+            # the size of all estimates is known beforehand
+            small = exchange.n_nodes * (8 * start.size + 32) <= model_bytes_limit(packed.sparkSession)
+            estimate = packed.sparkSession.createDataFrame(packed.toArrow(), packed.schema) if small else cut_lineage(packed)
+    if mix == "after":
+        estimate = sums.unit_rows(estimate) if isinstance(estimate, np.ndarray) else _unit_atoms(estimate, shape)
+    return estimate
+
+
+def estimate_of_node(estimate: np.ndarray | DataFrame, shape: tuple[int, int], node_id: int | None = None) -> np.ndarray:
+    """One node's dictionary after :func:`run_rounds`, the lowest node by default."""
     if isinstance(estimate, np.ndarray):
-        k, dim = (x.ravel() for x in np.indices(shape))
-        return _spread(nodes, at_sites.found.ids[k], dim, sums.unit_rows(estimate).ravel())
-    ids = F.lit([int(a) for a in at_sites.found.ids])
-    return _unit_atoms(estimate, shape).select("node_id", F.posexplode("q").alias("pos", "value")).select(
-        "node_id", F.element_at(ids, F.expr(f"pos div {shape[1]}").cast("int") + 1).cast("int").alias("atom_id"),
-        (F.col("pos") % shape[1]).alias("dim"), "value")
+        return estimate
+    rows = estimate.orderBy("node_id").limit(1) if node_id is None else estimate.where(F.col("node_id") == node_id)
+    row = rows.first()
+    if row is None:
+        raise ValueError(f"no estimate for node {node_id}: the weights do not reach it")
+    return np.array(row["q"]).reshape(shape)
 
 
 def consensus_update(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame, power_rounds: int,
@@ -334,7 +370,16 @@ def consensus_update(signals: DataFrame, atoms: DataFrame | Dictionary, codes: D
     if sites == "auto":
         sites = "sums" if sums_suit(signals.sparkSession, found, count_nodes(signals)) else "rows"
     at_sites = (SiteSums if sites == "sums" else SiteRows)(source, coded_by_table(ship(signals, found)), found)
-    return run_rounds(at_sites, signals.select("node_id").distinct(), first.matrix, power_rounds, mix_rounds, weights, mix)
+    exchange = Exchange.over(signals.select("node_id"), weights, mix_rounds)
+    shape = found.matrix.shape
+    estimate = run_rounds(at_sites, exchange, first.matrix, power_rounds, mix)
+    if isinstance(estimate, np.ndarray):
+        k, dim = (x.ravel() for x in np.indices(shape))
+        return _spread(exchange.nodes, found.ids[k], dim, estimate.ravel())
+    ids = F.lit([int(a) for a in found.ids])
+    return estimate.select("node_id", F.posexplode("q").alias("pos", "value")).select(
+        "node_id", F.element_at(ids, F.expr(f"pos div {shape[1]}").cast("int") + 1).cast("int").alias("atom_id"),
+        (F.col("pos") % shape[1]).alias("dim"), "value")
 
 
 def estimate_to_atoms(estimate: DataFrame, width: int) -> DataFrame:

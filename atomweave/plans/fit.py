@@ -19,7 +19,7 @@ from ..operators.coding import global_picks, omp, ship, signal_vectors
 from ..operators.errors import coded_by_pursuit, local_dictionary, pursuit_totals, rr_fits, weight_matrix, xx_fits
 from ..operators.update import dimension_step, leading_vectors
 from ..session import cached
-from ..sources.models import Dictionary, init_dictionary, load_dictionary
+from ..sources.models import Dictionary, init_dictionary
 
 REPORT = ("iter int, n_atoms int, nnz long, residual_norm double, relative_error double, "
           "updated_relative_error double")
@@ -86,9 +86,11 @@ def fit_dictionary(signals: DataFrame, iterations: int, method: str = "svd", tol
     found = local_dictionary(dictionary)
     found = Dictionary(np.arange(found.n_atoms), found.matrix)
     if method == "consensus":
-        nodes = cached(source.select("node_id").distinct())
+        exchange = consensus.Exchange.over(source, weights, consensus_rounds)
         if sites == "auto":
-            sites = "sums" if consensus.sums_suit(spark, found, nodes.count()) else "rows"
+            sites = "sums" if consensus.sums_suit(spark, found, exchange.n_nodes) else "rows"
+    if start is not None:
+        start = local_dictionary(start)
     rows, last = [], (found, found.n_atoms if n_nonzero is None else n_nonzero, tol)
     try:
         for iteration in range(1, iterations + 1):
@@ -120,9 +122,9 @@ def fit_dictionary(signals: DataFrame, iterations: int, method: str = "svd", tol
             else:
                 if at_sites is None:
                     at_sites = consensus.SiteRows(source, coded_by_pursuit(ship(source, coding), limit, local_tol), coding)
-                q = _start_vectors(spark, start, coding, seed)
-                estimates = consensus.run_rounds(at_sites, nodes, q.matrix, power_rounds, consensus_rounds, weights, mix)
-                found = _agreed(estimates, coding, node_id)
+                first = _start_vectors(spark, start, coding, seed)
+                estimate = consensus.run_rounds(at_sites, exchange, first.matrix, power_rounds, mix)
+                found = _agreed(consensus.estimate_of_node(estimate, coding.matrix.shape, node_id), coding)
             after = _updated_error(totals, coding.matrix, found.matrix)
             norm = float(np.sqrt(totals.r_square))
             whole = float(np.sqrt(totals.y_square))
@@ -159,13 +161,10 @@ def _dimension_update(source, before, coding, used, totals, limit, start, mixing
     return dimension_step(coding, totals.dimension, q.matrix, w)
 
 
-def _agreed(estimates: DataFrame, coding: Dictionary, node_id: int | None) -> Dictionary:
-    """One node's dictionary; an atom whose estimate vanished keeps its vector."""
-    new = load_dictionary(consensus.estimate_to_atoms(consensus.node_estimate(estimates, node_id), coding.width))
-    matrix = coding.matrix.copy()
-    fresh = np.linalg.norm(new.matrix, axis=1) > 0
-    matrix[new.ids[fresh]] = new.matrix[fresh]
-    return Dictionary(coding.ids, matrix)
+def _agreed(estimate: np.ndarray, coding: Dictionary) -> Dictionary:
+    """An atom whose estimate vanished keeps its vector."""
+    fresh = np.linalg.norm(estimate, axis=1, keepdims=True) > 0
+    return Dictionary(coding.ids, np.where(fresh, estimate, coding.matrix))
 
 
 def _start_vectors(spark, start, coding: Dictionary, seed: int) -> Dictionary:
