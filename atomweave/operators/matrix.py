@@ -46,30 +46,45 @@ def to_entries(df: DataFrame, key: str = "signal_id", vec: str = "vec") -> DataF
 
 
 def from_entries(entries: DataFrame, size: int) -> DataFrame:
-    """Entries put together as ``(row_id, vec)`` of ``size`` values, absent cells 0."""
+    """Entries put together as ``(row_id, vec)`` of ``size`` values, absent cells 0.
+
+    Cells are shuffled and sorted by row as flat columns and put together as they stream
+    through a task; the cells of a row are never gathered into one object before that.
+    """
     check_row_width(entries.sparkSession, size)
-    rows = entries.groupBy("row_id").agg(
-        F.collect_list(F.struct(F.col("col_id").cast("int").alias("c"), F.col("value").cast("double").alias("v"))).alias("cells")
-    ).select(F.col("row_id").cast("long").alias("row_id"), "cells")
+    cells = entries.select(F.col("row_id").cast("long").alias("row_id"), F.col("col_id").cast("int").alias("col_id"),
+                           F.col("value").cast("double").alias("value"))
+
+    def dense(row: np.ndarray, col: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(col) and (col.min() < 0 or col.max() >= size):
+            raise ValueError(f"col_id outside 0..{size - 1}")
+        names, owner = np.unique(row, return_inverse=True)
+        step = arrow.rows_within(8 * size)
+        for start in range(0, len(names), step):
+            part = slice(*np.searchsorted(owner, [start, start + step]))
+            here = names[start:start + step]
+            place = (owner[part] - start) * size + col[part]
+            if len(np.unique(place)) != len(place):
+                raise ValueError("a cell is given twice")
+            out = np.zeros(len(here) * size)
+            out[place] = value[part]
+            yield pa.RecordBatch.from_arrays([pa.array(here), arrow.list_rows(out.reshape(-1, size))], ["row_id", "vec"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in arrow.slices(whole, arrow.rows_within(8 * size)):
-                cells = batch.column("cells")
-                owner, _ = arrow.row_lists(cells)
-                flat = cells.flatten()
-                col = np.asarray(flat.field("c")).astype(np.int64)
-                if len(col) and (col.min() < 0 or col.max() >= size):
-                    raise ValueError(f"col_id outside 0..{size - 1}")
-                place = owner * size + col
-                if len(np.unique(place)) != len(place):
-                    raise ValueError("a cell is given twice")
-                out = np.zeros(batch.num_rows * size)
-                out[place] = np.asarray(flat.field("v"))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row_id"), arrow.list_rows(out.reshape(batch.num_rows, size))], ["row_id", "vec"])
-
-    return rows.transform(map_batches, assemble, "row_id long, vec array<double>")
+        held = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
+        for batch in batches:
+            held = [np.concatenate([old, np.asarray(batch.column(c))]) for old, c in zip(held, ("row_id", "col_id", "value"))]
+            if not len(held[0]):
+                continue
+            complete = np.searchsorted(held[0], held[0][-1])  # the last row may go on in the next batch
+            yield from dense(*(x[:complete] for x in held))
+            held = [x[complete:] for x in held]
+            if len(held[0]) > size:
+                raise ValueError("a cell is given twice")
+        yield from dense(*held)
+
+    return cells.repartition("row_id").sortWithinPartitions("row_id").transform(
+        map_batches, assemble, "row_id long, vec array<double>")
 
 
 def transpose(entries: DataFrame) -> DataFrame:
