@@ -71,6 +71,11 @@ class DimensionSums:
             yield part, np.arange(len(line)), np.zeros(len(line), dtype=np.int64), line
 
 
+def width(held) -> int:
+    """Bytes of the arrays a set of sums holds."""
+    return sum(v.nbytes for v in vars(held).values() if isinstance(v, np.ndarray))
+
+
 def cell_batch(node: int | None, sums) -> pa.RecordBatch:
     parts, rows, cols, values = [], [], [], []
     for part, i, j, value in sums.cells():

@@ -19,7 +19,7 @@ from ..shipping import map_batches
 from ..sizing import check_row_width, join_model, model_bytes_limit, pinned
 from ..sources.models import Dictionary
 from .coding import attach_codes, ship
-from .errors import Coded, coded_by_table, local_dictionary, rr_fits, sum_cells, xx_fits
+from .errors import Coded, coded_by_table, local_dictionary, placed_by_node, rr_fits, sum_cells, xx_fits
 from .matrix import matrix_power
 
 ESTIMATES = "node_id long, atom_id int, dim int, value double"
@@ -176,6 +176,10 @@ def _local_matrix(cells: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     return flat.reshape(shape)
 
 
+def placed_for_sums(source: DataFrame, found: Dictionary, n_nodes: int) -> DataFrame:
+    return placed_by_node(source, n_nodes, sums.width(sums.ErrorSums(found.n_atoms, found.width)))
+
+
 class SiteSums:
     """Sites known by their sums: one row per node holds all a step needs.
 
@@ -287,10 +291,6 @@ class SiteRows:
         return found.groupBy("node_id", "pos").agg(F.sum("value").alias("value"))
 
 
-def count_nodes(source: DataFrame) -> int:
-    return source.select("node_id").distinct().count()
-
-
 def sums_suit(spark, found: Dictionary, n_nodes: int) -> bool:
     """Whether sums per site are smaller than the sites' signals are likely to be."""
     cells = found.width * (found.width + 1) // 2 + found.n_atoms * found.width
@@ -367,10 +367,14 @@ def consensus_update(signals: DataFrame, atoms: DataFrame | Dictionary, codes: D
     found = local_dictionary(atoms)
     first = found if start is None else local_dictionary(start)
     source = attach_codes(signals.select("signal_id", "node_id", "vec"), codes)
-    if sites == "auto":
-        sites = "sums" if sums_suit(signals.sparkSession, found, count_nodes(signals)) else "rows"
-    at_sites = (SiteSums if sites == "sums" else SiteRows)(source, coded_by_table(ship(signals, found)), found)
     exchange = Exchange.over(signals.select("node_id"), weights, mix_rounds)
+    if sites == "auto":
+        sites = "sums" if sums_suit(signals.sparkSession, found, exchange.n_nodes) else "rows"
+    coded = coded_by_table(ship(signals, found))
+    if sites == "sums":
+        at_sites = SiteSums(placed_for_sums(source, found, exchange.n_nodes), coded, found)
+    else:
+        at_sites = SiteRows(source, coded, found)
     shape = found.matrix.shape
     estimate = run_rounds(at_sites, exchange, first.matrix, power_rounds, mix)
     if isinstance(estimate, np.ndarray):

@@ -46,18 +46,38 @@ def coded_by_table(model) -> Coded:
     return run
 
 
+NODE_SUMS = 16 * 1024 * 1024  # bytes of per-node sums a task may hold
+
+
+def placed_by_node(source: DataFrame, n_nodes: int, sums_bytes: int, rows_per_part: int = 20_000,
+                   budget: int = NODE_SUMS) -> DataFrame:
+    """Signals brought together by node, for more nodes than a task can hold sums of.
+
+    A node of many signals is split into parts of about ``rows_per_part``, so no task gets a
+    whole hot node, and a small node lies in one task. With few nodes nothing is moved.
+    """
+    if n_nodes * sums_bytes <= budget:
+        return source
+    hot = source.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_part)
+    hot = hot.select("node_id", F.ceil(F.col("n") / rows_per_part).alias("_parts"))
+    part = F.pmod(F.xxhash64("signal_id"), F.coalesce("_parts", F.lit(1)))
+    spread = join_model(source, hot, ["node_id"], "signal_id", "left").withColumn("_part", part)
+    return spread.repartition("node_id", "_part").sortWithinPartitions("node_id").select(*source.columns)
+
+
 def sum_cells(source: DataFrame, coded: Coded, new_sums: Callable[[], object], per_node: Callable[[], object] | None = None,
-              budget: int = 64 * 1024 * 1024) -> DataFrame:
+              budget: int = NODE_SUMS) -> DataFrame:
     """Sums as ``(node_id, part, i, j, value)``: over everything with a null node, and per node
     where ``per_node`` is given.
 
     A task adds up its rows per node and hands on sums only, so a node that holds most rows
-    costs its tasks one set of cells each. With very many nodes the oldest sums are handed on
-    before the memory budget is reached.
+    costs its tasks one set of cells each. Past the memory budget the oldest sums are handed on;
+    rows of :func:`placed_by_node` come node after node, so that each node is then complete.
     """
+    room = 1 if per_node is None else max(1, budget // sums.width(per_node()))
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, object] = {}
-        room = None
         whole = None
         for batch, signals, residual, codes in coded(batches):
             if whole is None:
@@ -69,9 +89,6 @@ def sum_cells(source: DataFrame, coded: Coded, new_sums: Callable[[], object], p
             for node in np.unique(nodes):
                 if node not in held:
                     held[int(node)] = per_node()
-                    if room is None:
-                        width = sum(8 * v.size for v in vars(held[int(node)]).values() if isinstance(v, np.ndarray))
-                        room = max(1, budget // max(1, width))
                     if len(held) > room:
                         oldest = next(iter(held))
                         yield sums.cell_batch(oldest, held.pop(oldest))

@@ -18,7 +18,7 @@ from ..operators import consensus
 from ..operators.coding import global_picks, omp, ship, signal_vectors
 from ..operators.errors import coded_by_pursuit, local_dictionary, pursuit_totals, rr_fits, weight_matrix, xx_fits
 from ..operators.update import dimension_step, leading_vectors
-from ..session import cached
+from ..session import cached, cut_lineage
 from ..sources.models import Dictionary, init_dictionary
 
 REPORT = ("iter int, n_atoms int, nnz long, residual_norm double, relative_error double, "
@@ -77,7 +77,7 @@ def fit_dictionary(signals: DataFrame, iterations: int, method: str = "svd", tol
         source = consensus.assign_sites(signals)
     source = signal_vectors(source, *(["node_id"] if method == "consensus" else []))
     if keep_signals:
-        source = cached(source)
+        source = kept = cached(source)
     if dictionary is None:
         first = source.select(F.size("vec").alias("m")).first()
         if first is None:
@@ -89,6 +89,10 @@ def fit_dictionary(signals: DataFrame, iterations: int, method: str = "svd", tol
         exchange = consensus.Exchange.over(source, weights, consensus_rounds)
         if sites == "auto":
             sites = "sums" if consensus.sums_suit(spark, found, exchange.n_nodes) else "rows"
+        if sites == "sums":
+            placed = consensus.placed_for_sums(source, found, exchange.n_nodes)
+            if placed is not source:
+                source = cut_lineage(placed)  # once for all iterations
     if start is not None:
         start = local_dictionary(start)
     rows, last = [], (found, found.n_atoms if n_nonzero is None else n_nonzero, tol)
@@ -131,7 +135,7 @@ def fit_dictionary(signals: DataFrame, iterations: int, method: str = "svd", tol
             rows.append((iteration, coding.n_atoms, nnz, norm, norm / whole if whole else None, after))
     finally:
         if keep_signals:
-            source.unpersist()
+            kept.unpersist()
     report = spark.createDataFrame(rows, REPORT)
     # a pruned atom was never picked, so the remaining ones give the same codes under their new numbers
     codes = omp(signals, last[0], tol=last[2], n_nonzero=last[1])

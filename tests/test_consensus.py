@@ -146,10 +146,12 @@ def test_estimates_over_the_size_limit(spark, make, case, small_limit, rng, site
     assert np.allclose(as_array(got, (5, 4, 5)), brute(case, d, w, 2, "before"))
 
 
-def test_sums_are_handed_on_before_memory_runs_out(spark, make, case):
+@pytest.mark.parametrize("rows_per_part", [4, 10_000])
+def test_many_nodes_are_placed_and_handed_on(spark, make, case, rows_per_part):
+    """With room for one node's sums: rows are moved by node, the hot one in parts, with the same sums."""
     from atomweave.functions import sums
     from atomweave.operators.coding import attach_codes, ship
-    from atomweave.operators.errors import coded_by_table, sum_cells
+    from atomweave.operators.errors import coded_by_table, placed_by_node, sum_cells
     from atomweave.sources import load_dictionary
 
     y, d, x, nodes = case
@@ -157,7 +159,14 @@ def test_sums_are_handed_on_before_memory_runs_out(spark, make, case):
     found = load_dictionary(make.atoms(d))
     source = attach_codes(signals, make.codes(x))
     new = lambda: sums.ErrorSums(4, 5)
+    assert placed_by_node(source, 5, sums.width(new())) is source
+    placed = placed_by_node(source, 5, sums.width(new()), rows_per_part, budget=1)
+    parts = placed.select("node_id", F.spark_partition_id().alias("p")).groupBy("node_id").agg(
+        F.countDistinct("p").alias("p"), F.count("*").alias("n")).collect()
+    assert {r["node_id"]: r["n"] for r in parts} == {i: int((nodes == i).sum()) for i in range(5)}
+    assert all(r["p"] == 1 for r in parts) == (rows_per_part > 100)
     wide, narrow = (
         {(r["node_id"], r["part"], r["i"], r["j"]): r["value"] for r in
-         sum_cells(source, coded_by_table(ship(signals, found)), new, new, budget=b).collect()} for b in (1 << 26, 1))
+         sum_cells(rows, coded_by_table(ship(signals, found)), new, new, budget=b).collect()}
+        for rows, b in ((source, 1 << 26), (placed, 1)))
     assert wide.keys() == narrow.keys() and all(np.isclose(wide[k], narrow[k]) for k in wide)
