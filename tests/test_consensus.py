@@ -161,8 +161,12 @@ def test_many_nodes_are_placed_and_handed_on(spark, make, case, rows_per_part):
     new = lambda: sums.ErrorSums(4, 5)
     assert placed_by_node(source, 5, sums.width(new())) is source
     placed = placed_by_node(source, 5, sums.width(new()), rows_per_part, budget=1)
-    parts = placed.select("node_id", F.spark_partition_id().alias("p")).groupBy("node_id").agg(
-        F.countDistinct("p").alias("p"), F.count("*").alias("n")).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = placed.select("node_id", F.spark_partition_id().alias("p")).groupBy("node_id").agg(
+            F.countDistinct("p").alias("p"), F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {r["node_id"]: r["n"] for r in parts} == {i: int((nodes == i).sum()) for i in range(5)}
     assert all(r["p"] == 1 for r in parts) == (rows_per_part > 100)
     wide, narrow = (
