@@ -55,6 +55,21 @@ def scatter_codes(terms: pa.Array, rows: int, position: dict[int, int] | None, n
     return out
 
 
+def sparse_rows(matrix: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The non-zero columns of every row and their values, as two list columns."""
+    row, col = np.nonzero(matrix)
+    offsets = pa.array(np.searchsorted(row, np.arange(len(matrix) + 1)).astype(np.int32))
+    return (pa.ListArray.from_arrays(offsets, pa.array(col.astype(np.int32))),
+            pa.ListArray.from_arrays(offsets, pa.array(matrix[row, col])))
+
+
+def rows_of_sparse(cols: pa.Array, values: pa.Array, width: int) -> np.ndarray:
+    owner, _ = row_lists(cols)
+    out = np.zeros((len(cols), width))
+    out[owner, np.asarray(cols.flatten())] = np.asarray(values.flatten())
+    return out
+
+
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     for start in range(0, batch.num_rows, max(1, rows)):
         yield batch.slice(start, max(1, rows))

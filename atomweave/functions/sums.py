@@ -85,9 +85,9 @@ def cell_batch(node: int | None, sums) -> pa.RecordBatch:
         cols.append(j[some])
         values.append(value[some])
     total = np.concatenate(parts)
+    nodes = pa.nulls(len(total), pa.int64()) if node is None else pa.array(np.full(len(total), node, dtype=np.int64))
     return pa.RecordBatch.from_arrays(
-        [pa.nulls(len(total), pa.int64()) if node is None else pa.array(np.full(len(total), node, dtype=np.int64)), pa.array(total),
-         pa.array(np.concatenate(rows).astype(np.int32)), pa.array(np.concatenate(cols).astype(np.int32)),
+        [nodes, pa.array(total), pa.array(np.concatenate(rows).astype(np.int32)), pa.array(np.concatenate(cols).astype(np.int32)),
          pa.array(np.concatenate(values))], ["node_id", "part", "i", "j", "value"])
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import arrow, pursuit, vectors
 from ..shipping import ensure_shipped, map_batches
@@ -31,10 +31,14 @@ def ship(signals: DataFrame, found: Dictionary):
     return signals.sparkSession.sparkContext.broadcast(found)
 
 
-def signal_vectors(signals: DataFrame, *keep: str) -> DataFrame:
+def signal_vectors(signals: DataFrame, *keep: str, native: bool = False) -> DataFrame:
+    """Key, further columns and vector. Float vectors may stay ``native`` on their way to the
+    tasks, which widen them there; for work inside the JVM they become doubles first."""
+    kind = signals.schema["vec"].dataType
+    floats = native and isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
     kept = [F.col(c).cast("long").alias(c) if c == "node_id" else F.col(c) for c in keep]
     return signals.select(F.col("signal_id").cast("long").alias("signal_id"), *kept,
-                          F.col("vec").cast("array<double>").alias("vec"))
+                          F.col("vec") if floats else F.col("vec").cast("array<double>").alias("vec"))
 
 
 def _code_batch(signal_ids: np.ndarray, atom_ids: np.ndarray, coefs: np.ndarray) -> pa.RecordBatch:
@@ -46,9 +50,9 @@ def _code_batch(signal_ids: np.ndarray, atom_ids: np.ndarray, coefs: np.ndarray)
 def best_atom(signals: DataFrame, atoms: DataFrame | Dictionary) -> DataFrame:
     """Per signal the atom of largest absolute correlation, ties to the lowest id."""
     found = load_dictionary(atoms)
-    source = signal_vectors(signals)
     if found is None:
-        return large.best_atom(source, atoms)
+        return large.best_atom(signal_vectors(signals), atoms)
+    source = signal_vectors(signals, native=True)
     model = ship(signals, found)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,9 +69,9 @@ def best_atom(signals: DataFrame, atoms: DataFrame | Dictionary) -> DataFrame:
 def matching_pursuit(signals: DataFrame, atoms: DataFrame | Dictionary, rounds: int) -> DataFrame:
     """``rounds`` greedy steps without refit; picks of the same atom add up."""
     found = load_dictionary(atoms)
-    source = signal_vectors(signals)
     if found is None:
-        return large.matching_pursuit(source, atoms, rounds)
+        return large.matching_pursuit(signal_vectors(signals), atoms, rounds)
+    source = signal_vectors(signals, native=True)
     model = ship(signals, found)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +97,9 @@ def omp(signals: DataFrame, atoms: DataFrame | Dictionary, tol: float | None = N
     if tol is None and n_nonzero is None:
         raise ValueError("give tol, n_nonzero or both")
     found = load_dictionary(atoms)
-    source = signal_vectors(signals)
     if found is None:
-        return large.codes_of(large.omp(source, atoms, tol, n_nonzero))
+        return large.codes_of(large.omp(signal_vectors(signals), atoms, tol, n_nonzero))
+    source = signal_vectors(signals, native=True)
     limit = found.n_atoms if n_nonzero is None else n_nonzero
     model = ship(signals, found)
 
@@ -131,8 +135,11 @@ def residual_curve(signals: DataFrame, found: Dictionary, depth: int) -> np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)],
                                              ["picks", "value"])
 
-    rows = signal_vectors(signals).transform(map_batches, squares, "picks int, value double").groupBy("picks").agg(
+    rows = signal_vectors(signals, native=True).transform(
+
+        map_batches, squares, "picks int, value double").groupBy("picks").agg(
         F.sum("value").alias("value")).orderBy("picks").collect()
+    model.unpersist()
     return np.sqrt(np.array([r["value"] for r in rows]))
 
 
@@ -197,7 +204,9 @@ def residual(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame
                 rows = arrow.dense_rows_or_zero(batch.column("vec"), matrix.shape[1]) - x @ matrix
                 yield pa.RecordBatch.from_arrays([batch.column("signal_id"), arrow.list_rows(rows)], ["signal_id", "vec"])
 
-    return attach_codes(signals.select("signal_id", "vec"), codes, how).transform(map_batches, subtract, "signal_id long, vec array<double>")
+    return attach_codes(signals.select("signal_id", "vec"), codes, how).transform(
+
+        map_batches, subtract, "signal_id long, vec array<double>")
 
 
 def reconstruct(atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions import arrow, sums
 from ..session import cut_lineage
@@ -54,9 +54,14 @@ def uniform_weights(nodes: DataFrame) -> DataFrame:
     (:func:`consensus_mix` without weights), so only node lists of row width are taken."""
     ids = nodes.select(F.col("node_id").cast("long").alias("node_id")).distinct()
     n = ids.count()
-    check_row_width(nodes.sparkSession, n)
-    row = F.lit([r["node_id"] for r in ids.orderBy("node_id").collect()]).cast("array<long>")
-    return ids.select(F.col("node_id").alias("src"), F.explode(row).alias("dst"), F.lit(1.0 / max(1, n)).alias("w"))
+    return ids.select(F.col("node_id").alias("src"), F.explode(node_list(ids)).alias("dst"),
+                      F.lit(1.0 / max(1, n)).alias("w"))
+
+
+def node_list(ids: DataFrame) -> Column:
+    """All node ids as one constant, for lists no longer than the row width limit."""
+    check_row_width(ids.sparkSession, ids.count())
+    return F.lit([r["node_id"] for r in ids.orderBy("node_id").collect()]).cast("array<long>")
 
 
 def assign_sites(signals: DataFrame, column: str | None = None) -> DataFrame:
@@ -75,7 +80,10 @@ def consensus_mix(estimates: DataFrame, weights: DataFrame | None = None, measur
     cell = _cell_columns(estimates)
     if weights is None:
         nodes, _ = pinned(estimates.select("node_id").distinct())
-        return spread_to_nodes(nodes, node_mean(estimates, nodes.count()))
+        mean, small = pinned(node_mean(estimates, nodes.count()))
+        if small:
+            return spread_to_nodes(nodes, mean)
+        return mean.select(F.explode(node_list(nodes)).alias("node_id"), *cell, "value")
     w = weights.where("w != 0").select(F.col("src").alias("node_id"), F.col("dst").alias("to"), "w")
     return (
         join_model(estimates, w, ["node_id"], cell[-1], measured=measured)
@@ -126,9 +134,13 @@ def consensus_correction(estimates: DataFrame, weights: DataFrame, first: int |
 
 def normalize_estimates(estimates: DataFrame) -> DataFrame:
     """Every node's atoms at unit length; zero atoms stay zero."""
-    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("node_id", "atom_id")))
-    value = F.when(F.col("length") > 0, F.col("value") / F.col("length")).otherwise(F.col("value"))
-    return estimates.withColumn("length", length).select("node_id", "atom_id", "dim", value.alias("value"))
+    return _unit_length(estimates, Window.partitionBy("node_id", "atom_id"))
+
+
+def _unit_length(cells: DataFrame, vector: WindowSpec) -> DataFrame:
+    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(vector))
+    scaled = F.when(F.col("length") > 0, F.col("value") / F.col("length")).otherwise(F.col("value"))
+    return cells.withColumn("length", length).withColumn("value", scaled).drop("length")
 
 
 def node_estimate(estimates: DataFrame, node_id: int | None = None) -> DataFrame:
@@ -260,12 +272,13 @@ class SiteRows:
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, _, residual, x in coded(batches):
+                atoms, coefs = arrow.sparse_rows(x)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node_id"), batch.column("signal_id"), arrow.list_rows(residual), arrow.list_rows(x)],
-                    ["node_id", "signal_id", "residual", "codes"])
+                    [batch.column("node_id"), batch.column("signal_id"), arrow.list_rows(residual), atoms, coefs],
+                    ["node_id", "signal_id", "residual", "atoms", "coefs"])
 
         self.rows = cut_lineage(source.transform(map_batches, rows,
-            "node_id long, signal_id long, residual array<double>, codes array<double>"))
+            "node_id long, signal_id long, residual array<double>, atoms array<int>, coefs array<double>"))
 
     def step(self, estimate: np.ndarray | DataFrame, measured: bool) -> DataFrame:
         shared = ship(self.rows, self.found)
@@ -279,7 +292,7 @@ class SiteRows:
                 for batch in arrow.slices(whole, arrow.rows_within(24 * k * m)):
                     nodes = np.asarray(batch.column("node_id"))
                     residual = arrow.dense_rows(batch.column("residual"), m)
-                    x = arrow.dense_rows(batch.column("codes"), k)
+                    x = arrow.rows_of_sparse(batch.column("atoms"), batch.column("coefs"), k)
                     q = None if common is not None else arrow.dense_rows(batch.column("q"), k * m)
                     order = np.argsort(nodes, kind="stable")
                     starts = np.nonzero(np.diff(nodes[order], prepend=nodes[order[0]] - 1))[0]
@@ -323,10 +336,7 @@ def run_rounds(at_sites: SiteSums | SiteRows, exchange: Exchange, start: np.ndar
     for _ in range(power_rounds):
         z = at_sites.step(estimate, small)
         if mix == "after":
-            by_atom = Window.partitionBy("node_id", F.expr(f"pos div {shape[1]}"))
-            length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(by_atom))
-            z = z.withColumn("length", length).select(
-                "node_id", "pos", F.when(F.col("length") > 0, F.col("value") / F.col("length")).otherwise(F.col("value")).alias("value"))
+            z = _unit_length(z, Window.partitionBy("node_id", F.expr(f"pos div {shape[1]}")))
         if exchange.power is None:
             # one mean, the size of the dictionary, serves all nodes
             estimate = _local_matrix(node_mean(z, exchange.n_nodes), shape)

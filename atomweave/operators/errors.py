@@ -99,7 +99,9 @@ def sum_cells(source: DataFrame, coded: Coded, new_sums: Callable[[], object], p
         if whole is not None:
             yield sums.cell_batch(None, whole)
 
-    return source.transform(map_batches, partial, sums.CELLS).groupBy("node_id", "part", "i", "j").agg(F.sum("value").alias("value"))
+    return source.transform(
+
+        map_batches, partial, sums.CELLS).groupBy("node_id", "part", "i", "j").agg(F.sum("value").alias("value"))
 
 
 def collect_totals(cells: DataFrame, n_atoms: int, m: int) -> sums.Totals:
@@ -123,8 +125,11 @@ def pursuit_totals(signals: DataFrame, found: Dictionary, limit: int, tol: float
     """Code all signals and sum what an update needs, in one pass and one small shuffle."""
     if new_sums is None:
         new_sums = lambda: sums.ErrorSums(found.n_atoms, found.width, with_xx=xx_fits(found.n_atoms))
-    cells = sum_cells(signal_vectors(signals), coded_by_pursuit(ship(signals, found), limit, tol), new_sums)
-    return collect_totals(cells, found.n_atoms, found.width)
+    model = ship(signals, found)
+    cells = sum_cells(signal_vectors(signals, native=True), coded_by_pursuit(model, limit, tol), new_sums)
+    totals = collect_totals(cells, found.n_atoms, found.width)
+    model.unpersist()
+    return totals
 
 
 def code_totals(signals: DataFrame, found: Dictionary, codes: DataFrame,
@@ -157,7 +162,9 @@ def atom_errors(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFr
                     [pa.array(np.tile(ids, len(errors))), pa.array(np.repeat(names[some], k)),
                      arrow.list_rows(errors.reshape(-1, m))], ["atom_id", "signal_id", "vec"])
 
-    return attach_codes(signals.select("signal_id", "vec"), codes).transform(map_batches, put_back, "atom_id int, signal_id long, vec array<double>")
+    return attach_codes(signals.select("signal_id", "vec"), codes).transform(
+
+        map_batches, put_back, "atom_id int, signal_id long, vec array<double>")
 
 
 def site_errors(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:

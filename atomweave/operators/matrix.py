@@ -263,7 +263,8 @@ def tall_skinny_qr(df: DataFrame, key: str = "signal_id", vec: str = "vec",
         return pa.table({"part": part, "vec": arrow.list_rows(total)})
 
     schema = "part long, vec array<double>"
-    parts = cached(source.select(F.spark_partition_id().cast("long").alias("part"), "vec").transform(map_batches, reduce_rows, schema))
+    parts = cached(source.select(F.spark_partition_id().cast("long").alias("part"), "vec").transform(
+        map_batches, reduce_rows, schema))
     last = parts.agg(F.max("part").alias("p")).first()["p"]
     if last is None:
         raise ValueError("QR of an empty matrix")

@@ -87,7 +87,9 @@ def sigma_v(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame)
                 [pa.array(np.tile(ids, n)), pa.array(np.repeat(np.asarray(batch.column("signal_id")), len(ids))),
                  pa.array(np.tile(sigma, n)), pa.array(v.ravel())], ["atom_id", "signal_id", "sigma", "v"])
 
-    return attach_codes(signals.select("signal_id", "vec"), codes).transform(map_batches, project, "atom_id int, signal_id long, sigma double, v double")
+    return attach_codes(signals.select("signal_id", "vec"), codes).transform(
+
+        map_batches, project, "atom_id int, signal_id long, sigma double, v double")
 
 
 def update_codes(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:

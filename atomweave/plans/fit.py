@@ -75,7 +75,7 @@ def fit_dictionary(signals: DataFrame, iterations: int, method: str = "svd", tol
     source = signals
     if method == "consensus" and "node_id" not in signals.columns:
         source = consensus.assign_sites(signals)
-    source = signal_vectors(source, *(["node_id"] if method == "consensus" else []))
+    source = signal_vectors(source, *(["node_id"] if method == "consensus" else []), native=True)
     if keep_signals:
         source = kept = cached(source)
     if dictionary is None:

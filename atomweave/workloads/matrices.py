@@ -8,9 +8,8 @@ from ..operators import coding, matrix
 from ..session import scratch_path
 from ..sources import (init_dictionary, matrix_to_table, read_entries, read_flat_matrix, read_signals, table_to_matrix,
                        write_codes)
-from .data import (EMBEDDING_WIDTH, EVENT_TYPES, FIRST_YEAR, MONTHS, centroids, embeddings, event_entries,
-                   event_signals, formula_dictionary, part_months, rounded, table)
-from .oracles import (CENTROIDS, EMB, EVENT_CELLS, EVENTS, MONTH_CELLS, formula, query, r6)
+from .data import EMBEDDING_WIDTH, MONTHS, centroids, embeddings, event_signals, part_months, rounded, table
+from .oracles import CENTROIDS, EMB, EVENTS, MONTH_CELLS, formula, query, r6
 from .registry import registered
 
 

@@ -6,7 +6,7 @@ A query is a list of named steps (common table expressions) and a last SELECT. V
 
 from __future__ import annotations
 
-from .data import EVENT_TYPES, FIRST_YEAR, MONTHS
+from .data import EVENT_TYPES, FIRST_YEAR
 
 Steps = list[tuple[str, str]]
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from atomweave.operators import consensus, matrix
+from atomweave.operators import consensus
 from conftest import unit_rows
 
 
@@ -63,9 +63,9 @@ def weights(make, w):
 def test_mixing_and_correction(spark, make, rng, small_limit, limit):
     q, w = rng.normal(size=(3, 2, 4)), rng.random((3, 3))
     est, wt = estimates(spark, q), weights(make, w)
+    small_limit(limit)
     mean = consensus.consensus_mix(est)
     assert np.allclose(as_array(mean, q.shape), q.mean(axis=0))
-    small_limit(limit)
     assert np.allclose(as_array(consensus.consensus_mix(est, wt), q.shape), np.einsum("il,ikm->lkm", w, q))
     corrected = consensus.consensus_correction(est, wt)
     assert np.allclose(as_array(corrected, q.shape), q / w[:, 0][:, None, None])
