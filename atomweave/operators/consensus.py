@@ -34,7 +34,9 @@ def metropolis_weights(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     (column ``node_id``) adds nodes without edges, whose own weight is 1.
     """
     given = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src != dst")
-    both = cut_lineage(given.unionByName(given.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    once = cut_lineage(given.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    both = once.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
+                                        F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))))
     degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     degree, small = pinned(degree)
     other = degree.select(F.col("src").alias("dst"), F.col("deg").alias("deg_dst"))
