@@ -68,3 +68,47 @@ def substring_dedup(rows, k=35):
                 gone[i:i + k] = [True] * k
         out.append((d, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g))))
     return out
+
+
+def _spans(found, kinds):
+    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(found, key=lambda s: (s[0], kinds.index(s[1]))))
+
+
+PII_KINDS = ["email", "ip", "card", "phone", "term"]
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def personal_data(text):
+    text, out = text or "", []
+    out += [(m.start(), "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), "ip", m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and luhn(d):
+            out.append((m.start(), "card", m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), "phone", m.end()))
+    return _spans(out, PII_KINDS)
+
+
+SECRET_KINDS = ["assign", "access", "hex", "random"]
+
+
+def secrets(text):
+    text, out = text or "", []
+    for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
+        if len(m[2]) >= 6:
+            out.append((m.start(), "assign", m.end()))
+    out += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return _spans(out, SECRET_KINDS)
