@@ -23,6 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE_VALUES = np.random.default_rng(20_231).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _BASE = _U(0x9E3779B97F4A7C15)
+CACHE_BYTES = 1 << 16
 _powers = np.ones(1, dtype=np.uint64)
 
 
@@ -101,10 +102,17 @@ def hash_ranges(compact: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Hash of every consecutive range of ``compact`` bytes; lengths are at least one."""
     if not len(lengths):
         return np.empty(0, np.uint64)
+    powers = _powers_up_to(int(lengths.max()))
     begin = np.cumsum(lengths) - lengths
-    place = np.arange(len(compact)) - np.repeat(begin, lengths)
-    values = _BYTE_VALUES[compact] * _powers_up_to(int(lengths.max()))[place]
-    return mix(np.add.reduceat(values, begin) + lengths.astype(np.uint64))
+    out = np.empty(len(lengths), dtype=np.uint64)
+    # in parts that stay in the processor's cache
+    edges = np.r_[np.flatnonzero(np.diff(begin // CACHE_BYTES, prepend=-1)), len(lengths)]
+    for a, b in zip(edges[:-1], edges[1:]):
+        lo, hi = begin[a], begin[b] if b < len(begin) else len(compact)
+        local = begin[a:b] - lo
+        place = np.arange(hi - lo) - np.repeat(local, lengths[a:b])
+        out[a:b] = np.add.reduceat(_BYTE_VALUES[compact[lo:hi]] * powers[place], local)
+    return mix(out + lengths.astype(np.uint64))
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
