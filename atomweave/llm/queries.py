@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import neardup, pii, secrets, substring, toxicity, warc
+from . import decontaminate, keys, lines, neardup, pii, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,7 +39,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_randomness_secrets")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+    return keys.digest(keys.find_secrets(table(spark, sf_dir, "documents")))
 
 
 @query("op10_salvaged_archives", """
@@ -60,3 +60,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_recurrent_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
+
+
+@query("op5_banded_leaks")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.with_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@query("op7_line_runs")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

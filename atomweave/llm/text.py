@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import scratch_path
 from ..sizing import model_bytes_limit
@@ -178,3 +178,18 @@ def keep_ids(big: DataFrame, ids: DataFrame, key: str, n_ids: int | None = None)
 def docs_only(documents: DataFrame, *more: Column | str) -> DataFrame:
     """The two columns the operators read, whatever else the table holds."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+def row_key(documents: DataFrame) -> Column:
+    """64 bits that stand for a row's id and text; rows that repeat whole share them."""
+    return F.xxhash64(F.coalesce(documents["doc_id"].cast("string"), F.lit("none")), F.coalesce(documents["text"].cast("string"), F.lit("")))
+
+
+def carried(documents: DataFrame, *more: Column) -> DataFrame:
+    """``row, doc_id, text`` and ``more``: all columns as one struct, so that no name of theirs can clash with an operator's."""
+    return documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+def row_schema(documents: DataFrame, more: str) -> T.StructType:
+    """A schema of the struct ``row`` and further fields."""
+    return T.StructType([T.StructField("row", documents.schema), *T.StructType.fromDDL(more).fields])

@@ -112,3 +112,38 @@ def secrets(text):
     out += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     out += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     return _spans(out, SECRET_KINDS)
+
+
+def line_runs(rows, min_chars=60):
+    """rows: distinct (doc_id, text). [(doc_id, n_lines, n_removed, sha of what is kept)]; later copies of runs go."""
+    split = [(d, t.split("\n") if t else []) for d, t in rows]
+    ordered = sorted(split, key=lambda x: x[0])
+    seen_two, seen_one, out = set(), set(), []
+    for d, found in ordered:
+        gone = [False] * len(found)
+        for i, line in enumerate(found):
+            if len(line.encode()) >= min_chars and line in seen_one:
+                gone[i] = True
+            seen_one.add(line)
+        for i in range(len(found) - 1):
+            pair = (found[i], found[i + 1])
+            if pair in seen_two:
+                gone[i] = gone[i + 1] = True
+            seen_two.add(pair)
+        out.append((d, len(found), sum(gone), sha("\n".join(x for x, g in zip(found, gone) if not g))))
+    return out
+
+
+def fold(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", ascii_lower(text))
+
+
+def least_edits(pattern, text):
+    """Fewest edits between a pattern and any part of a text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        new = [i]
+        for j, x in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != x)))
+        row = new
+    return min(row)
