@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontaminate, keys, lines, neardup, pii, substring, toxicity, warc
+from . import decontaminate, keys, lines, neardup, pieces, pii, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.remove_repeated_lines(table(spark, sf_dir, "documents"))
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op6_suffix_array_pieces")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encoded(table(spark, sf_dir, "documents"), pieces.load_vocabulary())
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
