@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontaminate, keys, lines, neardup, pieces, pii, substring, toxicity, warc
+from . import decontaminate, keys, lines, neardup, neighbours, pieces, pii, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,7 +59,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_recurrent_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", "predicted")
 
 
 @query("op5_banded_leaks")
@@ -78,3 +79,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.encoded(table(spark, sf_dir, "documents"), pieces.load_vocabulary())
     return found.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
+
+
+@query("op9_hilbert_neighbours")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))

@@ -168,11 +168,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_ids(big: DataFrame, ids: DataFrame, key: str, n_ids: int | None = None) -> DataFrame:
-    """Rows of ``big`` whose key is in ``ids``; ids are broadcast only if their counted size is within the model limit."""
-    n = ids.count() if n_ids is None else n_ids
-    small = n * 16 <= min(model_bytes_limit(ids.sparkSession), 64 << 20)
-    return big.join(F.broadcast(ids) if small else ids, key, "left_semi")
+def keep_ids(big: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``big`` whose key is in ``ids`` (``left_anti``: is not); ids are broadcast only if their counted size is within the model limit."""
+    small = ids.count() * 16 <= min(model_bytes_limit(ids.sparkSession), 64 << 20)
+    return big.join(F.broadcast(ids) if small else ids, key, how)
 
 
 def docs_only(documents: DataFrame, *more: Column | str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..shipping import map_batches
-from .text import LOWER, Tokens, docs_only, text_slices, utf8
+from .text import LOWER, Tokens, carried, docs_only, row_schema, text_slices, utf8
 
 WINDOW, STRIDE = 48, 32
 HIDDEN, WIDTH = 8, 16
@@ -253,14 +253,13 @@ def _score(model, constant: float):
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
-                data, bounds = utf8(part.column(1))
-                scores = model.value.scores(data, bounds) if model else np.full(part.num_rows, constant)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores)], names=["doc_id", "text", "score"])
+                scores = model.value.scores(*utf8(part.column(1))) if model else np.full(part.num_rows, constant)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], names=["row", "score"])
     return run
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, held_out, score, predicted``, one row per row of ``documents``.
+    """``row, held_out, score, predicted``, one row per row of ``documents`` (its columns in the struct ``row``).
 
     Texts without words (empty, null, blank) get the score of the network's bias. Where the training rows hold only one
     class, or there are none, every score is the smoothed share of toxic rows. An id with several labels counts as
@@ -271,5 +270,5 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     model, constant = None, (n_toxic + 0.5) / (len(rows) + 2)
     if 0 < n_toxic < len(rows):
         model = documents.sparkSession.sparkContext.broadcast(fit([t for t, _ in rows], [label for _, label in rows]))
-    scored = map_batches(docs_only(documents), _score(model, constant), "doc_id long, text string, score double")
-    return scored.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = map_batches(carried(documents).select("row", "text"), _score(model, constant), row_schema(documents, "score double"))
+    return scored.select("row", held_out(F.col("row.doc_id").cast("long")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
