@@ -11,8 +11,10 @@ The way from buckets to components emits no pairs within a group:
 2. in every bucket each member is paired with the bucket's smallest representative only, pairs are confirmed on full
    sets, and confirmed links give components;
 3. buckets that still hold several components, and more than the two members already compared, are compared block by
-   block on one-byte signatures inside tasks; only pairs of different components whose signatures agree in 72 of 128
-   values go on to the full sets (a linked pair fails that with probability 5e-7).
+   block on one-byte signatures inside tasks, where pairs of different components whose signatures agree in 72 of 128
+   values count (a linked pair fails that with probability 5e-7). First every member names its best partner only, which
+   joins families that are chains of links. What is still apart gets signatures of 1,024 values; pairs that agree in 706
+   of them (a linked pair fails that with probability 4e-6) go to the full sets.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from .graph import components
 from .text import Tokens, docs_only, inner_windows, keep_ids, list_column, mix, seeds, signed, text_slices, utf8, window_hashes, written
 
 WORDS, BANDS, ROWS, AGREE, BLOCK = 5, 32, 4, 72, 1024
+FINE, FINE_AGREE = 1024, 706  # values of the finer signature, and how many of them must agree
 PERMUTATIONS = BANDS * ROWS // 2
 
 
@@ -90,16 +93,14 @@ def _sign(words: int, bands: int, rows: int):
                     inner = np.r_[edges[:-1][full], edges[-1]]
                     sig = min_max(values, inner, bands * rows // 2)
                     keys[full] = band_keys(sig, bands, rows)
-                    sketch[full] = (mix(sig.reshape(len(full), -1)) & np.uint64(255)).astype(np.uint8)
+                    sketch[full] = _low_bytes(sig)
                     ident[full, 0] = np.add.reduceat(mix(values), inner[:-1])
                     ident[full, 1] = np.bitwise_xor.reduceat(mix(values + np.uint64(77)), inner[:-1])
                 band_first = np.r_[0, np.cumsum(np.where(sizes > 0, bands, 0))]
-                width = bands * rows
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(sizes.astype(np.int64)), pa.array(signed(ident[:, 0])), pa.array(signed(ident[:, 1])),
                     list_column(pa.array(signed(keys[full]).ravel()), band_first),
-                    pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.arange(len(sizes) + 1, dtype=np.int32) * np.int32(width)),
-                                                                    pa.py_buffer(sketch.tobytes())]),
+                    _bytes(sketch),
                 ], names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
     return run
 
@@ -113,9 +114,31 @@ def _sets(words: int):
     return run
 
 
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """Rows of one-byte values as a column of equally long binaries."""
+    edges = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(edges), pa.py_buffer(rows.tobytes())])
+
+
+def _low_bytes(signature: np.ndarray) -> np.ndarray:
+    return (mix(signature.reshape(len(signature), -1)) & np.uint64(255)).astype(np.uint8)
+
+
+def _finer(words: int):
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch):
+                values, edges = shingle_sets(*utf8(part.column(1)), words)
+                full = np.flatnonzero(np.diff(edges))
+                if len(full):
+                    sketch = _low_bytes(min_max(values, np.r_[edges[:-1][full], edges[-1]], FINE // 2))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), pa.array(np.diff(edges)[full]), _bytes(sketch)], names=["id", "n", "sketch"])
+    return run
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets have ``100 * common >= percent * union``; sets are made for their documents only."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
     needed = keep_ids(texts, ids, "doc_id")
     sets = written(map_batches(needed, _sets(words), "doc_id long, shingles array<long>"), "pair-sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -124,7 +147,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
 
 
-def _agreeing(agree: int, percent: int):
+def _agreeing(coarse: int, agree: int, percent: int, every: bool):
+    """Pairs of different components in a block pair of a bucket: all that agree enough, or the best one of each member."""
     def run(key, pdf):
         import pandas as pd
 
@@ -132,16 +156,31 @@ def _agreeing(agree: int, percent: int):
         side = [pdf[pdf.home == k] for k in ((i, j) if i != j else (i,))]
         left, right = side[0], side[-1]
         x = [np.frombuffer(b"".join(s.sketch), dtype=np.uint8).reshape(len(s), -1) for s in (left, right)]
+        ids, sizes, group = [[s[c].values for s in (left, right)] for c in ("id", "n", "c")]
         found = []
+        best = np.full((2, len(right)), -1, dtype=np.int64)  # of every right member: agreement and place of its best left one
         for r in range(len(left)):
-            n = left.n.iat[r]
-            ok = (right.c.values != left.c.iat[r]) & (np.minimum(right.n.values, n) * 100 >= np.maximum(right.n.values, n) * percent)
-            at = np.flatnonzero(ok)
-            if len(at):
-                at = at[(x[1][at] == x[0][r]).sum(axis=1) >= agree]
-                found.append(np.stack([np.full(len(at), left.id.iat[r]), right.id.values[at]], axis=1))
+            n = sizes[0][r]
+            at = np.flatnonzero((group[1] != group[0][r]) & (np.minimum(sizes[1], n) * 100 >= np.maximum(sizes[1], n) * percent))
+            if not len(at):
+                continue
+            same = (x[1][at, :coarse] == x[0][r, :coarse]).sum(axis=1)
+            at, same = at[same >= AGREE * coarse // 128], same[same >= AGREE * coarse // 128]
+            if every:
+                same = (x[1][at] == x[0][r]).sum(axis=1)
+                at, same = at[same >= agree], same[same >= agree]
+            if not len(at):
+                continue
+            if not every:
+                better = same > best[0][at]
+                best[:, at[better]] = np.stack([same[better], np.full(better.sum(), r)])
+                at = at[[np.argmax(same)]]
+            found.append(np.stack([np.full(len(at), ids[0][r]), ids[1][at]], axis=1))
+        if not every:
+            some = np.flatnonzero(best[1] >= 0)
+            found.append(np.stack([ids[0][best[1][some]], ids[1][some]], axis=1))
         out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        out.sort(axis=1)
+        out = np.unique(np.sort(out, axis=1), axis=0)
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
     return run
 
@@ -165,26 +204,32 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = 75,
     stars = written(rows_of.join(heads, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
     links = written(confirmed(stars, texts, words, percent), "links")
     same = of_doc.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    first = components(links)
-
+    tested = stars
     # what stars cannot decide: buckets of three and more that are not one component yet
-    labelled = rows_of.join(heads.where("size > 2").select("bucket"), "bucket").join(first, "id", "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("c"))
-    labelled = written(labelled, "labelled")
-    open_buckets = written(labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
-                           .where("lo <> hi"), "open-buckets")
-    if open_buckets.isEmpty():
-        return _result(signed_docs, links.union(same))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = labelled.join(open_buckets.select("bucket", blocks.alias("blocks")), "bucket").join(
-        reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "id")
-    members = members.withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", "id", "c", "n", "sketch")
-    more = written(dealt.groupBy("bucket", "i", "j").applyInPandas(_agreeing(AGREE * bands * rows // 128, percent), "a long, b long")
-                   .distinct().join(stars, ["a", "b"], "left_anti"), "late-pairs")
-    late = confirmed(more, texts, words, percent)
-    return _result(signed_docs, links.union(late).union(same))
+    crowded = written(rows_of.join(heads.where("size > 2").select("bucket"), "bucket"), "crowded")
+    for every in (False, True):
+        label = components(links)
+        labelled = crowded.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+        open_buckets = written(labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
+                               .where("lo <> hi"), "open-buckets")
+        if open_buckets.isEmpty():
+            break
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        members = labelled.join(open_buckets.select("bucket", blocks.alias("blocks")), "bucket")
+        if every:
+            apart = written(members.select(F.col("id").alias("doc_id")).distinct(), "apart")
+            sketches = written(map_batches(keep_ids(texts, apart, "doc_id"), _finer(words), "id long, n long, sketch binary").dropDuplicates(["id"]), "finer")
+        else:
+            sketches = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+        members = members.join(sketches, "id")
+        members = members.withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("bucket", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", "id", "c", "n", "sketch")
+        found = dealt.groupBy("bucket", "i", "j").applyInPandas(_agreeing(min(128, bands * rows), FINE_AGREE, percent, every), "a long, b long")
+        more = written(found.distinct().join(tested, ["a", "b"], "left_anti"), "late-pairs")
+        late = written(confirmed(more, texts, words, percent), "late-links")
+        links, tested = links.union(late), tested.union(more)
+    return _result(signed_docs, links.union(same))
 
 
 def _result(signed_docs: DataFrame, links: DataFrame) -> DataFrame:
