@@ -33,6 +33,7 @@ _IP = re.compile(rb"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 CONTEXT, MIN_TOGETHER, DISCLOSE, REMOVE = 12, 3, 0.8, 0.95
+COUNTS_IN_TASK = 1 << 20  # counts a task holds before it hands them on
 
 _NUMBER = np.zeros(256, dtype=bool)
 _NUMBER[48:58] = True
@@ -129,15 +130,41 @@ def _find(context: int):
     return run
 
 
+def _merged(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not values:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    distinct, at = np.unique(np.concatenate(values), return_inverse=True)
+    return distinct, np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
+
+
 def _count_terms(terms):
+    """Document counts of the marked words, added up inside a task before anything leaves it."""
     def run(batches):
+        values, counts, held = [], [], 0
+
+        def out():
+            v, n = _merged(values, counts)
+            return pa.RecordBatch.from_arrays([pa.array(signed(v)), pa.array(n)], names=["term", "n"])
         for batch in batches:
             for part in text_slices(batch):
                 tokens = Tokens(*utf8(part.column(0)), lower=True)
-                keep = _in_bitmap(tokens.hash, terms.value)
-                pairs = np.unique(np.stack([tokens.doc[keep].astype(np.uint64), tokens.hash[keep]]), axis=1)[1] if keep.any() else np.empty(0, np.uint64)
-                values, counts = np.unique(pairs, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(values)), pa.array(counts.astype(np.int64))], names=["term", "n"])
+                keep = np.flatnonzero(_in_bitmap(tokens.hash, terms.value))
+                if not len(keep):
+                    continue
+                order = keep[np.lexsort((tokens.hash[keep], tokens.doc[keep]))]
+                doc, word = tokens.doc[order], tokens.hash[order]
+                new = np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])]
+                v, n = np.unique(word[new], return_counts=True)
+                values.append(v)
+                counts.append(n)
+                held += len(v)
+                if held > COUNTS_IN_TASK:
+                    v, n = _merged(values, counts)
+                    values, counts, held = [v], [n], len(v)
+                    if held > COUNTS_IN_TASK // 2:
+                        yield out()
+                        values, counts, held = [], [], 0
+        yield out()
     return run
 
 
