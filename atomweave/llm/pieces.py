@@ -29,6 +29,7 @@ _FAR = 1 << 30  # rank of what never merges
 _START, _NONE, _UNKNOWN = -1, -2, -3
 _PACK, _BITS = 7, 9  # characters per key and bits of each
 _MEMO = 1 << 21
+_TOGETHER = 1 << 20  # bytes of distinct cuttings that are indexed together; one cutting is never split
 
 
 class Vocabulary:
@@ -304,8 +305,15 @@ def encode(v: Vocabulary, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndar
         return np.empty(0, np.int32), np.zeros(len(bounds), dtype=np.int64)
     length = np.diff(np.r_[start, len(text)])
     _, at, of = np.unique(hash_ranges(text, length), return_index=True, return_inverse=True)
-    distinct, size = _gather(text, np.r_[start, len(text)], at)
-    ids, first = encode_cuttings(v, distinct, np.r_[0, np.cumsum(size)])
+    edges = np.r_[start, len(text)]
+    share = np.flatnonzero(np.diff(np.cumsum(length[at]) // _TOGETHER)) + 1
+    found, counts = [], []
+    for lo, hi in zip(np.r_[0, share], np.r_[share, len(at)]):
+        distinct, size = _gather(text, edges, at[lo:hi])
+        some, first = encode_cuttings(v, distinct, np.r_[0, np.cumsum(size)])
+        found.append(some)
+        counts.append(np.diff(first))
+    ids, first = np.concatenate(found), np.r_[0, np.cumsum(np.concatenate(counts))]
     flat, count = _gather(ids, first, of)
     total = np.r_[0, np.cumsum(count)]
     return flat, total[np.searchsorted(start, doc)]
