@@ -12,8 +12,8 @@ The way from buckets to components emits no pairs within a group:
    sets, and confirmed links give components;
 3. buckets that still hold several components, and more than the two members already compared, are compared block by
    block on one-byte signatures inside tasks, where pairs of different components whose signatures agree in 72 of 128
-   values count (a linked pair fails that with probability 5e-7). First every member names its best partner only, which
-   joins families that are chains of links. What is still apart gets signatures of 1,024 values; pairs that agree in 706
+   values count (a linked pair fails that with probability 5e-7), each pair in the first bucket that it shares. First
+   every component names its best partner only, which joins families that are chains of links. What is still apart gets signatures of 1,024 values; pairs that agree in 706
    of them (a linked pair fails that with probability 4e-6) go to the full sets.
 """
 
@@ -148,17 +148,23 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 
 def _agreeing(coarse: int, agree: int, percent: int, every: bool):
-    """Pairs of different components in a block pair of a bucket: all that agree enough, or the best one of each member."""
+    """Pairs of different components in a block pair of a bucket: all that agree enough, or the best one of each component.
+
+    A pair counts in the first bucket that its two members share and nowhere else. As the members are of different
+    components, that bucket is either one of those compared here or one of two members, which the stars have tested.
+    """
     def run(key, pdf):
         import pandas as pd
 
         _, i, j = key
         side = [pdf[pdf.home == k] for k in ((i, j) if i != j else (i,))]
         left, right = side[0], side[-1]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         x = [np.frombuffer(b"".join(s.sketch), dtype=np.uint8).reshape(len(s), -1) for s in (left, right)]
         ids, sizes, group = [[s[c].values for s in (left, right)] for c in ("id", "n", "c")]
+        keys = [np.array(s.bands.tolist(), dtype=np.int64) for s in (left, right)]
         found = []
-        best = np.full((2, len(right)), -1, dtype=np.int64)  # of every right member: agreement and place of its best left one
         for r in range(len(left)):
             n = sizes[0][r]
             at = np.flatnonzero((group[1] != group[0][r]) & (np.minimum(sizes[1], n) * 100 >= np.maximum(sizes[1], n) * percent))
@@ -171,16 +177,21 @@ def _agreeing(coarse: int, agree: int, percent: int, every: bool):
                 at, same = at[same >= agree], same[same >= agree]
             if not len(at):
                 continue
-            if not every:
-                better = same > best[0][at]
-                best[:, at[better]] = np.stack([same[better], np.full(better.sum(), r)])
-                at = at[[np.argmax(same)]]
-            found.append(np.stack([np.full(len(at), ids[0][r]), ids[1][at]], axis=1))
-        if not every:
-            some = np.flatnonzero(best[1] >= 0)
-            found.append(np.stack([ids[0][best[1][some]], ids[1][some]], axis=1))
-        out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        out = np.unique(np.sort(out, axis=1), axis=0)
+            shared = keys[1][at] == keys[0][r]
+            here = keys[0][r][shared.argmax(axis=1)] == key[0]
+            at, same = at[here], same[here]
+            if not every and len(at):  # the best one of every component
+                order = np.lexsort((-same, group[1][at]))
+                order = order[np.unique(group[1][at][order], return_index=True)[1]]
+                at, same = at[order], same[order]
+            found.append(np.stack([np.full(len(at), r), at, same], axis=1))
+        l, r, same = np.concatenate(found).T if found else np.empty((3, 0), np.int64)
+        if not every and len(l):
+            by = np.argsort(-same, kind="stable")
+            chosen = [by[np.unique(of[by], return_index=True)[1]] for of in (group[0][l], group[1][r])]
+            chosen = np.unique(np.concatenate(chosen))
+            l, r = l[chosen], r[chosen]
+        out = np.unique(np.sort(np.stack([ids[0][l], ids[1][r]], axis=1), axis=1), axis=0)
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
     return run
 
@@ -219,12 +230,13 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = 75,
         if every:
             apart = written(members.select(F.col("id").alias("doc_id")).distinct(), "apart")
             sketches = written(map_batches(keep_ids(texts, apart, "doc_id"), _finer(words), "id long, n long, sketch binary").dropDuplicates(["id"]), "finer")
+            sketches = sketches.join(reps.select(F.col("doc_id").alias("id"), "bands"), "id")
         else:
-            sketches = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+            sketches = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands")
         members = members.join(sketches, "id")
         members = members.withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("bucket", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", "id", "c", "n", "sketch")
+        dealt = dealt.select("bucket", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", "id", "c", "n", "sketch", "bands")
         found = dealt.groupBy("bucket", "i", "j").applyInPandas(_agreeing(min(128, bands * rows), FINE_AGREE, percent, every), "a long, b long")
         more = written(found.distinct().join(tested, ["a", "b"], "left_anti"), "late-pairs")
         late = written(confirmed(more, texts, words, percent), "late-links")
