@@ -42,14 +42,22 @@ def row_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(column)), counts), counts
 
 
-def scatter_codes(terms: pa.Array, rows: int, position: dict[int, int] | None, n_atoms: int) -> np.ndarray:
+def places(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted id stands in the sorted ids; an unknown one is an error."""
+    at = np.minimum(np.searchsorted(ids, wanted), max(0, len(ids) - 1))
+    if len(wanted) and (not len(ids) or (ids[at] != wanted).any()):
+        raise KeyError("codes name an atom that is not in the dictionary")
+    return at
+
+
+def scatter_codes(terms: pa.Array, rows: int, position: np.ndarray | None, n_atoms: int) -> np.ndarray:
     """A column of ``array<struct<atom_id, coef>>`` as a dense (rows, atoms) matrix."""
     owner, _ = row_lists(terms)
     flat = terms.flatten()
     atom = np.asarray(flat.field("atom_id")).astype(np.int64)
     coef = np.asarray(flat.field("coef")).astype(np.float64)
     if position is not None:
-        atom = np.fromiter((position[int(a)] for a in atom), dtype=np.int64, count=len(atom))
+        atom = places(position, atom)
     out = np.zeros((rows, n_atoms))
     np.add.at(out, (owner, atom), coef)
     return out

@@ -185,8 +185,9 @@ def grouped_codes(codes: DataFrame) -> DataFrame:
 
 
 def attach_codes(signals: DataFrame, codes: DataFrame, how: str = "left") -> DataFrame:
+    """Signals with a column ``terms``; float vectors stay narrow until a task reads them."""
     keep = [c for c in signals.columns if c not in ("signal_id", "vec")]
-    return signal_vectors(signals, *keep).join(grouped_codes(codes), "signal_id", how)
+    return signal_vectors(signals, *keep, native=True).join(grouped_codes(codes), "signal_id", how)
 
 
 def residual(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame, how: str = "left") -> DataFrame:
@@ -228,10 +229,24 @@ def reconstruct(atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
 
 
 def relative_error(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
-    """One row ``(residual_norm, signal_norm, relative_error)``."""
-    square = vectors.sum_of_squares(F.col("vec"))
-    parts = residual(signals, atoms, codes, "full").select(square.alias("r"), F.lit(0.0).alias("y")).unionByName(
-        signal_vectors(signals).select(F.lit(0.0).alias("r"), square.alias("y")))
+    """One row ``(residual_norm, signal_norm, relative_error)``, from one scan of the signals."""
+    found = load_dictionary(atoms)
+    if found is None:
+        square = vectors.sum_of_squares(F.col("vec"))
+        parts = residual(signals, atoms, codes, "full").select(square.alias("r"), F.lit(0.0).alias("y")).unionByName(
+            signal_vectors(signals).select(F.lit(0.0).alias("r"), square.alias("y")))
+    else:
+        model = ship(signals, found)
+
+        def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matrix, position = model.value.matrix, model.value.position()
+            for whole in batches:
+                for batch in arrow.slices(whole, arrow.rows_within(8 * (len(matrix) + 3 * matrix.shape[1]))):
+                    y = arrow.dense_rows_or_zero(batch.column("vec"), matrix.shape[1])
+                    r = y - arrow.scatter_codes(batch.column("terms"), batch.num_rows, position, len(matrix)) @ matrix
+                    yield pa.RecordBatch.from_arrays([pa.array([np.square(r).sum()]), pa.array([np.square(y).sum()])], ["r", "y"])
+
+        parts = attach_codes(signals.select("signal_id", "vec"), codes, "full").transform(map_batches, squares, "r double, y double")
     ratio = F.when(F.col("signal_norm") > 0, F.col("residual_norm") / F.col("signal_norm"))
     return parts.agg(F.sqrt(F.coalesce(F.sum("r"), F.lit(0.0))).alias("residual_norm"),
                      F.sqrt(F.coalesce(F.sum("y"), F.lit(0.0))).alias("signal_norm")).withColumn("relative_error", ratio)
@@ -253,7 +268,7 @@ def refit(signals: DataFrame, atoms: DataFrame | Dictionary, support: DataFrame)
             owner, counts = arrow.row_lists(batch.column("terms"))
             atom = np.asarray(batch.column("terms").flatten().field("atom_id")).astype(np.int64)
             if position is not None:
-                atom = np.array([position[int(a)] for a in atom], dtype=np.int64)
+                atom = arrow.places(position, atom)
             starts = np.concatenate([[0], np.cumsum(counts)])
             for size in np.unique(counts[counts > 0]):
                 of_size = np.nonzero(counts == size)[0]

@@ -6,7 +6,7 @@ Edges are ``(src LONG, dst LONG)``, weights ``(src, dst, w)``, estimates
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -194,6 +194,19 @@ def placed_for_sums(source: DataFrame, found: Dictionary, n_nodes: int) -> DataF
     return placed_by_node(source, n_nodes, sums.width(sums.ErrorSums(found.n_atoms, found.width)))
 
 
+def _added_up(source: DataFrame, products: Callable, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of all ``products`` (K by m arrays) of a table: a task hands on one set of values, whatever the sites."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for z in products(batches):
+            total = z if total is None else total + z
+        if total is not None:
+            flat = total.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["pos", "value"])
+
+    return _local_matrix(source.transform(map_batches, run, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value")), shape)
+
+
 class SiteSums:
     """Sites known by their sums: one row per node holds all a step needs.
 
@@ -243,8 +256,23 @@ class SiteSums:
         (k, m), used = self.found.matrix.shape, self.used
         common = self.rows.sparkSession.sparkContext.broadcast(estimate) if isinstance(estimate, np.ndarray) else None
         source = self.rows if common is not None else join_model(self.rows, estimate, ["node_id"], "node_id", measured=measured)
+        products = self._products(shared, common, k, m, used)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for node, z in products(batches):
+                yield _cell_batch(node, z)
+
+        return source.transform(map_batches, run, _CELLS)
+
+    def total(self, estimate: np.ndarray) -> np.ndarray:
+        """The sum of all sites' products with one estimate that they share."""
+        (k, m), used = self.found.matrix.shape, self.used
+        products = self._products(ship(self.rows, self.found), self.rows.sparkSession.sparkContext.broadcast(estimate), k, m, used)
+        return _added_up(self.rows, lambda batches: (z for _, z in products(batches)), (k, m))
+
+    @staticmethod
+    def _products(shared, common, k: int, m: int, used: np.ndarray) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
             model = shared.value
             for whole in batches:
                 for batch in arrow.slices(whole, arrow.rows_within(8 * (m * m + 2 * k * m))):
@@ -256,9 +284,8 @@ class SiteSums:
                     q = None if common is not None else arrow.dense_rows(batch.column("q"), k * m).reshape(-1, k, m)
                     for row, node in enumerate(nodes):
                         now = common.value if q is None else q[row]
-                        yield _cell_batch(node, sums.power_step(rr[row], rx[row], energy[row], model.matrix, now))
-
-        return source.transform(map_batches, run, _CELLS)
+                        yield node, sums.power_step(rr[row], rx[row], energy[row], model.matrix, now)
+        return run
 
 
 class SiteRows:
@@ -270,7 +297,6 @@ class SiteRows:
 
     def __init__(self, source: DataFrame, coded: Coded, found: Dictionary):
         self.found = found
-        check_row_width(source.sparkSession, found.n_atoms * found.width)
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, _, residual, x in coded(batches):
@@ -282,9 +308,25 @@ class SiteRows:
         self.rows = cut_lineage(source.transform(map_batches, rows,
             "node_id long, signal_id long, residual array<double>, atoms array<int>, coefs array<double>"))
 
+    def total(self, estimate: np.ndarray) -> np.ndarray:
+        """The sum of all sites' products with one estimate that they share; sites play no part in it."""
+        shared, (k, m) = ship(self.rows, self.found), self.found.matrix.shape
+        common = self.rows.sparkSession.sparkContext.broadcast(estimate)
+
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+            for whole in batches:
+                for batch in arrow.slices(whole, arrow.rows_within(24 * (k + m))):
+                    residual = arrow.dense_rows(batch.column("residual"), m)
+                    x = arrow.rows_of_sparse(batch.column("atoms"), batch.column("coefs"), k)
+                    yield sums.power_step_of_rows(residual, x, shared.value.matrix, common.value)
+
+        return _added_up(self.rows, products, (k, m))
+
     def step(self, estimate: np.ndarray | DataFrame, measured: bool) -> DataFrame:
         shared = ship(self.rows, self.found)
         k, m = self.found.matrix.shape
+        if not isinstance(estimate, np.ndarray):  # every node's estimate is a row
+            check_row_width(self.rows.sparkSession, k * m)
         common = self.rows.sparkSession.sparkContext.broadcast(estimate) if isinstance(estimate, np.ndarray) else None
         source = self.rows if common is not None else join_model(self.rows, estimate, ["node_id"], "signal_id", measured=measured)
 
@@ -336,6 +378,10 @@ def run_rounds(at_sites: SiteSums | SiteRows, exchange: Exchange, start: np.ndar
     shape = start.shape
     estimate, small = sums.unit_rows(start), False
     for _ in range(power_rounds):
+        if exchange.power is None and mix == "before":
+            # all nodes mix the same mean, so only the sum of their products is needed
+            estimate = sums.unit_rows(at_sites.total(estimate) / max(1, exchange.n_nodes))
+            continue
         z = at_sites.step(estimate, small)
         if mix == "after":
             z = _unit_length(z, Window.partitionBy("node_id", F.expr(f"pos div {shape[1]}")))

@@ -86,14 +86,16 @@ def sum_cells(source: DataFrame, coded: Coded, new_sums: Callable[[], object], p
             if per_node is None:
                 continue
             nodes = np.asarray(batch.column("node_id"))
-            for node in np.unique(nodes):
+            order = np.argsort(nodes, kind="stable")
+            edges = np.flatnonzero(np.diff(nodes[order])) + 1
+            for mine in np.split(order, edges) if len(order) else []:
+                node = int(nodes[mine[0]])
                 if node not in held:
-                    held[int(node)] = per_node()
+                    held[node] = per_node()
                     if len(held) > room:
                         oldest = next(iter(held))
                         yield sums.cell_batch(oldest, held.pop(oldest))
-                mine = nodes == node
-                held[int(node)].add(signals[mine], residual[mine], codes[mine])
+                held[node].add(signals[mine], residual[mine], codes[mine])
         for node, kept in held.items():
             yield sums.cell_batch(node, kept)
         if whole is not None:
@@ -116,7 +118,8 @@ def rr_fits(spark, m: int) -> bool:
 
 
 def xx_fits(n_atoms: int) -> bool:
-    """Whether the K by K sums are worth handing on from every task (they only serve the report)."""
+    """Whether the K by K sums are worth handing on from every task (they only serve the report,
+    which otherwise takes a further pass)."""
     return n_atoms <= 256
 
 
@@ -146,6 +149,11 @@ def atom_errors(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFr
 
     E_k is the residual with atom k's own part put back: r_i + d_k x_ik.
     """
+    return _atom_errors(signals.select("signal_id", "vec"), atoms, codes).select("atom_id", "signal_id", "vec")
+
+
+def _atom_errors(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
+    """Errors with the signal's ``node_id``, where it has one."""
     found = local_dictionary(atoms)
     model = ship(signals, found)
 
@@ -154,25 +162,25 @@ def atom_errors(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFr
         k, m = matrix.shape
         for batch, _, residual, x in coded_by_table(model)(batches):
             names = np.asarray(batch.column("signal_id"))
+            sites = np.asarray(batch.column("node_id")) if "node_id" in batch.schema.names else names
             step = arrow.rows_within(16 * k * m)
             for at in range(0, len(names), step):
                 some = slice(at, at + step)
                 errors = residual[some][:, None, :] + x[some][:, :, None] * matrix
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.tile(ids, len(errors))), pa.array(np.repeat(names[some], k)),
-                     arrow.list_rows(errors.reshape(-1, m))], ["atom_id", "signal_id", "vec"])
-
-    return attach_codes(signals.select("signal_id", "vec"), codes).transform(
+                     pa.array(np.repeat(sites[some], k)), arrow.list_rows(errors.reshape(-1, m))],
+                    ["atom_id", "signal_id", "node_id", "vec"])
 
-        map_batches, put_back, "atom_id int, signal_id long, vec array<double>")
+    return attach_codes(signals, codes).transform(
+        map_batches, put_back, "atom_id int, signal_id long, node_id long, vec array<double>")
 
 
 def site_errors(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
-    """The errors keyed by site: ``(node_id, signal_id, atom_id, vec)``."""
-    sites = signals.select(F.col("signal_id").cast("long").alias("signal_id"),
-                           F.col("node_id" if "node_id" in signals.columns else "signal_id").cast("long").alias("node_id"))
-    found = atom_errors(signals, atoms, codes)
-    return found.join(sites, "signal_id").select("node_id", "signal_id", "atom_id", "vec")
+    """The errors keyed by site: ``(node_id, signal_id, atom_id, vec)``. Without a column ``node_id`` each signal is its own site."""
+    sites = [c for c in ("node_id",) if c in signals.columns]
+    found = _atom_errors(signals.select("signal_id", *sites, "vec"), atoms, codes)
+    return found.where("node_id is not null").select("node_id", "signal_id", "atom_id", "vec")
 
 
 def dimension_errors(signals: DataFrame, atoms: DataFrame, codes: DataFrame) -> DataFrame:

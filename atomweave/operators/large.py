@@ -236,14 +236,16 @@ def refit(source: DataFrame, atoms: DataFrame, chosen: DataFrame) -> DataFrame:
         F.flatten(F.transform("parts", lambda p: p["atom"])).alias("chosen"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                vec = np.asarray(batch.column("vec")[k].values)
-                matrix = np.asarray(batch.column("chosen")[k].values).reshape(-1, len(vec))
-                coefs = vec @ np.linalg.pinv(matrix)
-                one = batch.slice(k, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [one.column("signal_id"), one.column("picks"), arrow.list_rows(coefs[None])],
-                    ["signal_id", "picks", "coefs"])
+        for whole in batches:
+            _, counts = arrow.row_lists(whole.column("picks"))
+            for size in np.unique(counts[counts > 0]).tolist():  # signals of equal support size are solved together
+                of_size = whole.take(pa.array(np.flatnonzero(counts == size)))
+                m = len(of_size.column("vec")[0])
+                for batch in arrow.slices(of_size, arrow.rows_within(24 * size * m)):
+                    vec = arrow.dense_rows(batch.column("vec"), m)
+                    matrix = arrow.dense_rows(batch.column("chosen"), size * m).reshape(-1, size, m)
+                    coefs = np.einsum("bm,bmp->bp", vec, np.linalg.pinv(matrix))
+                    yield pa.RecordBatch.from_arrays([batch.column("signal_id"), batch.column("picks"), arrow.list_rows(coefs)],
+                                                     ["signal_id", "picks", "coefs"])
 
     return rows.transform(map_batches, solve, "signal_id long, picks array<int>, coefs array<double>")

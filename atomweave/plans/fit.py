@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import arrow, sums
@@ -19,6 +20,7 @@ from ..operators.coding import global_picks, omp, ship, signal_vectors
 from ..operators.errors import coded_by_pursuit, local_dictionary, pursuit_totals, rr_fits, weight_matrix, xx_fits
 from ..operators.update import dimension_step, leading_vectors
 from ..session import cached, cut_lineage
+from ..shipping import map_batches
 from ..sources.models import Dictionary, init_dictionary
 
 REPORT = ("iter int, n_atoms int, nnz long, residual_norm double, relative_error double, "
@@ -43,10 +45,21 @@ def _pruned(found: Dictionary, used: np.ndarray) -> Dictionary:
     return Dictionary(np.arange(len(used)), np.ascontiguousarray(found.matrix[used]))
 
 
-def _updated_error(totals: sums.Totals, old: np.ndarray, new: np.ndarray) -> float | None:
-    """|Y - D_new X| / |Y| from the sums, without another pass."""
-    if totals.xx is None or not totals.y_square:
+def _updated_error(source: DataFrame, coding: Dictionary, limit: int, tol: float | None, totals: sums.Totals, new: np.ndarray) -> float | None:
+    """|Y - D_new X| / |Y|: from the sums where X X' is among them, else from one more narrow pass."""
+    if not totals.y_square:
         return None
+    old = coding.matrix
+    if totals.xx is None:
+        shared = source.sparkSession.sparkContext.broadcast(new - old)
+        coded = coded_by_pursuit(ship(source, coding), limit, tol)
+
+        def squares(batches):
+            for _, _, residual, x in coded(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([np.square(residual - x @ shared.value).sum()])], ["s"])
+
+        found = source.transform(map_batches, squares, "s double").agg(F.sum("s").alias("s")).first()["s"]
+        return float(np.sqrt((found or 0.0) / totals.y_square))
     change = new - old
     square = totals.r_square - 2 * np.sum(change * totals.rx) + np.einsum("km,kl,lm->", change, totals.xx, change)
     return float(np.sqrt(max(square, 0.0) / totals.y_square))
@@ -129,7 +142,7 @@ def fit_dictionary(signals: DataFrame, iterations: int, method: str = "svd", tol
                 first = _start_vectors(spark, start, coding, seed)
                 estimate = consensus.run_rounds(at_sites, exchange, first.matrix, power_rounds, mix)
                 found = _agreed(consensus.estimate_of_node(estimate, coding.matrix.shape, node_id), coding)
-            after = _updated_error(totals, coding.matrix, found.matrix)
+            after = _updated_error(source, coding, limit, local_tol, totals, found.matrix)
             norm = float(np.sqrt(totals.r_square))
             whole = float(np.sqrt(totals.y_square))
             rows.append((iteration, coding.n_atoms, nnz, norm, norm / whole if whole else None, after))

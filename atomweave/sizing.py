@@ -68,13 +68,14 @@ def pinned(small: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]
 
 
 def join_model(big: DataFrame, small: DataFrame, on: list[str], spread_by: str, how: str = "inner",
-               salts: int | None = None, measured: bool = False) -> DataFrame:
+               rows_per_part: int = 200_000, measured: bool = False) -> DataFrame:
     """Join a large table to a model-sized one whose keys may be badly skewed.
 
     The model side is broadcast when its measured size is within the limit. Past
-    the limit it is copied ``salts`` times and the large side is spread over the
-    copies by ``spread_by``, so that one hot key is shared by ``salts`` tasks.
-    ``measured`` says that the model side was found within the limit before.
+    the limit keys are counted on the large side; a key of more than ``rows_per_part``
+    rows is spread over so many parts by ``spread_by``, and only its rows of the model
+    side are copied. All other keys meet in a plain join. ``measured`` says that the
+    model side was found within the limit before.
     """
     if how not in ("inner", "left"):
         raise ValueError("join_model keeps every copy on the model side, so only inner and left joins are exact")
@@ -83,8 +84,11 @@ def join_model(big: DataFrame, small: DataFrame, on: list[str], spread_by: str,
         small, is_small = pinned(small)
     if is_small:
         return big.join(F.broadcast(small), on, how)
-    if salts is None:
-        salts = max(2, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keys = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_part)
+    # at most one row per rows_per_part rows of the large side
+    hot, few = pinned(keys.select(*on, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("_parts")))
+    hot = F.broadcast(hot) if few else hot
+    parts = F.coalesce("_parts", F.lit(1))
+    spread = big.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), parts).cast("int")).drop("_parts")
+    copies = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")

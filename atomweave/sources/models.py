@@ -31,11 +31,11 @@ class Dictionary:
     def table(self, spark: SparkSession) -> DataFrame:
         return matrix_to_table(spark, self.matrix, "atom_id", "atom", self.ids)
 
-    def position(self) -> dict[int, int] | None:
-        """Atom id to matrix row, or None where they are the same."""
+    def position(self) -> np.ndarray | None:
+        """Sorted ids, an atom's place in them being its matrix row; None where id and row are the same."""
         if np.array_equal(self.ids, np.arange(len(self.ids))):
             return None
-        return {int(a): k for k, a in enumerate(self.ids)}
+        return self.ids
 
 
 def matrix_to_table(spark: SparkSession, matrix: np.ndarray, key: str = "row_id", vec: str = "vec",
@@ -83,8 +83,9 @@ def table_to_matrix(df: DataFrame, key: str = "row_id", vec: str = "vec") -> np.
     return found.matrix
 
 
-# Fixed values of the formula dictionary: cell (k, j) is
-# ((37 k + 101 j + 11)^3 mod 1009 + 1) / 1010 before scaling to unit length.
+# Fixed values of the formula dictionary: cell (k, j) is (b^3 mod 1009 + 1) / 1010 before scaling to unit length,
+# b = 37 k + 101 j + 11 + (k div 1009) (2 j + 3) + (j div 1009) (2 k + 3). The last two terms keep atoms and
+# dimensions past the modulus from repeating earlier ones.
 FORMULA = {"k": 37, "j": 101, "shift": 11, "modulus": 1009}
 
 
@@ -109,7 +110,8 @@ def init_dictionary(spark: SparkSession, m: int, n_atoms: int | None = None, see
         cell = lambda j: F.pmod(F.xxhash64(F.lit(seed), atom, j), F.lit(1 << 53)).cast("double") / float(1 << 53)
     elif init == "formula":
         c = FORMULA
-        base = lambda j: (atom * c["k"] + j * c["j"] + c["shift"]) % c["modulus"]
+        again = lambda x: F.floor(x / c["modulus"])
+        base = lambda j: (atom * c["k"] + j * c["j"] + c["shift"] + again(atom) * (2 * j + 3) + again(j) * (2 * atom + 3)) % c["modulus"]
         cell = lambda j: (base(j) * base(j) * base(j) % c["modulus"] + 1).cast("double") / (c["modulus"] + 1)
     else:
         raise ValueError("init is 'random', 'formula' or 'first_k'")

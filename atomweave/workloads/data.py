@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import vectors
 from ..operators.coding import signal_vectors
 from ..operators.matrix import from_entries
+from ..sizing import check_row_width
 from ..sources.models import Dictionary, init_dictionary, load_dictionary
 
-# The kinds of event, in column order, and the span of months of a part's row.
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+# The span of months of a part's row.
 FIRST_YEAR, MONTHS = 1995, 96
 EMBEDDING_WIDTH = 64
 
@@ -31,11 +31,18 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal_vectors(source, "node_id")
 
 
+def event_types(spark: SparkSession, sf_dir: str) -> list[str]:
+    """All kinds of event in the table, no more than a row may have values."""
+    kinds = table(spark, sf_dir, "events").select("event_type").where("event_type is not null").distinct()
+    check_row_width(spark, kinds.count())
+    return sorted(r["event_type"] for r in kinds.collect())
+
+
 def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user x kind of event, summed values."""
-    kind = F.array_position(F.lit(EVENT_TYPES), F.col("event_type")) - 1
+    """user x kind of event, summed values; kinds in alphabetical order."""
+    kind = F.array_position(F.lit(event_types(spark, sf_dir)), F.col("event_type")) - 1
     return (
-        table(spark, sf_dir, "events").where(F.col("event_type").isin(EVENT_TYPES))
+        table(spark, sf_dir, "events").where("event_type is not null")
         .groupBy(F.col("user_id").alias("row_id"), kind.cast("int").alias("col_id"))
         .agg(F.sum("value").alias("value"))
     )
@@ -43,7 +50,7 @@ def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user the summed values by kind of event, in thousands."""
-    rows = from_entries(event_entries(spark, sf_dir), len(EVENT_TYPES))
+    rows = from_entries(event_entries(spark, sf_dir), len(event_types(spark, sf_dir)))
     return rows.select(F.col("row_id").alias("signal_id"), vectors.scale(F.col("vec"), 0.001).alias("vec"))
 
 

@@ -52,6 +52,14 @@ def text_dimensions_space(spark, sf_dir):
         rounded(F.sum(F.col("value") * (F.col("row_id") + 1))).alias("by_line"))
 
 
+@registered(query(EMB + [("n", "SELECT signal_id, vec, row_number() OVER (ORDER BY signal_id) - 1 AS line FROM y")],
+                  f"SELECT i::BIGINT AS signal_id, line::INTEGER AS dim, {r6('vec[i + 1]', 'value')} FROM n, range({EMBEDDING_WIDTH}) t(i)"))
+def text_signals_space(spark, sf_dir):
+    """A line is a dimension and a field a signal: turned while it is read."""
+    path = _as_text(embeddings(spark, sf_dir), "signal_id", "vec", " ", "turned")
+    return _cells(read_signals(spark, path, " "))
+
+
 @registered(query(EMB + [("n", "SELECT vec, row_number() OVER (ORDER BY signal_id) - 1 AS row_id FROM y")],
                   f"SELECT row_id, i::INTEGER AS col_id, {r6('vec[i + 1]', 'value')} FROM n, range({EMBEDDING_WIDTH}) t(i)"))
 def text_flat_matrix(spark, sf_dir):

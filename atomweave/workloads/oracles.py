@@ -6,18 +6,18 @@ A query is a list of named steps (common table expressions) and a last SELECT. V
 
 from __future__ import annotations
 
-from .data import EVENT_TYPES, FIRST_YEAR
+from .data import FIRST_YEAR
 
 Steps = list[tuple[str, str]]
 
 EMB: Steps = [("y", "SELECT vec_id AS signal_id, label::BIGINT AS node_id, embedding::DOUBLE[] AS vec FROM embeddings")]
 
-_KINDS = "[" + ", ".join(f"'{t}'" for t in EVENT_TYPES) + "]"
+_KINDS = "(SELECT list(DISTINCT event_type ORDER BY event_type) FROM events WHERE event_type IS NOT NULL)"
 EVENT_CELLS: Steps = [("a", f"""SELECT user_id AS row_id, list_position({_KINDS}, event_type) - 1 AS col_id,
-  sum(value) AS value FROM events WHERE list_contains({_KINDS}, event_type) GROUP BY ALL""")]
+  sum(value) AS value FROM events WHERE event_type IS NOT NULL GROUP BY ALL""")]
 EVENTS: Steps = EVENT_CELLS + [
     ("ym", "SELECT row_id, map_from_entries(list((col_id, value))) AS c FROM a GROUP BY row_id"),
-    ("y", f"""SELECT row_id AS signal_id, list_transform(range({len(EVENT_TYPES)}),
+    ("y", f"""SELECT row_id AS signal_id, list_transform(range(len({_KINDS})),
       lambda j: coalesce(c[j], 0.0::DOUBLE) * 0.001::DOUBLE) AS vec FROM ym"""),
 ]
 MONTH_CELLS: Steps = [("a", f"""SELECT l_partkey AS row_id,
@@ -41,7 +41,7 @@ def unit(vec: str) -> str:
 
 def formula(n_atoms: int = 64, m: int = 64, name: str = "d") -> Steps:
     return [(f"{name}_raw", f"""SELECT k::INTEGER AS atom_id, list_transform(range({m}),
-      lambda j: ((37 * k + 101 * j + 11) * (37 * k + 101 * j + 11) * (37 * k + 101 * j + 11) % 1009 + 1)::DOUBLE / 1010::DOUBLE) AS c FROM range({n_atoms}) t(k)"""),
+      lambda j: ((37 * k + 101 * j + 11 + (k // 1009) * (2 * j + 3) + (j // 1009) * (2 * k + 3)) ** 3 % 1009 + 1)::DOUBLE / 1010::DOUBLE) AS c FROM range({n_atoms}) t(k)"""),
             (name, f"SELECT atom_id, {unit('c')} AS atom FROM {name}_raw")]
 
 
