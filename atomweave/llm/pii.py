@@ -1,15 +1,17 @@
 """Personal data: patterns, and terms that give an entity away.
 
-The patterns find e-mail addresses, IP addresses, card and phone numbers. Around every find the words of its context
-are noted, and the corpus says how strongly each word speaks for that one entity: with document counts, the pointwise
-mutual information ``log2(N * n(term, entity) / (n(term) * n(entity)))`` against the information of the entity,
-``log2(N / n(entity))``. A term that was seen with an entity in at least ``MIN_TOGETHER`` documents and reveals at least
-``disclose`` of its information is disclosing: it is generalised to its shape, and removed if it reveals at least
-``remove``. Entities of a single document have no corpus evidence and add nothing.
-
-Two written tables carry the work: the finds with their contexts (a few rows per find, from one pass over the texts),
-and counts of the words that occur in contexts. The second pass over the texts counts only words that a bitmap of capped
-size lets through; extra words fall away in the join.
+The patterns find e-mail addresses, IP addresses, card and phone numbers. All other words of a document with a find are
+seen together with its entities, and the corpus says how strongly each word speaks for one of them. With document counts,
+the chance of the entity where the term stands is ``(n(term, entity) + PRIOR * b) / (n(term) + PRIOR)``; ``b`` is what the
+kind alone says, ``n(term, kind) / n(term) * n(entity) / n(kind)``, so values of one or two documents lean on their kind
+instead of being left out. The pointwise mutual information, the log of that chance over the entity's own, against the
+entity's information ``log2(N / n(entity))`` is the share that the term reveals. A term that reveals at least ``disclose``
+of some entity is disclosing wherever it stands, in whatever document: it is generalised to its shape, and removed if it
+reveals at least ``remove``.
+
+Entities that occur in the same documents are one class, as no term can tell them apart. A term of more documents than
+``(n(entity) + PRIOR) * (N / n(entity)) ** (1 - disclose) - PRIOR`` cannot reach the share, so it is never paired.
+Passes over the texts look words up in a bitmap of capped size; extra words fall away in the join on the term.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import map_batches
+from ..sizing import model_bytes_limit
 from .substring import _broadcast_bitmap, _in_bitmap, bitmap
-from .text import Tokens, docs_only, signed, text_slices, utf8, written
+from .text import Tokens, code_points, docs_only, signed, text_slices, utf8, written
 
 # Kinds in the order in which spans of one start are listed, and their patterns.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -32,7 +35,7 @@ _DOMAIN = re.compile(rb"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(rb"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
-CONTEXT, MIN_TOGETHER, DISCLOSE, REMOVE = 12, 3, 0.8, 0.95
+PRIOR, DISCLOSE, REMOVE = 1.0, 0.8, 0.95
 COUNTS_IN_TASK = 1 << 20  # counts a task holds before it hands them on
 
 _NUMBER = np.zeros(256, dtype=bool)
@@ -86,47 +89,69 @@ def find_base(data: bytes) -> list[tuple[int, int, int]]:
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_CTX = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-_FOUND = "uid long, base array<struct<start long, kind int, end long>>, context array<struct<entity long, term long, start long, end long>>"
+_ENTITY = pa.struct([("entity", pa.int64()), ("kind", pa.int32())])
+_FOUND = "uid long, base array<struct<start long, kind int, end long>>, entities array<struct<entity long, kind int>>, terms array<long>"
 
 
-def _find(context: int):
+def _apart(words: Tokens, found: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which words touch no find."""
+    free = np.ones(len(words.start), dtype=bool)
+    for a, _, b in found:
+        free[np.searchsorted(words.end, a, "right"):np.searchsorted(words.start, b)] = False
+    return free
+
+
+def _entity(text: bytes, a: int, kind: int, b: int) -> int:
+    value = text[a:b].lower() if kind == 0 else (_digits(text[a:b]) if kind > 1 else text[a:b])
+    return int.from_bytes(hashlib.blake2b(bytes([kind]) + value, digest_size=8).digest(), "little", signed=True)
+
+
+def _find(batches):
+    for batch in batches:
+        for part in text_slices(batch):
+            data, bounds = utf8(part.column(1))
+            raw = data.tobytes()
+            # texts without a digit and without an at sign hold none of the four kinds
+            hint = np.zeros(len(data) + 1, dtype=np.int64)
+            np.cumsum(_NUMBER[data] | (data == 64), out=hint[1:])
+            some = np.flatnonzero(np.diff(hint[bounds]))
+            uid, base, entities, terms = [], [], [], []
+            for d in some.tolist():
+                text = raw[bounds[d]:bounds[d + 1]]
+                found = find_base(text)
+                if not found:
+                    continue
+                piece = np.frombuffer(text, np.uint8)
+                points = code_points(piece)
+                words = Tokens(piece, np.array([0, len(piece)]), lower=True)
+                uid.append(part.column(0)[d].as_py())
+                base.append([{"start": int(points[a]), "kind": k, "end": int(points[b])} for a, k, b in found])
+                entities.append([{"entity": e, "kind": k} for e, k in sorted({(_entity(text, a, k, b), k) for a, k, b in found})])
+                terms.append(signed(np.unique(words.hash[_apart(words, found)])))
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(base, pa.list_(_SPAN)), pa.array(entities, pa.list_(_ENTITY)),
+                                              pa.array(terms, pa.list_(pa.int64()))], names=["uid", "base", "entities", "terms"])
+
+
+def _mark(terms):
+    """Every place of the marked words outside of finds: ``uid, term, start, end`` in code points."""
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
                 data, bounds = utf8(part.column(1))
-                raw = data.tobytes()
-                # texts without a digit and without an at sign hold none of the four kinds
-                hint = np.zeros(len(data) + 1, dtype=np.int64)
-                np.cumsum(_NUMBER[data] | (data == 64), out=hint[1:])
-                some = np.flatnonzero(np.diff(hint[bounds]))
-                uid, base, ctx = [], [], []
-                for d in some.tolist():
-                    text = raw[bounds[d]:bounds[d + 1]]
-                    found = find_base(text)
-                    if not found:
-                        continue
-                    piece = np.frombuffer(text, np.uint8)
-                    points = np.cumsum(np.r_[0, (piece & 0xC0) != 0x80])
-                    # a byte offset counts the code points that begin before it
+                tokens = Tokens(data, bounds, lower=True)
+                at = np.flatnonzero(_in_bitmap(tokens.hash, terms.value))
+                doc = np.searchsorted(tokens.first, at, side="right") - 1
+                some, edge = np.unique(doc, return_index=True)
+                edge = np.r_[edge, len(at)]
+                for i, d in enumerate(some.tolist()):
+                    piece = data[bounds[d]:bounds[d + 1]]
                     words = Tokens(piece, np.array([0, len(piece)]), lower=True)
-                    rows, taken = [], np.zeros(len(words.start), dtype=bool)
-                    for a, _, b in found:
-                        taken[np.searchsorted(words.end, a, "right"):np.searchsorted(words.start, b)] = True
-                    for a, kind, b in found:
-                        value = text[a:b].lower() if kind == 0 else (_digits(text[a:b]) if kind > 1 else text[a:b])
-                        entity = int.from_bytes(hashlib.blake2b(bytes([kind]) + value, digest_size=8).digest(), "little", signed=True)
-                        lo = max(0, int(np.searchsorted(words.end, a, "right")) - context)
-                        hi = min(len(words.start), int(np.searchsorted(words.start, b)) + context)
-                        for w in range(lo, hi):
-                            if not taken[w]:
-                                rows.append({"entity": entity, "term": int(words.hash[w].view(np.int64)), "start": int(points[words.start[w]]),
-                                             "end": int(points[words.end[w]])})
-                    uid.append(part.column(0)[d].as_py())
-                    base.append([{"start": int(points[a]), "kind": k, "end": int(points[b])} for a, k, b in found])
-                    ctx.append(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(base, pa.list_(_SPAN)), pa.array(ctx, pa.list_(_CTX))],
-                                                 names=["uid", "base", "context"])
+                    mine = at[edge[i]:edge[i + 1]] - tokens.first[d]
+                    mine = mine[_apart(words, find_base(piece.tobytes()))[mine]]
+                    points = code_points(piece)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(mine), part.column(0)[d].as_py(), dtype=np.int64)), pa.array(signed(words.hash[mine])),
+                         pa.array(points[words.start[mine]]), pa.array(points[words.end[mine]])], names=["uid", "term", "start", "end"])
     return run
 
 
@@ -168,42 +193,57 @@ def _count_terms(terms):
     return run
 
 
-def disclosing_terms(finds: DataFrame, texts: DataFrame, n_documents: int, min_together: int, disclose: float) -> DataFrame:
-    """``entity, term, share``: how much of the entity's information the term reveals, from ``disclose`` on."""
-    spark = finds.sparkSession
-    contexts = finds.select("uid", F.explode("context").alias("c")).select("uid", "c.entity", "c.term")
-    entities = contexts.select("uid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_together)
-    together = contexts.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_together)
-    together = written(together.join(entities, "entity"), "together")
-    terms = written(together.select(F.col("term").alias("anchor")).distinct(), "context-terms")
-    marked = _broadcast_bitmap(spark, bitmap(terms, terms.count()))
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its counted size allows it."""
+    return F.broadcast(table) if table.count() * 40 <= min(model_bytes_limit(table.sparkSession), 64 << 20) else table
+
+
+def disclosing_terms(finds: DataFrame, texts: DataFrame, n_documents: int, prior: float, disclose: float) -> DataFrame:
+    """``term, share``: how much of an entity's information the term reveals at most, from ``disclose`` on."""
+    n = float(max(2, n_documents))
+    held = finds.select("uid", F.explode("entities").alias("e")).select("uid", "e.entity", "e.kind")
+    same = F.xxhash64("kind", F.bit_xor(F.xxhash64("uid")), F.bit_xor(F.xxhash64("uid", F.lit(1))))
+    most = (F.col("n_e") + prior) * F.pow(n / F.col("n_e"), F.lit(1 - disclose)) - prior
+    of_entity = held.groupBy("entity", "kind").agg(F.count("*").alias("n_e"), same.alias("class")).where(F.col("n_e") < n)
+    of_entity = written(of_entity.select("entity", "class", "n_e", most.alias("most")), "entities")
+    of_kind = held.select("uid", "kind").distinct().groupBy("kind").agg(F.count("*").alias("n_k"))
+    of_doc = held.join(_small(of_entity), "entity").join(F.broadcast(of_kind), "kind").select(
+        "uid", "class", "kind", "n_e", "most", (F.col("n_e") / F.col("n_k")).alias("of_kind")).distinct()
+    of_doc = written(of_doc, "entities-of-documents")
+    words = finds.select("uid", F.explode("terms").alias("term"))
+    terms = written(words.select(F.col("term").alias("anchor")).distinct(), "terms")
+    marked = _broadcast_bitmap(finds.sparkSession, bitmap(terms, terms.count()))
     of_term = map_batches(texts, _count_terms(marked), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    n = F.lit(float(max(2, n_documents)))
-    pmi = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    information = F.log2(n / F.col("n_e"))
-    share = F.when(information <= 0, F.lit(0.0)).otherwise(pmi / information)
-    return together.join(of_term, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= disclose)
-
-
-def find_personal_data(documents: DataFrame, context: int = CONTEXT, min_together: int = MIN_TOGETHER, disclose: float = DISCLOSE,
-                       remove: float = REMOVE) -> DataFrame:
+    bound = of_entity.agg(F.max("most").alias("m")).first()["m"] or 0.0
+    of_term = written(of_term.where(F.col("n_t") <= bound), "counts-of-terms")
+    words = words.join(_small(of_term), "term")
+    together = words.join(of_doc, "uid").where(F.col("n_t") <= F.col("most")).groupBy("term", "class", "kind").agg(
+        F.count("*").alias("n_te"), *[F.first(c).alias(c) for c in ("n_t", "n_e", "of_kind")])
+    with_kind = words.join(of_doc.select("uid", "kind").distinct(), "uid").groupBy("term", "kind").agg(F.count("*").alias("n_tk"))
+    chance = (F.col("n_te") + prior * F.col("n_tk") / F.col("n_t") * F.col("of_kind")) / (F.col("n_t") + prior)
+    share = 1 + F.log2(chance) / F.log2(n / F.col("n_e"))
+    return together.join(with_kind, ["term", "kind"]).groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= disclose)
+
+
+def find_personal_data(documents: DataFrame, prior: float = PRIOR, disclose: float = DISCLOSE, remove: float = REMOVE) -> DataFrame:
     """``doc_id, text, base, spans``, one row per row of ``documents``.
 
-    ``base`` are the finds of the four patterns, ``spans`` those and the disclosing terms of their contexts, as sorted
+    ``base`` are the finds of the four patterns, ``spans`` those and the disclosing terms of the whole text, as sorted
     ``(start, kind, end, remove)`` in code points (kind: place in ``KINDS``). Null and empty texts have none. Rows that
     repeat whole count once as evidence and have the same spans each. Ids may be null; further columns are ignored.
     """
     uid = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("text", F.lit("")))
     rows = docs_only(documents).withColumn("uid", uid)
-    finds = written(map_batches(rows.select("uid", "text"), _find(context), _FOUND), "finds").dropDuplicates(["uid"])
-    n_documents = rows.count()
-    terms = disclosing_terms(finds, rows.select("text"), n_documents, min_together, disclose)
-    flat = finds.select("uid", F.explode("context").alias("c")).select("uid", "c.*").join(terms, ["entity", "term"])
-    added = flat.groupBy("uid", "start", "end").agg(F.max("share").alias("share")).groupBy("uid").agg(F.collect_list(
+    finds = written(map_batches(rows.select("uid", "text"), _find, _FOUND), "finds").dropDuplicates(["uid"])
+    terms = written(disclosing_terms(finds, rows.select("text"), rows.count(), prior, disclose), "disclosing-terms")
+    marked = _broadcast_bitmap(documents.sparkSession, bitmap(terms.select(F.col("term").alias("anchor")), terms.count()))
+    places = map_batches(rows.select("uid", "text"), _mark(marked), "uid long, term long, start long, end long").join(_small(terms), "term")
+    added = places.groupBy("uid", "start", "end").agg(F.max("share").alias("share")).groupBy("uid").agg(F.collect_list(
         F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", (F.col("share") >= remove).alias("remove"))).alias("added"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,remove:boolean>>")
     out = finds.select("uid", F.transform("base", lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end"), F.lit(True).alias("remove"))).alias("base"))
-    out = out.join(added, "uid", "left").select("uid", "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
+    out = out.join(added, "uid", "full").select("uid", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
+    out = out.select("uid", "base", F.array_sort(F.concat("base", "added")).alias("spans"))
     return rows.join(out, "uid", "left").select("doc_id", "text", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 

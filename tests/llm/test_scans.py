@@ -51,6 +51,20 @@ def test_terms_that_speak_for_one_entity(docs):
     assert clean[5] == rows[5][1]
 
 
+def test_terms_of_rare_entities_everywhere(docs):
+    """An entity of one document, its name far from the find, and the name alone in another document."""
+    r = random.Random(3)
+    common = [f"word{i}" for i in range(40)]
+    noise = lambda: " ".join(r.choice(common) for _ in range(60))
+    rows = [(i, noise()) for i in range(400)]
+    rows[7] = (7, f"Rumpelstilz {noise()} write to dwarf@forest.org {noise()}")
+    rows[9] = (9, f"{noise()} rumpelstilz {noise()} Rumpelstilz")
+    found = pii.find_personal_data(docs(rows, clashing=False))
+    terms = {x["doc_id"]: sorted(x["text"][s["start"]:s["end"]] for s in x["spans"] if s["kind"] == 4) for x in found.collect()}
+    assert terms.pop(7) == ["Rumpelstilz", "to", "write"] and terms.pop(9) == ["Rumpelstilz", "rumpelstilz"]
+    assert not any(terms.values())
+
+
 def test_secrets_base(docs, edge_rows):
     rows = _edge(edge_rows)
     got = keys.digest(keys.find_secrets(docs(rows))).collect()
