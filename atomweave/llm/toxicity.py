@@ -236,17 +236,14 @@ def training_rows(documents: DataFrame, labels: DataFrame, per_class: tuple[int,
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         "doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # ids with a text to train on first, then each class in the order of the id hash, so the bound falls on all ids alike
+    short = (F.octet_length("text") <= TRAIN_BYTES) & (F.length(F.trim("text")) > 0)
+    fit_ids = docs_only(documents).where(short).select("doc_id").distinct().join(known, "doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # twice as many ids as rows, as some belong to texts over the length bound
-    ids = known.where("toxic = 0").orderBy(*order).limit(2 * per_class[0]).union(known.where("toxic = 1").orderBy(*order).limit(2 * per_class[1]))
+    ids = fit_ids.where("toxic = 0").orderBy(*order).limit(per_class[0]).union(fit_ids.where("toxic = 1").orderBy(*order).limit(per_class[1]))
     ids = documents.sparkSession.createDataFrame(ids.toArrow(), ids.schema)
-    texts = docs_only(documents).where((F.octet_length("text") <= TRAIN_BYTES) & (F.length(F.trim("text")) > 0))
-    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
-    out = []
-    for c in (0, 1):
-        out += [(r["text"], c) for r in rows if r["toxic"] == c][:per_class[c]]
-    return out
+    found = docs_only(documents).where(short).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return [(r["text"], r["toxic"]) for r in found.orderBy("toxic", *order).collect()]
 
 
 def _score(model, constant: float):

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from atomweave.llm import neighbours, pieces, toxicity, warc
 from atomweave.llm.text import utf8
@@ -50,6 +51,17 @@ def test_toxicity_without_two_classes(spark, docs):
     assert toxicity.toxicity(docs([]), table).count() == 0
 
 
+def test_training_rows_are_spread_over_all_ids(spark, docs):
+    frame = docs([(i, "" if i % 4 == 0 else "x" * 13_000 if i % 4 == 1 else f"text {i}") for i in range(1000)])
+    labels = spark.createDataFrame([(i, 1, int(i % 8 > 4)) for i in range(1000)], "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(frame, labels, (100, 60))
+    for toxic, n in ((0, 100), (1, 60)):
+        ids = [int(t.split()[1]) for t, c in rows if c == toxic]
+        own = labels.where(f"toxic = {toxic} and doc_id % 4 > 1").where(~toxicity.held_out(F.col("doc_id")))
+        assert ids == [r["doc_id"] for r in own.orderBy(F.xxhash64("doc_id")).limit(n).collect()]
+        assert len(ids) == n and max(ids) > 900 and 400 < np.median(ids) < 600
+
+
 def test_gradients_match_differences():
     rows = _toxic_rows(6, 3)
     tokens = toxicity.Tokens(*utf8(pa.array([t for _, t, _ in rows])), lower=True)
