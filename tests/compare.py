@@ -31,6 +31,10 @@ def difference(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame) -> str | None:
         return f"{len(spark_rows)} rows against {len(sql_rows)}"
     if not len(spark_rows):
         return "no rows"
+    # a column of whole numbers with nulls is a nullable integer on one side and may be a float on the other
+    for c in names:
+        if {spark_rows[c].dtype.kind, sql_rows[c].dtype.kind} == {"i", "f"} and any(str(t[c].dtype) == "Int64" for t in (spark_rows, sql_rows)):
+            spark_rows, sql_rows = (t.assign(**{c: t[c].astype("Int64")}) for t in (spark_rows, sql_rows))
     keys = [c for c in names if spark_rows[c].dtype.kind != "f"] + [c for c in names if spark_rows[c].dtype.kind == "f"]
     left = spark_rows[keys].sort_values(keys).reset_index(drop=True)
     right = sql_rows[keys].sort_values(keys).reset_index(drop=True)

@@ -4,7 +4,7 @@ import pytest
 from atomweave.functions import pursuit
 from atomweave.operators import coding
 from atomweave.plans.encode import encode
-from conftest import brute_omp, unit_rows
+from plain import brute_omp, unit_rows
 
 BIG, TINY = 1 << 28, 1000  # under the second limit the dictionary below is searched in blocks
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atomweave.operators import consensus
-from conftest import unit_rows
+from plain import unit_rows
 
 
 def edges(spark, *pairs):

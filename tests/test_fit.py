@@ -3,7 +3,7 @@ import pytest
 
 from atomweave.operators import coding, consensus, update
 from atomweave.plans.fit import fit_dictionary
-from conftest import brute_omp, unit_rows
+from plain import brute_omp, unit_rows
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from atomweave.operators import errors, update
-from conftest import unit_rows
+from plain import unit_rows
 
 
 @pytest.fixture(scope="module")
