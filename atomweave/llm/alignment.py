@@ -1,83 +1,129 @@
 """Alignment of two tokenizers' tokens by galloping intersection of their end offsets.
 
-Both token sequences of a text cover the same bytes, so the offsets where tokens of both end cut them into groups. Per
-document the shorter list of ends drives: each of its ends is searched in the longer list from where the end before it
-was found, by steps that double and then by halving. (Runs of ``RUN`` ends advance side by side, a run's first end
-starts from the front of its document's list.) The common offsets slice both sequences; differences of neighbouring
-common ranks are the sizes of a group, their product its links.
+Both token sequences of a text cover the same bytes, so the offsets where tokens of both end cut them into groups. The
+shorter list of ends drives: each of its ends is searched in the longer list from where the end before it was found, by
+steps that double and then by halving. (Runs of ``RUN`` ends advance side by side, a run's first end starts from the front
+of its list.) The common offsets slice both sequences; differences of neighbouring common ranks are the sizes of a
+group, their product its links.
+
+Neither tokenizer reaches across a blank that follows a printable ASCII character, so both end there. Texts are cut at
+those places; the distinct cuttings of a slice of documents are tokenized and aligned once, and a document is put
+together from its cuttings.
 
 How often an id pair is linked is counted over the corpus: a batch of documents sends each of its distinct pairs once,
 with the number of its documents that hold it, and gets the totals back the same way (see :mod:`batches`). Only the
 highest total per id of the first vocabulary is broadcast, which that vocabulary bounds.
 
-Tokens come from the public libraries; as neither tokenizer reaches across a blank that follows a printable ASCII
-character, texts are cut there and a cutting is tokenized once per slice.
+Tokens come from the public libraries: the first vocabulary's file is read into the faster of the two that know its kind.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import map_batches
-from .batches import BATCH_BYTES, SLICE_BYTES, distinct, in_order, list_at, meet, new_batch, packed, rows_of, unpacked
+from .batches import BATCH_BYTES, distinct, in_order, list_at, meet, new_batch, packed, rows_of, unpacked
 from .text import docs_only, list_column, text_slices, utf8, written
 
 FIRST = "/opt/tokenizers/byte_bpe_50k.json"
 SECOND = "/opt/tokenizers/piece_bpe_32k.model"
+# Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SLICE_BYTES = 1 << 22  # text whose distinct cuttings are aligned together
 RUN = 64
 LINKS = 1 << 22  # links held at a time
 LARGE = 1 << 10  # a group of more links is reduced to its distinct ids first
-_KNOWN = 150_000  # cuttings whose tokens a task remembers
+_TOGETHER = 1 << 14  # bytes of cuttings that are tokenized in one call
 _MARK = "▁"
 _cached: dict = {}
 
 
 class Pair:
-    """Both tokenizers, their tokens' bytes, and the tokens of cuttings seen lately."""
+    """Both tokenizers and their tokens' bytes."""
 
     def __init__(self, first: str, second: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        import tokenizers
+        import tiktoken
 
-        self.first = tokenizers.Tokenizer.from_str(first)
-        self.first.encode_special_tokens = True
-        self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
+        file = json.loads(first)
+        model, special = file["model"], {t["content"] for t in file["added_tokens"]}
+        if file["normalizer"] or file["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            raise ValueError("the first vocabulary is not plain byte-level merging")
         byte_of = {c: b for b, c in _byte_characters().items()}
-        entries = sorted((i, t) for t, i in self.first.get_vocab(with_added_tokens=True).items())
-        self.first_bytes = [b""] * (entries[-1][0] + 1)
-        for i, t in entries:
-            self.first_bytes[i] = bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if made != sorted(made):
+            raise ValueError("the first vocabulary's ids are not in the order of its merges")
+        self.first = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
+        self.first_bytes = [b""] * (max(ranks.values()) + 1)
+        for t, i in ranks.items():
+            self.first_bytes[i] = t
         self.second_bytes = []
         for i in range(self.second.get_piece_size()):
             piece = self.second.id_to_piece(i)
             self.second_bytes.append(bytes([int(piece[3:5], 16)]) if self.second.is_byte(i) else piece.replace(_MARK, " ").encode())
         self.first_sizes = np.array([len(t) for t in self.first_bytes], dtype=np.int64)
         self.second_sizes = np.array([len(t) for t in self.second_bytes], dtype=np.int64)
+        self.digits = Digits(max(len(self.first_bytes), len(self.second_bytes)))
         self.blank = self.second.piece_to_id(_MARK)
-        self.known: dict[bytes, tuple[bytes, bytes, bool]] = {}
-
-    def tokens(self, cuttings: list[bytes]) -> list[tuple[bytes, bytes, bool]]:
-        """Per cutting its ids by both (as bytes of int32) and whether both give its bytes back."""
-        if len(self.known) > _KNOWN:
-            self.known.clear()
-        new = [c for c in cuttings if c not in self.known]
-        texts = [c.decode() for c in new]
-        first = self.first.encode_batch(texts, add_special_tokens=False)
-        second = self.second.encode([t[1:] for t in texts], num_threads=1)  # it adds the leading blank itself
-        found = {}
-        for c, t, b in zip(new, first, second):
-            a, b = t.ids, b if len(c) > 1 else [self.blank]
-            same = b"".join(map(self.first_bytes.__getitem__, a)) == c and b"".join(map(self.second_bytes.__getitem__, b)) == c
-            found[c] = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes(), same
-        out = [found.get(c) or self.known[c] for c in cuttings]
-        self.known |= {c: t for c, t in found.items() if len(c) <= 64}
-        return out
+
+    def encode(self, text: bytes) -> tuple[list[int], list[int]]:
+        """Ids by both of a text that begins with the blank that the second one adds itself."""
+        told = text.decode()
+        return self.first.encode_ordinary(told), self.second.encode(told[1:], num_threads=1) if len(text) > 1 else [self.blank]
+
+    def tokens(self, data: np.ndarray, first: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """``(ids, first)`` of the cuttings ``data[first[c]:first[c + 1]]`` by each tokenizer, and whether both give their bytes back.
+
+        Cuttings after which any blank is a border for both are tokenized together.
+        """
+        count, size = len(first) - 1, np.diff(first)
+        last = data[first[1:] - 1] if count else np.empty(0, np.uint8)
+        joined = (last > 32) & (last < 127)
+        mark, raw = _MARK.encode(), data.tobytes()
+        if mark in raw:
+            joined &= np.array([mark not in raw[x:y] for x, y in zip(first[:-1], first[1:])], dtype=bool)
+        order = np.r_[np.flatnonzero(joined), np.flatnonzero(~joined)]
+        total = np.cumsum(size[order])
+        raw = data[np.repeat(first[order] - (total - size[order]), size[order]) + np.arange(len(data))].tobytes()
+        together = int(joined.sum())
+        share = np.r_[total[:together] // _TOGETHER, np.arange(count - together) + (1 << 40)]
+        edges = np.r_[np.flatnonzero(np.diff(share, prepend=-1)), count]
+        todo = [(int(x), int(y)) for x, y in zip(edges[:-1], edges[1:])][::-1]
+        ids, counts, same = ([], []), np.zeros((2, count), np.int64), np.zeros(count, bool)
+        while todo:
+            lo, hi = todo.pop()
+            begin = int(total[lo] - size[order[lo]])
+            text, end = raw[begin:total[hi - 1]], total[lo:hi] - begin
+            found = self.encode(text)
+            good, cut = True, []
+            for told, sizes, known in zip(found, (self.first_sizes, self.second_sizes), (self.first_bytes, self.second_bytes)):
+                ends = np.cumsum(sizes[told])
+                at = np.searchsorted(ends, end, side="right")
+                good = good and b"".join([known[t] for t in told]) == text and bool((ends[at - 1] == end).all())
+                cut.append(np.diff(at, prepend=0))
+            if good:
+                same[order[lo:hi]] = True
+                for side in (0, 1):
+                    ids[side].append(np.array(found[side], dtype=np.int64))
+                    counts[side, order[lo:hi]] = cut[side]
+            elif hi - lo > 1:
+                todo += [(k, k + 1) for k in range(lo, hi)][::-1]
+        out = []
+        for side in (0, 1):  # back in the order of the cuttings
+            flat = np.concatenate([*ids[side], np.empty(0, np.int64)])
+            many = counts[side, order]
+            begin = np.empty(count, np.int64)
+            begin[order] = np.cumsum(many) - many
+            of = np.r_[0, np.cumsum(counts[side])]
+            out.append((flat[np.repeat(begin - of[:-1], counts[side]) + np.arange(int(of[-1]))], of))
+        return out[0], out[1], same
 
 
 def _byte_characters() -> dict[int, str]:
@@ -172,47 +218,40 @@ def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[at], np.add.reduceat(weight, at)
 
 
-def linked(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, doc: np.ndarray, ids_b: int):
-    """Yields ``(doc, code, n)`` arrays, each pair of a document once: how many of its links join the ids of a code.
+def linked(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, home: np.ndarray, ids_b: int):
+    """``(home, code, n)``, each pair of a cutting once: how many of its links join the ids of a code.
 
-    Group g holds the ids after places ``ia[g - 1]``, ``ib[g - 1]`` up to ``ia[g]``, ``ib[g]`` and is of document
-    ``doc[g]``. At most about ``LINKS`` links are held at a time; a document of more goes in ranges of its first ids.
+    Group g holds the ids after places ``ia[g - 1]``, ``ib[g - 1]`` up to ``ia[g]``, ``ib[g]`` and is of cutting ``home[g]``.
+    About ``LINKS`` links are held at a time: equal ids of a large group become one with a weight, and tokens are taken in
+    ranges of as many links (a cutting that two ranges share may list a pair twice).
     """
     groups = len(ia)
-    ga, gb = np.repeat(np.arange(groups), np.diff(ia, prepend=-1)), np.repeat(np.arange(groups), np.diff(ib, prepend=-1))
+    na, nb = np.diff(ia, prepend=-1), np.diff(ib, prepend=-1)
+    ga, gb = np.repeat(np.arange(groups), na), np.repeat(np.arange(groups), nb)
     wa, wb = np.ones(len(a), np.int64), np.ones(len(b), np.int64)
-    large = np.diff(ia, prepend=-1) * np.diff(ib, prepend=-1) > LARGE
-    if large.any():  # equal ids of a large group become one with a weight
+    large = na * nb > LARGE
+    if large.any():
         sides = []
-        for ids, g, w, span in ((a, ga, wa, 1 << 32), (b, gb, wb, 1 << 32)):
+        for ids, g, w in ((a, ga, wa), (b, gb, wb)):
             big = large[g]
-            key, weight = _counted(g[big] * span + ids[big], w[big])
-            g, ids, w = np.r_[g[~big], key // span], np.r_[ids[~big], key % span], np.r_[w[~big], weight]
+            key, weight = _counted(g[big] * (1 << 32) + ids[big], w[big])
+            g, ids, w = np.r_[g[~big], key >> 32], np.r_[ids[~big], key & 0xFFFFFFFF], np.r_[w[~big], weight]
             order = np.argsort(g, kind="stable")
             sides.append((ids[order], g[order], w[order]))
         (a, ga, wa), (b, gb, wb) = sides
-    nb = np.bincount(gb, minlength=groups)
-    before_b = np.cumsum(nb) - nb
-    cost = np.bincount(doc[ga], weights=nb[ga], minlength=int(doc[-1]) + 1 if groups else 0).astype(np.int64)
-    share = np.cumsum(cost) // LINKS
-    for part in np.unique(share[doc]) if groups else ():
-        tokens = np.flatnonzero(share[doc[ga]] == part)
-        if nb[ga[tokens]].sum() > LINKS:  # one document of many links: its first ids in ranges
-            tokens = tokens[np.argsort(a[tokens], kind="stable")]
-            run = np.cumsum(nb[ga[tokens]]) // LINKS
-            run = np.maximum.accumulate(np.where(np.r_[True, np.diff(a[tokens]) != 0], run, 0))
-            ranges = np.split(tokens, np.flatnonzero(np.diff(run)) + 1)
-        else:
-            ranges = [tokens]
-        for t in ranges:
-            size = nb[ga[t]]
-            left = np.repeat(t, size)
-            right = np.repeat(before_b[ga[t]] - (np.cumsum(size) - size), size) + np.arange(len(left))
-            code = a[left].astype(np.int64) * ids_b + b[right]
-            names, home = np.unique(doc[ga[left]], return_inverse=True)
-            values, back = np.unique(code, return_inverse=True)
-            key, n = _counted(home * len(values) + back, wa[left] * wb[right])
-            yield names[key // len(values)], values[key % len(values)], n
+        nb = np.bincount(gb, minlength=groups)
+    before_b, many = np.cumsum(nb) - nb, nb[ga]
+    for tokens in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(many) // LINKS)) + 1):
+        size = many[tokens]
+        left = np.repeat(tokens, size)
+        right = np.repeat(before_b[ga[tokens]] - (np.cumsum(size) - size), size) + np.arange(len(left))
+        of = home[ga[left]]
+        code = a[left] * ids_b + b[right]
+        weight = wa[left] * wb[right]
+        order = np.lexsort((code, of))
+        of, code, weight = of[order], code[order], weight[order]
+        at = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (code[1:] != code[:-1])]) if len(of) else np.empty(0, np.int64)
+        yield of[at], code[at], np.add.reduceat(weight, at) if len(at) else weight
 
 
 class Digits:
@@ -262,6 +301,30 @@ def _segments(data: np.ndarray, bounds: np.ndarray):
         yield docs, text, edges
 
 
+class Cuttings:
+    """What the distinct cuttings of a slice come to: counts, groups written out, and links."""
+
+    def __init__(self, pair: Pair, data: np.ndarray, first: np.ndarray):
+        count = len(first) - 1
+        (a, first_a), (b, first_b), self.same = pair.tokens(data, first)
+        ia, ib = common_ends(np.cumsum(pair.first_sizes[a]), first_a, np.cumsum(pair.second_sizes[b]), first_b)
+        na, nb = np.diff(ia, prepend=-1), np.diff(ib, prepend=-1)
+        home = np.searchsorted(first_a, ia, side="right") - 1
+        self.n = np.stack([np.bincount(home, weights=w, minlength=count).astype(np.int64) for w in (na, nb, np.ones(len(ia)), na * nb)])
+        # a1,a2|b1;a3|b2,b3: a group's first ids, then its second ones
+        line, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        line[np.arange(len(a)) + np.repeat(ib - nb + 1, na)] = a
+        line[np.arange(len(b)) + np.repeat(ia + 1, nb)] = b
+        mark[ia + ib - nb + 1] = ord("|")
+        mark[ia + ib + 1] = ord(";")
+        flat, ends = pair.digits.text(line, mark)
+        raw, edge = flat.tobytes(), np.r_[0, ends][first_a + first_b].tolist()
+        self.groups = [raw[x:y] for x, y in zip(edge[:-1], edge[1:])]
+        found = list(linked(a, b, ia, ib, home, len(pair.second_bytes)))
+        of, self.code, self.times = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        self.first_link = np.searchsorted(of, np.arange(count + 1))
+
+
 class Slice:
     """What the documents of a slice come to; a long document arrives in several segments."""
 
@@ -271,72 +334,56 @@ class Slice:
         self.sha: list = [None] * docs
         self.links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, pair: Pair, digits: Digits, docs: np.ndarray, text: np.ndarray, doc: np.ndarray) -> None:
+    def add(self, pair: Pair, docs: np.ndarray, text: np.ndarray, doc: np.ndarray) -> None:
         start = _cuts(text, doc)
         cut_doc = np.searchsorted(doc, start, side="right") - 1
         offsets = np.r_[start, len(text)]
         cuttings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text)])
         which, kinds = distinct(cuttings)
-        found = pair.tokens(kinds.to_pylist())
-        same = np.array([s for *_, s in found], dtype=bool)
-        bad = np.zeros(len(docs), dtype=bool)
-        bad[cut_doc[~same[which]]] = True
-        self.bad[docs[bad]] = True
-        keep = ~bad[cut_doc]
-        which, cut_doc = which[keep], cut_doc[keep]
-        if not len(which):
-            return
-        ids, first = [], []
-        for side in (0, 1):
-            flat = np.frombuffer(b"".join([t[side] for t in found]), dtype=np.int32).astype(np.int64)
-            size = np.array([len(t[side]) // 4 for t in found], dtype=np.int64)
-            begin, own = np.cumsum(size) - size, size[which]
-            total = np.cumsum(own)
-            ids.append(flat[np.repeat(begin[which] - (total - own), own) + np.arange(int(total[-1]))])
-            first.append(np.r_[0, total][np.searchsorted(cut_doc, np.arange(len(docs) + 1))])
-        (a, b), (first_a, first_b) = ids, first
-        ia, ib = common_ends(np.cumsum(pair.first_sizes[a]), first_a, np.cumsum(pair.second_sizes[b]), first_b)
-        na, nb = np.diff(ia, prepend=-1), np.diff(ib, prepend=-1)
-        home = np.searchsorted(first_a, ia, side="right") - 1
-        for row, values in enumerate((na, nb, np.ones(len(ia), np.int64), na * nb)):
-            np.add.at(self.n[row], docs[home], values)
-        # a1,a2|b1;a3|b2,b3: a group's first ids, then its second ones
-        line, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
-        line[np.arange(len(a)) + np.repeat(ib - nb + 1, na)] = a
-        line[np.arange(len(b)) + np.repeat(ia + 1, nb)] = b
-        mark[ia + ib - nb + 1] = ord("|")
-        mark[ia + ib + 1] = ord(";")
-        flat, ends = digits.text(line, mark)
-        raw, last = flat.tobytes(), 0
-        for d, n in zip(docs.tolist(), np.diff(first_a + first_b).tolist()):
-            if n:
-                last += n
-                sha = self.sha[d]
-                if sha is None:
-                    sha = self.sha[d] = hashlib.sha256()
-                else:
-                    sha.update(b";")
-                sha.update(raw[ends[last - n - 1] if last > n else 0:ends[last - 1] - 1])
-        for d, code, n in linked(a, b, ia, ib, home, len(pair.second_sizes)):
-            self.links.append((docs[d], code, n))
+        found = Cuttings(pair, *utf8(kinds))
+        self.bad[docs[cut_doc[~found.same[which]]]] = True
+        for row in range(4):
+            self.n[row, docs] += np.bincount(cut_doc, weights=found.n[row][which], minlength=len(docs)).astype(np.int64)
+        edge, names, groups = np.searchsorted(cut_doc, np.arange(len(docs) + 1)).tolist(), which.tolist(), found.groups
+        for k, d in enumerate(docs.tolist()):
+            told = b"".join([groups[c] for c in names[edge[k]:edge[k + 1]]])[:-1]
+            if self.sha[d] is None:
+                self.sha[d] = hashlib.sha256(told)
+            else:
+                self.sha[d].update(b";" + told)
+        # each cutting of a document once, with how often it stands there
+        key, times = np.unique(cut_doc * len(found.groups) + which, return_counts=True)
+        owner, cutting = key // len(found.groups), key % len(found.groups)
+        size = np.diff(found.first_link)[cutting]
+        share = np.cumsum(size) // LINKS
+        for some in np.split(np.arange(len(key)), np.flatnonzero(np.diff(share)) + 1):
+            many = size[some]
+            link = np.repeat(found.first_link[cutting[some]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            self.links.append(_of_documents(np.repeat(docs[owner[some]], many), found.code[link], np.repeat(times[some], many) * found.times[link]))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(first, code, n)``: the distinct pairs of document d are ``first[d]:first[d + 1]``."""
-        docs, code, n = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (zip(*self.links) if self.links else ([], [], [])))
+        none = (np.empty(0, np.int64),) * 3
+        docs, code, n = self.links[0] if len(self.links) == 1 else _of_documents(*(np.concatenate(x) for x in zip(none, *self.links)))
         good = ~self.bad[docs]
         docs, code, n = docs[good], code[good], n[good]
-        order = np.lexsort((code, docs))
-        docs, code, n = docs[order], code[order], n[order]
-        if len(docs):  # segments of one document may share pairs
-            at = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (code[1:] != code[:-1])])
-            docs, code, n = docs[at], code[at], np.add.reduceat(n, at)
         return np.searchsorted(docs, np.arange(len(self.bad) + 1)), code, n
 
 
+def _of_documents(docs: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair of a document once, ordered by document and code."""
+    span = int(code.max(initial=0)) + 1
+    if span * (int(docs.max(initial=0)) + 1) < 1 << 62:
+        key, n = _counted(docs * span + code, n)
+        return key // span, key % span, n
+    values, place = np.unique(code, return_inverse=True)
+    key, n = _counted(docs * len(values) + place, n)
+    return key // len(values), values[key % len(values)], n
+
+
 def _align(shared):
     def run(batches):
         pair = _pair(shared)
-        digits = Digits(max(len(pair.first_sizes), len(pair.second_sizes)))
         for batch in batches:
             for whole in text_slices(batch, budget=BATCH_BYTES):
                 name, slices = new_batch(), []
@@ -344,7 +391,7 @@ def _align(shared):
                     data, bounds = utf8(part.column(1))
                     found = Slice(part.num_rows)
                     for docs, text, edges in _segments(data, bounds):
-                        found.add(pair, digits, docs, text, edges)
+                        found.add(pair, docs, text, edges)
                     found.n[:, found.bad] = 0
                     sha = ["" if s is None or bad else s.hexdigest() for s, bad in zip(found.sha, found.bad.tolist())]
                     slices.append((part.column(0), found.n, sha, *found.pairs()))
