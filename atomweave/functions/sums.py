@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-RR, RX, ENERGY, USAGE, TOTALS, XX, DIMENSION = range(7)
+RR, RX, ENERGY, USAGE, TOTALS, XX, DIMENSION, CURVE = range(8)
 CELLS = "node_id long, part int, i int, j int, value double"
 
 
@@ -26,8 +26,10 @@ class ErrorSums:
         self.energy = np.zeros(n_atoms)
         self.usage = np.zeros(n_atoms)
         self.totals = np.zeros(3)  # squared signals, squared residual, signals
+        self.curve = np.zeros(0)  # squared residual after each number of picks
 
-    def add(self, signals: np.ndarray, residual: np.ndarray, codes: np.ndarray) -> None:
+    def add(self, signals: np.ndarray, residual: np.ndarray, codes: np.ndarray, curve: np.ndarray | None = None) -> None:
+        self.curve = _with_curve(self.curve, curve)
         if self.rr is not None:
             self.rr += residual.T @ residual
         if self.xx is not None:
@@ -45,7 +47,7 @@ class ErrorSums:
                 yield part, i, j, square[i, j]
         i, j = np.indices(self.rx.shape)
         yield RX, i.ravel(), j.ravel(), self.rx.ravel()
-        for part, line in ((ENERGY, self.energy), (USAGE, self.usage), (TOTALS, self.totals)):
+        for part, line in ((ENERGY, self.energy), (USAGE, self.usage), (TOTALS, self.totals), (CURVE, self.curve)):
             yield part, np.arange(len(line)), np.zeros(len(line), dtype=np.int64), line
 
 
@@ -57,8 +59,10 @@ class DimensionSums:
         self.usage = np.zeros(n_atoms)
         self.sums = np.zeros((self.paired, 3))
         self.totals = np.zeros(3)
+        self.curve = np.zeros(0)
 
-    def add(self, signals: np.ndarray, residual: np.ndarray, codes: np.ndarray) -> None:
+    def add(self, signals: np.ndarray, residual: np.ndarray, codes: np.ndarray, curve: np.ndarray | None = None) -> None:
+        self.curve = _with_curve(self.curve, curve)
         y, x = signals[:, :self.paired], codes[:, :self.paired]
         self.sums += np.stack([(y * y).sum(axis=0), (y * x).sum(axis=0), (x * x).sum(axis=0)], axis=1)
         self.usage += (codes != 0).sum(axis=0)
@@ -67,10 +71,14 @@ class DimensionSums:
     def cells(self):
         i, j = np.indices(self.sums.shape)
         yield DIMENSION, i.ravel(), j.ravel(), self.sums.ravel()
-        for part, line in ((USAGE, self.usage), (TOTALS, self.totals)):
+        for part, line in ((USAGE, self.usage), (TOTALS, self.totals), (CURVE, self.curve)):
             yield part, np.arange(len(line)), np.zeros(len(line), dtype=np.int64), line
 
 
+def _with_curve(total: np.ndarray, more: np.ndarray | None) -> np.ndarray:
+    return total if more is None else total + more if len(total) else more
+
+
 def width(held) -> int:
     """Bytes of the arrays a set of sums holds."""
     return sum(v.nbytes for v in vars(held).values() if isinstance(v, np.ndarray))
@@ -110,6 +118,7 @@ class Totals:
         self.usage = pick(USAGE, (n_atoms,))
         self.dimension = pick(DIMENSION, (min(n_atoms, m), 3))
         self.y_square, self.r_square, self.n_signals = pick(TOTALS, (3,))
+        self.curve = pick(CURVE, (int(i[part == CURVE].max()) + 1,)) if (part == CURVE).any() else np.zeros(0)
 
     def keep(self, used: np.ndarray) -> None:
         self.rx, self.energy, self.usage = self.rx[used], self.energy[used], self.usage[used]

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import arrow, pursuit, vectors
+from ..session import cut_lineage
 from ..shipping import ensure_shipped, map_batches
 from ..sources.models import Dictionary, load_dictionary
 from . import large
@@ -92,7 +93,8 @@ def omp(signals: DataFrame, atoms: DataFrame | Dictionary, tol: float | None = N
     """Orthogonal matching pursuit of every signal.
 
     With ``tol``: pick until the residual is no longer than ``tol`` (at least one pick).
-    With ``n_nonzero``: exactly that many picks. With both: whichever comes first.
+    With ``n_nonzero``: that many picks, or as many as there are dimensions or atoms that still correlate. With both:
+    whichever comes first.
     """
     if tol is None and n_nonzero is None:
         raise ValueError("give tol, n_nonzero or both")
@@ -303,10 +305,12 @@ def atom_usage(codes: DataFrame) -> DataFrame:
 def prune_atoms(atoms: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop atoms no signal uses and number the rest 0..K'-1 in order, in both tables.
 
-    With no atom in use the dictionary stays as it is.
+    With no atom in use the dictionary stays as it is. The codes are written first: usage and the new codes read them,
+    whatever it took to make them.
     """
     from ..sizing import join_model, pinned
 
+    codes = cut_lineage(codes)
     used, _ = pinned(atom_usage(codes).select("atom_id"))
     if used.isEmpty():
         return atoms, codes

@@ -6,14 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import arrow, pursuit, sums
+from ..session import cut_lineage
 from ..shipping import map_batches
 from ..sizing import SizeLimitError, join_model, model_bytes_limit
 from ..sources.models import Dictionary, load_dictionary, table_to_matrix
+from .blocks import BLOCK_FIELDS, added, block_batch, local_array
 from .coding import attach_codes, pursue, ship, signal_vectors
-from .matrix import to_entries
 
 Coded = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]]
 
@@ -25,12 +26,16 @@ def local_dictionary(atoms: DataFrame | Dictionary) -> Dictionary:
     return found
 
 
-def coded_by_pursuit(model, limit: int, tol: float | None) -> Coded:
-    """Signals coded where they are read: nothing is joined and no codes are stored."""
+def coded_by_pursuit(model, limit: int, tol: float | None, curve: bool = False) -> Coded:
+    """Signals coded where they are read: nothing is joined and no codes are stored.
+
+    With ``curve`` the squared residual after each number of picks, over the slice, comes along.
+    """
     def run(batches):
         n_atoms = model.value.n_atoms
         for batch, signals, result in pursue(batches, model.value, limit, tol):
-            yield batch, signals, result.residual, pursuit.dense_codes(result.picks, result.coefs, n_atoms)
+            x = pursuit.dense_codes(result.picks, result.coefs, n_atoms)
+            yield (batch, signals, result.residual, x, result.history) if curve else (batch, signals, result.residual, x)
     return run
 
 
@@ -46,6 +51,64 @@ def coded_by_table(model) -> Coded:
     return run
 
 
+class CodedRows:
+    """Coded signals written once, for work that passes over them several times.
+
+    A row has the residual and the codes by place in the dictionary; signals and codes are joined, or signals coded, only
+    while the rows are written. ``keep`` names columns that go along.
+    """
+
+    def __init__(self, source: DataFrame, coded: Coded, found: Dictionary, *keep: str):
+        self.found = found
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, _, residual, x in coded(batches):
+                atoms, coefs = arrow.sparse_rows(x)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in keep], batch.column("signal_id"), arrow.list_rows(residual), atoms, coefs],
+                    [*keep, "signal_id", "residual", "atoms", "coefs"])
+
+        kept = "".join(f"{c} long, " for c in keep)
+        self.rows = cut_lineage(source.transform(
+            map_batches, rows, f"{kept}signal_id long, residual array<double>, atoms array<int>, coefs array<double>"))
+
+    def coded(self, model) -> Coded:
+        """The rows as signals, residuals and dense codes, slice by slice."""
+        def run(batches):
+            matrix = model.value.matrix
+            k, m = matrix.shape
+            for whole in batches:
+                for batch in arrow.slices(whole, arrow.rows_within(8 * (2 * k + 4 * m))):
+                    residual = arrow.dense_rows(batch.column("residual"), m)
+                    x = arrow.rows_of_sparse(batch.column("atoms"), batch.column("coefs"), k)
+                    yield batch, residual + x @ matrix, residual, x
+        return run
+
+    def totals(self, new_sums: Callable[[], object]) -> sums.Totals:
+        coded = self.coded(ship(self.rows, self.found))
+        return collect_totals(sum_cells(self.rows, coded, new_sums), self.found.n_atoms, self.found.width)
+
+    def residual_moment(self, vectors: np.ndarray) -> np.ndarray:
+        """R R' v for every row v: a pass over the residuals; a task hands on as many values as ``vectors`` has."""
+        context, m = self.rows.sparkSession.sparkContext, self.found.width
+        shared = context.broadcast(vectors)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            v, total = shared.value, None
+            for whole in batches:
+                for batch in arrow.slices(whole, arrow.rows_within(8 * (2 * m + len(v)))):
+                    residual = arrow.dense_rows(batch.column("residual"), m)
+                    part = (residual @ v.T).T @ residual
+                    total = part if total is None else total + part
+            if total is not None:
+                yield block_batch(total.ravel())
+
+        summed = added(self.rows.select("residual").transform(map_batches, partial, BLOCK_FIELDS), "block")
+        out = local_array(summed, vectors.size).reshape(vectors.shape)
+        shared.unpersist()
+        return out
+
+
 NODE_SUMS = 16 * 1024 * 1024  # bytes of per-node sums a task may hold
 
 
@@ -79,10 +142,10 @@ def sum_cells(source: DataFrame, coded: Coded, new_sums: Callable[[], object], p
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, object] = {}
         whole = None
-        for batch, signals, residual, codes in coded(batches):
+        for batch, signals, residual, codes, *curve in coded(batches):
             if whole is None:
                 whole = new_sums()
-            whole.add(signals, residual, codes)
+            whole.add(signals, residual, codes, *curve)
             if per_node is None:
                 continue
             nodes = np.asarray(batch.column("node_id"))
@@ -124,17 +187,40 @@ def xx_fits(n_atoms: int) -> bool:
 
 
 def pursuit_totals(signals: DataFrame, found: Dictionary, limit: int, tol: float | None,
-                   new_sums: Callable[[], object] | None = None) -> sums.Totals:
+                   new_sums: Callable[[], object] | None = None, curve: bool = False) -> sums.Totals:
     """Code all signals and sum what an update needs, in one pass and one small shuffle."""
     if new_sums is None:
         new_sums = lambda: sums.ErrorSums(found.n_atoms, found.width, with_xx=xx_fits(found.n_atoms))
     model = ship(signals, found)
-    cells = sum_cells(signal_vectors(signals, native=True), coded_by_pursuit(model, limit, tol), new_sums)
+    cells = sum_cells(signal_vectors(signals, native=True), coded_by_pursuit(model, limit, tol, curve), new_sums)
     totals = collect_totals(cells, found.n_atoms, found.width)
     model.unpersist()
     return totals
 
 
+def totals_in_step(signals: DataFrame, found: Dictionary, tol: float, depth: int,
+                   new_sums: Callable[[], object] | None = None) -> tuple[int, sums.Totals]:
+    """How many picks per signal bring the whole residual to ``tol``, and the sums after so many.
+
+    One pass gives the norm after every number of picks up to ``depth`` and the sums at ``depth``; if that is the number,
+    as in an iteration whose predecessor took as many, nothing more is coded. Else the depth is doubled until the norms
+    pass ``tol``, and the sums are formed at the number found.
+    """
+    most = min(found.n_atoms, found.width)
+    depth = min(max(1, depth), most)
+    while True:
+        totals = pursuit_totals(signals, found, depth, None, new_sums, curve=True)
+        reached = np.flatnonzero(np.sqrt(totals.curve) <= tol)
+        if not totals.n_signals:
+            return 0, totals
+        if len(reached):
+            picks = int(reached[0])
+            return picks, totals if picks == depth else pursuit_totals(signals, found, picks, None, new_sums)
+        if depth == most:
+            return most, totals
+        depth = min(2 * depth, most)
+
+
 def code_totals(signals: DataFrame, found: Dictionary, codes: DataFrame,
                 new_sums: Callable[[], object] | None = None) -> sums.Totals:
     """The same sums for codes given as a table; signals and codes meet on the signal key."""
@@ -183,22 +269,34 @@ def site_errors(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFr
     return found.where("node_id is not null").select("node_id", "signal_id", "atom_id", "vec")
 
 
-def dimension_errors(signals: DataFrame, atoms: DataFrame, codes: DataFrame) -> DataFrame:
+def dimension_errors(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
     """Squared errors with the data split by dimension: ``(dim, atom_id, signal_id, value)``.
 
     Dimension s is paired with the codes x_s of atom s; for atom k the error is
-    y_s - (sum_j D(s, j) - D(s, k)) x_s.
+    y_s - (sum_j D(s, j) - D(s, k)) x_s. Signals meet their codes once; a signal's errors are made in its row.
     """
-    by_dim = Window.partitionBy("dim")
-    model = atoms.select("atom_id", F.posexplode("atom").alias("dim", "d"))
-    model = model.select("dim", "atom_id", (F.sum("d").over(by_dim) - F.col("d")).alias("others"))
-    y = to_entries(signal_vectors(signals)).select(F.col("row_id").alias("signal_id"), F.col("col_id").alias("dim"),
-                                                   F.col("value").alias("y"))
-    x = codes.select(F.col("signal_id").cast("long").alias("signal_id"), F.col("atom_id").alias("dim"), F.col("coef").alias("x"))
-    paired = atoms.select(F.col("atom_id").alias("dim")).distinct()
-    rows = join_model(y, paired, ["dim"], "signal_id").join(x, ["signal_id", "dim"], "left")
-    error = F.col("y") - F.col("others") * F.coalesce("x", F.lit(0.0))
-    return join_model(rows, model, ["dim"], "signal_id").select("dim", "atom_id", "signal_id", (error * error).alias("value"))
+    found = local_dictionary(atoms)
+    model = ship(signals, found)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = model.value.ids, model.value.matrix
+        place = np.flatnonzero((ids >= 0) & (ids < matrix.shape[1]))
+        dims = ids[place]  # dimension s and atom s, where both exist
+        d = matrix[:, dims].T
+        others = d.sum(axis=1, keepdims=True) - d
+        for batch, y, _, x in coded_by_table(model)(batches):
+            names = np.asarray(batch.column("signal_id"))
+            step = arrow.rows_within(40 * max(1, others.size))
+            for at in range(0, len(names), step):
+                some = slice(at, at + step)
+                value = np.square(y[some][:, dims, None] - others * x[some][:, place, None])
+                n, cells = len(value), others.size
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.tile(np.repeat(dims, len(ids)), n).astype(np.int32)), pa.array(np.tile(ids, n * len(dims)).astype(np.int32)),
+                     pa.array(np.repeat(names[some], cells)), pa.array(value.ravel())], ["dim", "atom_id", "signal_id", "value"])
+
+    return attach_codes(signals.select("signal_id", "vec"), codes).transform(
+        map_batches, spread, "dim int, atom_id int, signal_id long, value double")
 
 
 def error_gramians(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:

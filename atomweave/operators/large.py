@@ -129,18 +129,18 @@ def block_omp(source: DataFrame, atoms: DataFrame, tol: float) -> DataFrame:
 
 def _rounds(source: DataFrame, blocks: AtomBlocks, limit: int, tol: float | None, whole_tol: float | None) -> DataFrame:
     state = _start(source).withColumn("chosen", F.array().cast("array<double>")).withColumn("open", F.lit(limit > 0))
-    done = []
+    done, settled = [], 0.0  # rows that left the loop, and the sum of their squared residuals
+
+    def square(rows: DataFrame) -> float:
+        return rows.agg(F.sum(vectors.sum_of_squares(F.col("residual"))).alias("s")).first()["s"] or 0.0
     for r in range(limit):
         state = cut_lineage(state)
-        if whole_tol is not None:
-            square = state.agg(F.sum(vectors.sum_of_squares(F.col("residual"))).alias("s")).first()["s"] or 0.0
-            for part in done:
-                square += part.agg(F.sum(vectors.sum_of_squares(F.col("residual"))).alias("s")).first()["s"] or 0.0
-            if square ** 0.5 <= whole_tol:
-                break
+        if whole_tol is not None and (square(state) + settled) ** 0.5 <= whole_tol:
+            break
         # rows that need no further pick leave the loop for good
         closed, state = state.where(~F.col("open")), state.where("open")
         done.append(cut_lineage(closed))
+        settled += square(done[-1]) if whole_tol is not None else 0.0
         if state.isEmpty():
             break
         found = _search(state, blocks, exclude=True)

@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import arrow, vectors
 from ..session import cached, cut_lineage
 from ..shipping import map_batches
-from ..sizing import check_row_width, join_model
+from ..sizing import check_row_width, join_model, pinned
+from .blocks import BLOCK, BLOCK_FIELDS, added, block_batch
 
-_CELL = "i int, j int, value double"
+PRODUCT_SIDE = 1 << 10  # rows of a key that meet in one place of a sparse product
+CELLS_PER_TASK = 1 << 23  # of a triangle that a task holds at a time
 
 
 # --- keys and layout -------------------------------------------------------------------
@@ -149,31 +151,64 @@ def matmul(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.groupBy("row_id", F.col("out_id").alias("col_id")).agg(F.sum(F.col("value") * F.col("r")).alias("value"))
 
 
-def gramian_upper(df: DataFrame, vec: str = "vec", weight: str | None = None) -> DataFrame:
+def gramian_upper(df: DataFrame, vec: str = "vec", weight: str | None = None, cells_per_task: int = CELLS_PER_TASK) -> DataFrame:
     """The upper triangle of the sum of (weight *) v v' over all rows: ``(i, j, packed, value)``.
 
-    Each task reduces its rows to one small triangle, so the shuffle carries one triangle
-    per partition however many rows there are. ``packed`` is the place of the cell in
-    column-by-column triangular storage.
+    Each task reduces its rows to one triangle, which travels as rows of values and is added up in a tree, so the shuffle
+    carries one triangle per partition however many rows there are. A triangle of more than ``cells_per_task`` cells is
+    formed in ranges of columns, a pass over the rows for each. ``packed`` is the place of a cell in column-by-column
+    triangular storage.
     """
     source = df.select(F.col(vec).alias("vec"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
+    first = source.where("vec is not null").select(F.size("vec").alias("m")).first()
+    m = 0 if first is None else first["m"]
+    found = None
+    for low, high in column_ranges(m, cells_per_task) or [(0, 0)]:
+        cells = _triangle_columns(source, low, high)
+        found = cells if found is None else found.unionByName(cells)
+    return found
+
+
+def column_ranges(m: int, cells: int) -> list[tuple[int, int]]:
+    """Ranges of columns of an m by m upper triangle with at most ``cells`` cells each (one column at least)."""
+    out, low, held = [], 0, 0
+    for j in range(m):
+        if j > low and held + j + 1 > cells:
+            out.append((low, j))
+            low, held = j, 0
+        held += j + 1
+    return out + [(low, m)] if m else []
+
+
+def _triangle_columns(source: DataFrame, low: int, high: int) -> DataFrame:
+    """Columns ``low`` to ``high`` of the triangle, summed over all rows."""
+    sizes = np.arange(low, high) + 1
+    before = np.cumsum(sizes) - sizes  # place of a column's first cell in this range
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = arrow.dense_rows(batch.column("vec"), len(batch.column("vec")[0]))
-            part = rows.T @ (rows * np.asarray(batch.column("w"))[:, None])
+            rows = arrow.dense_rows(batch.column("vec"), len(batch.column("vec")[0]))[:, :high]
+            part = rows.T @ (rows[:, low:] * np.asarray(batch.column("w"))[:, None])
             total = part if total is None else total + part
         if total is not None:
-            i, j = np.triu_indices(len(total))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "value"])
+            yield block_batch(np.concatenate([total[:j + 1, j - low] for j in range(low, total.shape[1] + low)]))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, values in zip(batch.column("block").to_pylist(), batch.column("values")):
+                value = values.values.to_numpy()
+                place = block * BLOCK + np.arange(len(value))
+                col = np.searchsorted(before, place, side="right") - 1
+                i, j = place - before[col], col + low
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array((i + j * (j + 1) // 2).astype(np.int64)), pa.array(value)],
+                    ["i", "j", "packed", "value"])
 
-    packed = (F.col("i") + F.col("j") * (F.col("j") + 1) / 2).cast("long")
-    return source.transform(map_batches, partial, _CELL).groupBy("i", "j").agg(F.sum("value").alias("value")).select(
-        "i", "j", packed.alias("packed"), "value")
+    return added(source.transform(map_batches, partial, BLOCK_FIELDS), "block").transform(
+        map_batches, cells, "i int, j int, packed long, value double")
 
 
 def symmetrize(upper: DataFrame) -> DataFrame:
@@ -194,15 +229,15 @@ def gramian_of_entries(entries: DataFrame, n_cols: int) -> DataFrame:
 def gramian_times(entries: DataFrame, v: DataFrame) -> DataFrame:
     """A'(A v) without forming A'A; ``v`` is ``(col_id, value)``, so is the result.
 
-    Rows' products with v are summed before they are shuffled and meet the row's cells again
-    in an inner join, which splits a row that holds very many cells.
+    Rows' products with v are summed before they are shuffled and meet the row's cells again. A row of very many cells is
+    spread over several tasks there, as a column of very many is in the product with v.
     """
     factor = v.select("col_id", F.col("value").alias("f"))
     along = (
         join_model(entries, factor, ["col_id"], "row_id")
         .groupBy("row_id").agg(F.sum(F.col("value") * F.col("f")).alias("along"))
     )
-    return entries.join(along, "row_id").groupBy("col_id").agg(F.sum(F.col("value") * F.col("along")).alias("value"))
+    return join_model(entries, along, ["row_id"], "col_id").groupBy("col_id").agg(F.sum(F.col("value") * F.col("along")).alias("value"))
 
 
 def outer_product(left: DataFrame, right: DataFrame, key: str = "key") -> DataFrame:
@@ -215,15 +250,54 @@ def outer_product(left: DataFrame, right: DataFrame, key: str = "key") -> DataFr
     )
 
 
+def sparse_product(left: DataFrame, right: DataFrame, side: int = PRODUCT_SIDE) -> DataFrame:
+    """``(src, dst, w)`` of two sparse matrices in that form; neither side need be small.
+
+    An inner key makes as many products as the rows it has on the left times those on the right. Where one has more than
+    ``side`` of either, both are dealt into parts of about ``side`` rows, by ``src`` and by ``dst``, and every two parts
+    meet in a place of their own: the outer product of a heavy row is formed in blocks of ``side`` by ``side`` by as many
+    tasks. Products are added up inside the tasks before they are shuffled. No cell is dropped, however small;
+    :func:`product_pairs` says beforehand how many products there will be.
+    """
+    return _products(left, right, side).groupBy("src", "dst").agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
+
+
+def _products(left: DataFrame, right: DataFrame, side: int) -> DataFrame:
+    """``(src, dst, w, w2)`` of every product, heavy keys dealt in blocks."""
+    a = left.select("src", F.col("dst").alias("mid"), "w")
+    b = right.select(F.col("src").alias("mid"), "dst", F.col("w").alias("w2"))
+    heavy = _key_sizes(a, b).where((F.col("n_left") > side) | (F.col("n_right") > side))
+    parts = lambda n: F.ceil(F.col(n) / side).cast("int")
+    # at most a row per ``side`` rows of either matrix
+    heavy, few = pinned(heavy.select("mid", parts("n_left").alias("rows"), parts("n_right").alias("cols")))
+    heavy = F.broadcast(heavy) if few else heavy
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(key), F.coalesce(own, F.lit(1))).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return df.join(heavy, "mid", "left").withColumn(f"_{own}", mine).withColumn(f"_{other}", copies).drop("rows", "cols")
+    return dealt(a, "src", "rows", "cols").join(dealt(b, "dst", "cols", "rows"), ["mid", "_rows", "_cols"]).select("src", "dst", "w", "w2")
+
+
+def _key_sizes(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.groupBy("mid").agg(F.count("*").alias("n_left")).join(b.groupBy("mid").agg(F.count("*").alias("n_right")), "mid")
+
+
+def product_pairs(left: DataFrame, right: DataFrame) -> int:
+    """How many products :func:`sparse_product` forms; the result has no more cells than that."""
+    sizes = _key_sizes(left.select(F.col("dst").alias("mid")), right.select(F.col("src").alias("mid")))
+    return sizes.agg(F.coalesce(F.sum(F.col("n_left") * F.col("n_right")), F.lit(0)).alias("n")).first()["n"]
+
+
 def matrix_power(weights: DataFrame, c: int, checkpoint_every: int = 4) -> DataFrame:
-    """The c-th power of a node by node matrix ``(src, dst, w)``; c < 2 gives it back."""
-    base = weights.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("w").alias("w2"))
-    power = weights.select("src", "dst", "w")
+    """The c-th power of a node by node matrix ``(src, dst, w)``; c < 2 gives it back.
+
+    Each step is a :func:`sparse_product`, so that hubs are formed in blocks; all cells that fill in are kept.
+    """
+    base = weights.select("src", "dst", "w")
+    power = base
     for step in range(1, c):
-        power = (
-            power.withColumnRenamed("dst", "mid").join(base, "mid")
-            .groupBy("src", F.col("to").alias("dst")).agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
-        )
+        power = sparse_product(power, base)
         if step % checkpoint_every == 0 and step + 1 < c:
             power = cut_lineage(power)
     return power
@@ -235,15 +309,12 @@ def _upper_factor(rows: np.ndarray) -> np.ndarray:
     return np.linalg.qr(rows, mode="r")
 
 
-def tall_skinny_qr(df: DataFrame, key: str = "signal_id", vec: str = "vec",
-                   fan_in: int = 32) -> tuple[DataFrame, DataFrame]:
-    """Thin QR of a tall matrix: Q as ``(key, vec)`` and R as entries with diag(R) >= 0.
+DEPENDENT = 64  # times the machine's precision and the width: what is left of a column that depends on those before it
+STEADY = 1e3    # condition up to which the first Q is orthogonal to about twelve digits
 
-    Every task reduces its rows to one triangle; triangles are stacked ``fan_in`` at a time
-    and reduced again until one is left. Q is then a row-wise product with R's inverse.
-    """
-    source = df.select(F.col(key), F.col(vec).alias("vec"))
 
+def _triangle(source: DataFrame, fan_in: int) -> np.ndarray:
+    """The triangle of a tall table's rows: every task's own, then ``fan_in`` stacked at a time until one is left."""
     def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         part = 0
@@ -276,20 +347,68 @@ def tall_skinny_qr(df: DataFrame, key: str = "signal_id", vec: str = "vec",
             break
     stacked = level.toArrow()["vec"].combine_chunks()
     parts.unpersist()
-    r = arrow.dense_rows(stacked, len(stacked[0]))
-    if r.shape[0] < r.shape[1]:
-        raise ValueError("QR needs at least as many rows as columns")
-    r = np.triu(r) * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
-    spark = df.sparkSession
-    inverse = spark.sparkContext.broadcast(np.linalg.inv(r))
-    width = len(r)
-
-    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = arrow.dense_rows(batch.column("vec"), width)
-            yield pa.RecordBatch.from_arrays([batch.column(key), arrow.list_rows(rows @ inverse.value)], [key, "vec"])
+    return arrow.dense_rows(stacked, len(stacked[0]))
+
 
-    q = source.transform(map_batches, divide, f"{key} {source.schema[key].dataType.simpleString()}, vec array<double>")
+def independent_triangle(top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """R with a zero row for every column that depends on the columns before it, and the places of the others.
+
+    ``top`` has the columns' lengths and angles (any triangle of the matrix). Columns are made orthogonal one after the
+    other, twice for accuracy; what is then left of a dependent one is rounding.
+    """
+    width = top.shape[1]
+    r, basis, kept = np.zeros((width, width)), np.zeros((0, len(top))), []
+    least = DEPENDENT * width * np.finfo(float).eps
+    for j in range(width):
+        rest = top[:, j].copy()
+        for _ in range(2):
+            share = basis @ rest
+            r[kept, j] += share
+            rest = rest - share @ basis
+        length = np.linalg.norm(rest)
+        if length > least * np.linalg.norm(top[:, j]):
+            r[j, j] = length
+            kept.append(j)
+            basis = np.vstack([basis, rest / length])
+    return r, np.array(kept, dtype=np.int64)
+
+
+def tall_skinny_qr(df: DataFrame, key: str = "signal_id", vec: str = "vec",
+                   fan_in: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Thin QR of any tall matrix: Q as ``(key, vec)`` and R as entries of its upper triangle, diag(R) >= 0.
+
+    Every task reduces its rows to one triangle; triangles are stacked ``fan_in`` at a time and reduced again until one is
+    left. A column that depends on those before it (a zero column too) has a zero row in R and a zero column in Q; the
+    other columns of Q are orthonormal. Q is a row-wise product with the inverse of R; where R is badly conditioned, one
+    more round on that Q makes it orthogonal again.
+    """
+    source = df.select(F.col(key), F.col(vec).alias("vec"))
+    r, kept = independent_triangle(_triangle(source.select("vec"), fan_in))
+    width, spark = len(r), df.sparkSession
+    inverse = np.zeros((width, width))
+    inverse[np.ix_(kept, kept)] = np.linalg.inv(r[np.ix_(kept, kept)])
+    schema = f"{key} {source.schema[key].dataType.simpleString()}, vec array<double>"
+
+    def times(factor: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast(factor)
+
+        def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = arrow.dense_rows(batch.column("vec"), width)
+                for one in shared.value:
+                    rows = rows @ one
+                yield pa.RecordBatch.from_arrays([batch.column(key), arrow.list_rows(rows)], [key, "vec"])
+
+        return source.transform(map_batches, divide, schema)
+    factors = [inverse]
+    if len(kept) and np.linalg.cond(r[np.ix_(kept, kept)]) > STEADY:
+        again = _triangle(times(factors).select("vec"), fan_in)[:, kept]
+        small, same = independent_triangle(again)
+        if len(same) == len(kept):
+            turn = np.zeros((width, width))
+            turn[np.ix_(kept, kept)] = np.linalg.inv(small)
+            factors.append(turn)
+            r[kept] = small @ r[kept]
     i, j = np.triu_indices(width)
     cells = pa.table({"row_id": i.astype(np.int64), "col_id": j.astype(np.int32), "value": r[i, j]})
-    return q, spark.createDataFrame(cells)
+    return times(factors), spark.createDataFrame(cells)

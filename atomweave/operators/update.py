@@ -8,13 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import arrow, sums
+from ..functions import arrow, leading, sums
 from ..shipping import map_batches
 from ..sources.models import Dictionary, matrix_to_table
 from .coding import attach_codes, ship
-from .errors import (Coded, code_totals, coded_by_table, local_dictionary, per_atom, rr_fits, weight_matrix)
+from .errors import CodedRows, code_totals, coded_by_table, local_dictionary, per_atom, rr_fits, weight_matrix
 
 _LEADING = "atom_id int, sigma double, vec array<double>"
+DECOMPOSED = 256  # up to this width an m by m matrix is decomposed, beyond it only multiplied with vectors
 
 
 def oriented(new: np.ndarray, old: np.ndarray) -> np.ndarray:
@@ -31,20 +32,29 @@ def oriented(new: np.ndarray, old: np.ndarray) -> np.ndarray:
 def leading_vectors(spark, found: Dictionary, totals: sums.Totals) -> DataFrame:
     """Per atom the largest singular value of E_k and its left vector, one small task per atom.
 
-    An atom whose error is zero keeps its vector.
+    An atom whose error is zero keeps its vector. Past ``DECOMPOSED`` dimensions each step of the search costs m^2 per atom.
     """
-    shared = spark.sparkContext.broadcast((found, totals))
+    wide = found.width > DECOMPOSED
+    ritz = leading.dominant(lambda q: q @ totals.rr, found.width) if wide else None
+    shared = spark.sparkContext.broadcast((found, totals, ritz))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value
+        model, known, ritz = shared.value
         for batch in batches:
             keys = np.asarray(batch.column("id"))
+            if not len(keys):
+                continue
             sigma, vecs = np.zeros(len(keys)), model.matrix[keys].copy()
-            for row, k in enumerate(keys):
-                values, basis = np.linalg.eigh(known.error_gramian(k, model.matrix[k]))
-                if values[-1] > 0:
-                    sigma[row] = np.sqrt(values[-1])
-                    vecs[row] = oriented(basis[:, -1], model.matrix[k])
+            if ritz is not None:
+                values, found_vecs = leading.leading_pairs(
+                    lambda q: q @ known.rr, *ritz, np.trace(known.rr), known.rx[keys], known.energy[keys], model.matrix[keys])
+                sigma, vecs = _signed(values, found_vecs, model.matrix[keys])
+            else:
+                for row, k in enumerate(keys):
+                    values, basis = np.linalg.eigh(known.error_gramian(k, model.matrix[k]))
+                    if values[-1] > 0:
+                        sigma[row] = np.sqrt(values[-1])
+                        vecs[row] = oriented(basis[:, -1], model.matrix[k])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(model.ids[keys].astype(np.int32)), pa.array(sigma), arrow.list_rows(vecs)],
                 ["atom_id", "sigma", "vec"])
@@ -52,49 +62,93 @@ def leading_vectors(spark, found: Dictionary, totals: sums.Totals) -> DataFrame:
     return per_atom(spark, found).transform(map_batches, solve, _LEADING)
 
 
-def top_singular(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
-    """``(atom_id, sigma, vec)``: largest singular value and left vector of every E_k."""
+def _signed(values: np.ndarray, vecs: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values, and vectors with the sign rule; where the value is zero the vector is the atom already."""
+    return np.sqrt(np.maximum(values, 0.0)), np.stack([oriented(v, o) if s > 0 else v for s, v, o in zip(values, vecs, old)])
+
+
+def leading_by_passes(rows: CodedRows, found: Dictionary, totals: sums.Totals) -> tuple[np.ndarray, np.ndarray]:
+    """The same as :func:`leading_vectors` without any m by m sum: every step is a pass over the residuals.
+
+    ``totals`` need no R R'; what is on the driver and in a task is a few times the dictionary's size.
+    """
+    values, basis = leading.dominant(rows.residual_moment, found.width)
+    pairs = leading.leading_pairs(rows.residual_moment, values, basis, totals.r_square, totals.rx, totals.energy, found.matrix)
+    return _signed(*pairs, found.matrix)
+
+
+def _top_singular(signals: DataFrame, found: Dictionary, codes: DataFrame, moments: str | None,
+                  rows: CodedRows | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and left vectors as arrays; with ``rows`` nothing is joined again."""
+    spark = signals.sparkSession
+    if moments not in (None, "sums", "passes"):
+        raise ValueError("moments is 'sums' or 'passes'")
+    if moments == "sums" or moments is None and rr_fits(spark, found.width):
+        if rows is None:
+            totals = code_totals(signals, found, codes)
+        else:
+            totals = rows.totals(lambda: sums.ErrorSums(found.n_atoms, found.width))
+        table = leading_vectors(spark, found, totals).toArrow().combine_chunks().sort_by("atom_id")
+        return np.asarray(table["sigma"]), arrow.dense_rows(table["vec"].combine_chunks(), found.width)
+    rows = rows or coded_rows(signals, found, codes)
+    return leading_by_passes(rows, found, rows.totals(lambda: sums.ErrorSums(found.n_atoms, found.width, with_rr=False)))
+
+
+def coded_rows(signals: DataFrame, found: Dictionary, codes: DataFrame, how: str = "full") -> CodedRows:
+    """Signals and codes joined once and written."""
+    return CodedRows(attach_codes(signals.select("signal_id", "vec"), codes, how), coded_by_table(ship(signals, found)), found)
+
+
+def top_singular(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame, moments: str | None = None) -> DataFrame:
+    """``(atom_id, sigma, vec)``: largest singular value and left vector of every E_k.
+
+    ``moments='sums'`` forms the m by m sum in one pass, ``'passes'`` multiplies vectors with it in a pass each, which any
+    width of signal allows. By default the width decides: sums up to the model size limit.
+    """
     found = local_dictionary(atoms)
-    if not rr_fits(signals.sparkSession, found.width):
-        raise ValueError("the m by m sums are over the model size limit; use power_update")
-    return leading_vectors(signals.sparkSession, found, code_totals(signals, found, codes))
+    spark = signals.sparkSession
+    if moments == "sums" or moments is None and rr_fits(spark, found.width):
+        return leading_vectors(spark, found, code_totals(signals, found, codes))
+    sigma, left = _top_singular(signals, found, codes, moments)
+    return matrix_to_table(spark, np.column_stack([sigma, left]), "atom_id", "both", found.ids).select(
+        F.col("atom_id").cast("int").alias("atom_id"), F.element_at("both", 1).alias("sigma"),
+        F.slice("both", 2, found.width).alias("vec"))
 
 
-def svd_dictionary_update(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
+def svd_dictionary_update(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame, moments: str | None = None) -> DataFrame:
     """Every atom replaced by the leading left vector of its error; the codes stay."""
-    return top_singular(signals, atoms, codes).select("atom_id", F.col("vec").alias("atom"))
+    return top_singular(signals, atoms, codes, moments).select("atom_id", F.col("vec").alias("atom"))
 
 
-def sigma_v(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
+def sigma_v(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame, moments: str | None = None) -> DataFrame:
     """Largest singular value and right vector of every E_k: ``(atom_id, signal_id, sigma, v)``.
 
-    The value for signal i is u_k'(r_i + d_k x_ik) / sigma_k, a row-wise product.
+    The value for signal i is u_k'(r_i + d_k x_ik) / sigma_k, a row-wise product. Signals and codes meet once: the written
+    rows serve the sums (or passes) and the products.
     """
     found = local_dictionary(atoms)
-    leading = top_singular(signals, found, codes).toArrow().combine_chunks().sort_by("atom_id")
-    left = arrow.dense_rows(leading["vec"].combine_chunks(), found.width)
-    shared = signals.sparkSession.sparkContext.broadcast((found.ids.astype(np.int32), left, np.asarray(leading["sigma"]),
+    rows = coded_rows(signals, found, codes, "left")
+    values, left = _top_singular(signals, found, codes, moments, rows)
+    shared = signals.sparkSession.sparkContext.broadcast((found.ids.astype(np.int32), left, values,
                                                           np.einsum("km,km->k", left, found.matrix)))
-    model = ship(signals, found)
+    coded = rows.coded(ship(signals, found))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, u, sigma, own = shared.value
         scale = np.divide(1.0, sigma, out=np.zeros_like(sigma), where=sigma > 0)
-        for batch, _, residual, x in coded_by_table(model)(batches):
+        for batch, _, residual, x in coded(batches):
             v = (residual @ u.T + x * own) * scale
             n = len(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.tile(ids, n)), pa.array(np.repeat(np.asarray(batch.column("signal_id")), len(ids))),
                  pa.array(np.tile(sigma, n)), pa.array(v.ravel())], ["atom_id", "signal_id", "sigma", "v"])
 
-    return attach_codes(signals.select("signal_id", "vec"), codes).transform(
-
-        map_batches, project, "atom_id int, signal_id long, sigma double, v double")
+    return rows.rows.transform(map_batches, project, "atom_id int, signal_id long, sigma double, v double")
 
 
-def update_codes(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:
+def update_codes(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame, moments: str | None = None) -> DataFrame:
     """Codes replaced by sigma_k v_k for every atom and signal (not part of the default fit)."""
-    rows = sigma_v(signals, atoms, codes)
+    rows = sigma_v(signals, atoms, codes, moments)
     return rows.select("signal_id", "atom_id", (F.col("sigma") * F.col("v")).alias("coef")).where("coef != 0")
 
 
@@ -111,11 +165,8 @@ def power_update(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataF
     w = None if mixing is None else weight_matrix(mixing, found.width)
     spark = signals.sparkSession
     if rr_fits(spark, found.width):
-        new = power_steps(spark, found, code_totals(signals, found, codes), q, rounds, w)
-    else:
-        source = attach_codes(signals.select("signal_id", "vec"), codes)
-        new = power_passes(source, found, coded_by_table(ship(signals, found)), q, rounds, w)
-    return new
+        return power_steps(spark, found, code_totals(signals, found, codes), q, rounds, w)
+    return power_passes(coded_rows(signals, found, codes), found, q, rounds, w)
 
 
 def power_steps(spark, found: Dictionary, totals: sums.Totals, q: np.ndarray, rounds: int,
@@ -138,29 +189,14 @@ def power_steps(spark, found: Dictionary, totals: sums.Totals, q: np.ndarray, ro
     return per_atom(spark, found).transform(map_batches, run, "atom_id int, atom array<double>")
 
 
-def power_passes(source: DataFrame, found: Dictionary, coded: Coded, q: np.ndarray, rounds: int,
-                 w: np.ndarray | None = None) -> DataFrame:
-    """Power steps as passes over the signals; a task hands on K vectors of m values."""
-    spark = source.sparkSession
+def power_passes(rows: CodedRows, found: Dictionary, q: np.ndarray, rounds: int, w: np.ndarray | None = None) -> DataFrame:
+    """Power steps as passes over the written residuals; a task hands on K vectors of m values."""
+    spark = rows.rows.sparkSession
+    totals = rows.totals(lambda: sums.ErrorSums(found.n_atoms, found.width, with_rr=False))
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((found.matrix, q))
-
-        def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            atoms, now = shared.value
-            total = None
-            for _, _, residual, x in coded(batches):
-                part = sums.power_step_of_rows(residual, x, atoms, now)
-                total = part if total is None else total + part
-            if total is not None:
-                k, j = np.indices(total.shape)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(total.ravel())],
-                    ["k", "j", "value"])
-
-        rows = source.transform(map_batches, partial, "k int, j int, value double").groupBy("k", "j").agg(
-            F.sum("value").alias("value")).toArrow()
-        z = np.zeros_like(q)
-        z[np.asarray(rows["k"]), np.asarray(rows["j"])] = np.asarray(rows["value"])
+        along = np.einsum("km,km->k", found.matrix, q)
+        back = np.einsum("km,km->k", totals.rx, q) + totals.energy * along
+        z = rows.residual_moment(q) + along[:, None] * totals.rx + back[:, None] * found.matrix
         q = sums.unit_rows(z if w is None else z @ w.T)
     return matrix_to_table(spark, q, "atom_id", "atom", found.ids)
 

@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import arrow, sums
 from ..operators import consensus
-from ..operators.coding import global_picks, omp, ship, signal_vectors
-from ..operators.errors import coded_by_pursuit, local_dictionary, pursuit_totals, rr_fits, weight_matrix, xx_fits
-from ..operators.update import dimension_step, leading_vectors
+from ..operators.coding import omp, ship, signal_vectors
+from ..operators.errors import CodedRows, coded_by_pursuit, local_dictionary, pursuit_totals, rr_fits, totals_in_step, weight_matrix, xx_fits
+from ..operators.update import dimension_step, leading_by_passes, leading_vectors
 from ..session import cached, cut_lineage
 from ..shipping import map_batches
 from ..sources.models import Dictionary, init_dictionary
@@ -70,7 +70,7 @@ def fit_dictionary(signals: DataFrame, iterations: int, method: str = "svd", tol
                    power_rounds: int = 2, consensus_rounds: int = 1, weights: DataFrame | None = None,
                    mix: str = "before", sites: str = "auto", node_id: int | None = None,
                    start: DataFrame | Dictionary | None = None, mixing: DataFrame | None = None,
-                   n_nonzero: int | None = None, keep_signals: bool = False) -> FitResult:
+                   n_nonzero: int | None = None, keep_signals: bool = False, moments: str | None = None) -> FitResult:
     """Learn a dictionary from ``(signal_id, vec[, node_id])``.
 
     ``svd``: pursuit in step to the global tolerance, unused atoms dropped, every atom replaced
@@ -79,11 +79,15 @@ def fit_dictionary(signals: DataFrame, iterations: int, method: str = "svd", tol
     ``tol``, then ``power_rounds`` of the update between sites.
 
     The first dictionary is square (as many atoms as dimensions) unless one is given.
+    ``moments`` says how ``svd`` finds its vectors: ``'sums'`` forms the m by m sum in the coding pass, ``'passes'`` writes
+    the coded signals once per iteration and passes over them, for signals of any width; by default the width decides.
     ``keep_signals`` stores the signals on the executors for the length of the fit; use it when
     they are costly to compute, not when they are a plain columnar scan.
     """
     if method not in ("svd", "dimension", "consensus"):
         raise ValueError("method is 'svd', 'dimension' or 'consensus'")
+    if moments not in (None, "sums", "passes"):
+        raise ValueError("moments is 'sums' or 'passes'")
     spark = signals.sparkSession
     source = signals
     if method == "consensus" and "node_id" not in signals.columns:
@@ -112,18 +116,19 @@ def fit_dictionary(signals: DataFrame, iterations: int, method: str = "svd", tol
     try:
         for iteration in range(1, iterations + 1):
             before = found
+            passes = method == "svd" and (moments == "passes" or moments is None and not rr_fits(spark, found.width))
+            new_sums = _report_sums(method, found, passes)
+            limit, local_tol, at_sites = n_nonzero, None, None
             if method == "consensus":
                 limit, local_tol = (found.n_atoms if n_nonzero is None else n_nonzero), tol
-            else:
-                picks = global_picks(source, found, tol, last[1] if rows else 4) if n_nonzero is None else n_nonzero
-                limit, local_tol = picks, None
-            at_sites = None
             if method == "consensus" and sites != "rows":
                 # one pass gives the sums per site and those of the report
                 at_sites = consensus.SiteSums(source, coded_by_pursuit(ship(source, found), limit, local_tol), found)
                 totals = at_sites.overall
+            elif limit is None:
+                limit, totals = totals_in_step(source, found, tol, last[1] if rows else 4, new_sums)
             else:
-                totals = pursuit_totals(source, found, limit, local_tol, _report_sums(spark, method, found))
+                totals = pursuit_totals(source, found, limit, local_tol, new_sums)
             nnz = int(totals.usage.sum())
             used = _used(found, totals.usage)
             coding = _pruned(found, used)
@@ -132,7 +137,10 @@ def fit_dictionary(signals: DataFrame, iterations: int, method: str = "svd", tol
             else:
                 at_sites.keep(used, coding)
             last = (coding, limit, local_tol)
-            if method == "svd":
+            if passes:
+                coded = CodedRows(source, coded_by_pursuit(ship(source, coding), limit, local_tol), coding)
+                found = Dictionary(coding.ids, leading_by_passes(coded, coding, totals)[1])
+            elif method == "svd":
                 found = _svd_update(spark, coding, totals)
             elif method == "dimension":
                 found = _dimension_update(source, before, coding, used, totals, limit, start, mixing, seed)
@@ -155,13 +163,11 @@ def fit_dictionary(signals: DataFrame, iterations: int, method: str = "svd", tol
     return FitResult(found.table(spark), last[0].table(spark), codes, report)
 
 
-def _report_sums(spark, method: str, found: Dictionary):
+def _report_sums(method: str, found: Dictionary, passes: bool):
     k, m = found.n_atoms, found.width
     if method == "dimension":
         return lambda: sums.DimensionSums(k, m)
-    if method == "svd" and not rr_fits(spark, m):
-        raise ValueError("signals are too wide for the singular vector update; use method='consensus'")
-    return lambda: sums.ErrorSums(k, m, method == "svd", xx_fits(k))
+    return lambda: sums.ErrorSums(k, m, method == "svd" and not passes, xx_fits(k))
 
 
 def _svd_update(spark, coding: Dictionary, totals: sums.Totals) -> Dictionary:

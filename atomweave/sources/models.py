@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import arrow, vectors
 from ..session import cached
-from ..sizing import SizeLimitError, model_bytes_limit, table_bytes
+from ..sizing import SizeLimitError, model_bytes_limit, pinned, table_bytes
 
 
 @dataclass(frozen=True)
@@ -100,11 +100,12 @@ def init_dictionary(spark: SparkSession, m: int, n_atoms: int | None = None, see
     if init == "first_k":
         if signals is None:
             raise ValueError("init='first_k' needs signals")
-        first = signals.orderBy("signal_id").limit(n_atoms)
-        ranked = first.agg(F.sort_array(F.collect_list(F.struct("signal_id", "vec"))).alias("rows"))
-        return ranked.select(F.posexplode("rows").alias("atom_id", "row")).select(
-            "atom_id", vectors.unit(vectors.as_vector(F.col("row.vec"))).alias("atom")
-        )
+        # ids alone are ranked, as many narrow rows as there will be atoms; the vectors stay where they are
+        first = signals.select("signal_id").orderBy("signal_id").limit(n_atoms)
+        place = (F.row_number().over(Window.orderBy("signal_id")) - 1).cast("int")
+        ranked, small = pinned(first.select("signal_id", place.alias("atom_id")))
+        return signals.join(F.broadcast(ranked) if small else ranked, "signal_id").select(
+            "atom_id", vectors.unit(vectors.as_vector("vec")).alias("atom"))
     atom = F.col("id")
     if init == "random":
         cell = lambda j: F.pmod(F.xxhash64(F.lit(seed), atom, j), F.lit(1 << 53)).cast("double") / float(1 << 53)

@@ -77,6 +77,13 @@ def svd_dictionary(spark, sf_dir):
     return found.select("atom_id", F.posexplode("atom").alias("dim", "value")).withColumn("value", rounded(F.col("value")))
 
 
+@registered(query(_LEADING, f"SELECT atom_id, (i - 1)::INTEGER AS dim, {r6('q[i]', 'value')} FROM u, range(1, 65) t(i)"))
+def svd_dictionary_by_passes(spark, sf_dir):
+    """The same vectors without any m by m sum: products with the residuals' moment, a pass each."""
+    found = update.svd_dictionary_update(*centroid_codes(spark, sf_dir), moments="passes")
+    return found.select("atom_id", F.posexplode("atom").alias("dim", "value")).withColumn("value", rounded(F.col("value")))
+
+
 _RIGHT = _LEADING + [("rv", "SELECT e.atom_id, e.signal_id, sigma, list_inner_product(v, q) / sigma AS v FROM e JOIN u USING (atom_id)")]
 
 
@@ -162,6 +169,13 @@ def weight_matrix_power(spark, sf_dir):
     return matrix.matrix_power(weights, 3).withColumn("w", rounded(F.col("w")))
 
 
+@registered(query(SUPPLY_EDGES + metropolis("edges") + power_of("w", 2, "w2"), f"SELECT src, dst, {r6('w', 'w')} FROM w2"))
+def supply_weight_power(spark, sf_dir):
+    """Two rounds of exchange between suppliers at once, hubs in blocks."""
+    weights = consensus.metropolis_weights(supply_edges(spark, sf_dir))
+    return matrix.matrix_power(weights, 2).withColumn("w", rounded(F.col("w")))
+
+
 _SITE_MEANS = EMB + [("m", "SELECT node_id, i, avg(vec[i + 1]) AS v FROM y, range(64) t(i) GROUP BY ALL")]
 
 
@@ -243,9 +257,9 @@ def consensus_update_signal_sites(spark, sf_dir):
 
 # --- complete fits -----------------------------------------------------------------------
 
-def _svd_iterations(rounds: int, m: int, tol: float, signals: str = "y"):
+def _svd_iterations(rounds: int, m: int, tol: float, signals: str = "y", n_atoms: int | None = None):
     """Coding in step, pruning and the singular vector update, several times over."""
-    steps, atoms, n = [], "d", m
+    steps, atoms, n = [], "d", n_atoms or m
     for k in range(1, rounds + 1):
         steps += in_step(n, m, tol, signals=signals, atoms=atoms, name=f"p{k}")
         steps += codes(f"p{k}", f"c{k}") + pruned(f"d{k}", f"c{k}", atoms, f"x{k}")
@@ -279,6 +293,33 @@ def fit_dictionary_svd(spark, sf_dir):
     return found.atoms.select("atom_id", F.posexplode("atom").alias("dim", "value")).withColumn("value", rounded(F.col("value")))
 
 
+_J1_TOL = 17.0
+_J1 = EMB + CENTROIDS + _svd_iterations(2, 64, _J1_TOL, n_atoms=10)
+_J1 += residual_and_errors(64, "y", "n1", "x1", "f1") + residual_and_errors(64, "y", "n2", "x2", "f2")
+
+
+def _fit_embeddings(spark, sf_dir):
+    """Two iterations at the width of the embeddings, without any m by m sum."""
+    return fit_dictionary(embeddings(spark, sf_dir), 2, "svd", _J1_TOL, centroid_dictionary(spark, sf_dir), moments="passes")
+
+
+@registered(query(_J1, f"SELECT atom_id, (i - 1)::INTEGER AS dim, {r6('atom[i]', 'value')} FROM n2, range(1, 65) t(i)"))
+def fit_dictionary_svd_embeddings(spark, sf_dir):
+    found = _fit_embeddings(spark, sf_dir)
+    return found.atoms.select("atom_id", F.posexplode("atom").alias("dim", "value")).withColumn("value", rounded(F.col("value")))
+
+
+@registered(query(_J1, " UNION ALL ".join(
+    f"SELECT a.*, b.updated_relative_error FROM ({_REPORT.format(k=k, d=f'd{k}', x=f'x{k}', r=f'e{k}_r')}) a, "
+    f"(SELECT round(sqrt(sum(list_inner_product(r, r)) / sum(list_inner_product(vec, vec))), 6) + 0.0::DOUBLE AS updated_relative_error FROM f{k}_r) b"
+    for k in (1, 2))))
+def fit_report_svd_embeddings(spark, sf_dir):
+    """The report with the error of each new dictionary under the codes of the one before."""
+    found = _fit_embeddings(spark, sf_dir)
+    after = found.report.select("iter", rounded(F.col("updated_relative_error")).alias("updated_relative_error"))
+    return _report(found).join(after, "iter")
+
+
 _J2 = EVENTS + formula(5, 5) + in_step(5, 5, _FIT_TOL) + codes()
 _J2 += _DIMENSION[len(_EVENT_CODES):] + _MIXING + _DIMENSION_UPDATE[len(_DIMENSION) + len(_MIXING):]
 
@@ -290,6 +331,33 @@ def fit_dictionary_dimension(spark, sf_dir):
     return found.atoms.select("atom_id", F.posexplode("atom").alias("dim", "value")).withColumn("value", rounded(F.col("value")))
 
 
+def _dimension_iterations(rounds: int):
+    """The same over several iterations; Q stays the first dictionary."""
+    steps, atoms = EVENTS + formula(5, 5) + _MIXING, "d"
+    for k in range(1, rounds + 1):
+        steps += in_step(5, 5, _FIT_TOL, atoms=atoms, name=f"p{k}") + codes(f"p{k}", f"c{k}")
+        steps += [
+            (f"dc{k}", f"SELECT i - 1 AS dim, atom_id, atom[i] AS v, sum(atom[i]) OVER (PARTITION BY i) AS total FROM {atoms}, range(1, 6) t(i)"),
+            (f"xy{k}", f"SELECT y.signal_id, i - 1 AS dim, vec[i] AS yv, coalesce(coef, 0::DOUBLE) AS xv FROM y CROSS JOIN range(1, 6) t(i) "
+                       f"LEFT JOIN c{k} c ON c.signal_id = y.signal_id AND c.atom_id = i - 1"),
+            (f"dz{k}", f"SELECT dim, atom_id, sum((yv - (total * xv - v * xv)) ** 2) * any_value(d.atom[dim + 1]) AS z "
+                       f"FROM xy{k} JOIN dc{k} USING (dim) JOIN d USING (atom_id) GROUP BY ALL"),
+            (f"dm{k}", f"SELECT dim, w.src AS atom_id, sum(w.w * z) AS z FROM dz{k} JOIN mixing w ON w.dst = dz{k}.atom_id GROUP BY ALL"),
+            (f"dr{k}", f"SELECT dim, atom_id, z / sqrt(sum(z * z) OVER (PARTITION BY dim)) AS v FROM dm{k}"),
+            (f"dn{k}", f"SELECT dim, atom_id::INTEGER AS atom_id, v / sqrt(sum(v * v) OVER (PARTITION BY atom_id)) AS v FROM dr{k}"),
+            (f"n{k}", f"SELECT atom_id, list(v ORDER BY dim) AS atom FROM dn{k} GROUP BY atom_id")]
+        atoms = f"n{k}"
+    return steps
+
+
+@registered(query(_dimension_iterations(2), f"SELECT atom_id, dim::INTEGER AS dim, {r6('v', 'value')} FROM dn2"))
+def fit_dimension_twice(spark, sf_dir):
+    """Two iterations over signals that are kept on the executors meanwhile."""
+    atoms = formula_dictionary(spark, 5, 5)
+    found = fit_dictionary(event_signals(spark, sf_dir), 2, "dimension", _FIT_TOL, atoms, start=atoms, mixing=_mixing(spark, 5), keep_signals=True)
+    return found.atoms.select("atom_id", F.posexplode("atom").alias("dim", "value")).withColumn("value", rounded(F.col("value")))
+
+
 _J3_TOL = 0.8
 
 
@@ -324,3 +392,32 @@ def fit_dictionary_consensus(spark, sf_dir):
 @registered(query(_J3, " UNION ALL ".join(_REPORT.format(k=k, d=f"d{k}", x=f"x{k}", r=f"e{k}_r") for k in (1, 2))))
 def fit_report_consensus(spark, sf_dir):
     return _report(_fit_consensus(spark, sf_dir))
+
+
+# the first setting of all: every signal a site of its own, all connected alike, an iteration of the whole fit
+_SITE_TOL = 0.5
+
+
+def _site_fit(mix: str):
+    steps = EVENTS + formula(5, 5) + formula(5, 5, "s") + pursuit(5, 5, 5, _SITE_TOL) + codes("p", "c1") + pruned("d1", "c1", "d", "x1")
+    steps += residual_and_errors(5, "y", "d1", "x1", "e1") + [
+        ("es", "SELECT signal_id AS node_id, signal_id, atom_id, v FROM e1"),
+        ("w", "SELECT a.signal_id AS src, b.signal_id AS dst, 1::DOUBLE / (SELECT count(*) FROM y) AS w FROM y a, y b")]
+    steps += site_power(5, 2, "w", "(SELECT atom_id, atom FROM s WHERE atom_id < (SELECT count(*) FROM d1))", mix, "es")
+    return query(steps, f"SELECT atom_id, (i - 1)::INTEGER AS dim, {r6('q[i]', 'value')} FROM q, range(1, 6) t(i) WHERE node_id = (SELECT min(node_id) FROM q)")
+
+
+def _fit_sites(spark, sf_dir, mix: str):
+    atoms = formula_dictionary(spark, 5, 5)
+    found = fit_dictionary(event_signals(spark, sf_dir), 1, "consensus", _SITE_TOL, atoms, power_rounds=2, mix=mix, sites="rows", start=atoms)
+    return found.atoms.select("atom_id", F.posexplode("atom").alias("dim", "value")).withColumn("value", rounded(F.col("value")))
+
+
+@registered(_site_fit("before"))
+def fit_signal_sites_mix_before(spark, sf_dir):
+    return _fit_sites(spark, sf_dir, "before")
+
+
+@registered(_site_fit("after"))
+def fit_signal_sites_mix_after(spark, sf_dir):
+    return _fit_sites(spark, sf_dir, "after")

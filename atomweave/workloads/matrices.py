@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import coding, matrix
 from ..session import scratch_path
-from ..sources import (init_dictionary, matrix_to_table, read_entries, read_flat_matrix, read_signals, table_to_matrix,
-                       write_codes)
+from ..sources import init_dictionary, read_entries, read_flat_matrix, read_signals, write_codes
 from .data import EMBEDDING_WIDTH, MONTHS, centroids, embeddings, event_signals, part_months, rounded, table
 from .oracles import CENTROIDS, EMB, EVENTS, MONTH_CELLS, formula, query, r6
 from .registry import registered
@@ -86,6 +85,29 @@ def written_codes(spark, sf_dir):
     return back.withColumn("coef", rounded(F.col("coef")))
 
 
+@registered(query(EMB + CENTROIDS + [
+    ("c", "SELECT signal_id, atom_id, round(abs(list_inner_product(vec, atom)), 12) AS s, list_inner_product(vec, atom) AS coef FROM y, d"),
+    ("b", "SELECT signal_id, atom_id, coef, row_number() OVER (PARTITION BY signal_id ORDER BY s DESC, atom_id) AS rn FROM c")],
+    f"SELECT signal_id, atom_id, {r6('CASE WHEN rn = 1 THEN coef ELSE 0::DOUBLE END', 'coef')} FROM b"))
+def dense_code_lines(spark, sf_dir):
+    """A line of text per signal, its id and all coefficients, written and read back."""
+    signals = embeddings(spark, sf_dir)
+    atoms = centroids(signals)
+    path = scratch_path(spark, "dense-codes")
+    write_codes(coding.best_atom(signals, atoms), path, n_atoms=atoms.count(), signals=signals)
+    fields = F.split("value", " ")
+    back = spark.read.text(path).select(F.element_at(fields, 1).cast("long").alias("signal_id"), F.posexplode(F.slice(fields, 2, 1 << 30)).alias("atom_id", "coef"))
+    return back.withColumn("coef", rounded(F.col("coef").cast("double")))
+
+
+@registered(query(EMB + [("f", "SELECT vec, (row_number() OVER (ORDER BY signal_id) - 1)::INTEGER AS atom_id FROM y QUALIFY atom_id < 8")],
+                  f"SELECT atom_id, (i - 1)::INTEGER AS dim, {r6('vec[i] / sqrt(list_inner_product(vec, vec))', 'value')} FROM f, range(1, 65) t(i)"))
+def first_signals_dictionary(spark, sf_dir):
+    """The signals of the lowest ids at length one."""
+    atoms = init_dictionary(spark, EMBEDDING_WIDTH, 8, init="first_k", signals=embeddings(spark, sf_dir))
+    return atoms.select("atom_id", F.posexplode("atom").alias("dim", "value")).withColumn("value", rounded(F.col("value")))
+
+
 @registered(query(EMB + formula() + [
     ("c", "SELECT signal_id, atom_id, round(abs(list_inner_product(vec, atom)), 12) AS s FROM y, d"),
     ("b", "SELECT signal_id, atom_id, row_number() OVER (PARTITION BY signal_id ORDER BY s DESC, atom_id) AS rn FROM c"),
@@ -105,10 +127,9 @@ def first_dictionary(spark, sf_dir):
 
 @registered(query(EMB + CENTROIDS, f"SELECT atom_id AS row_id, i::INTEGER AS dim, {r6('atom[i + 1]', 'value')} FROM d, range(64) t(i)"))
 def model_round_trip(spark, sf_dir):
-    """A dictionary computed from all signals, as a local matrix and back as a table."""
-    atoms = centroids(embeddings(spark, sf_dir))
-    local = table_to_matrix(atoms, "atom_id", "atom")
-    return _cells(matrix_to_table(spark, local), "row_id")
+    """A dictionary computed from all signals, as entries and back as rows."""
+    atoms = centroids(embeddings(spark, sf_dir)).select(F.col("atom_id").alias("signal_id"), F.col("atom").alias("vec"))
+    return _cells(matrix.from_entries(matrix.to_entries(atoms), EMBEDDING_WIDTH).withColumn("row_id", F.col("row_id").cast("int")), "row_id")
 
 
 # --- layout ------------------------------------------------------------------------------
@@ -254,3 +275,18 @@ def qr_orthogonal_part(spark, sf_dir):
 def qr_triangular_part(spark, sf_dir):
     _, r = matrix.tall_skinny_qr(event_signals(spark, sf_dir))
     return r.withColumn("value", rounded(F.col("value")))
+
+
+_DEPENDENT = ([(k, k, f"n{k}.r") for k in range(1, 6)] + [(k, j, f"r{k}.r{j}") for k in range(1, 6) for j in range(k + 1, 6)])
+
+
+@registered(query(_qr_steps(), " UNION ALL ".join(
+    # columns: the five, zero, a copy of the first, the sum of the first two
+    [f"SELECT {k - 1}::BIGINT AS row_id, {j - 1}::INTEGER AS col_id, {r6(c, 'value')} FROM {c.split('.')[0]}" for k, j, c in _DEPENDENT] +
+    [f"SELECT 0::BIGINT, 6::INTEGER, {r6('r', 'value')} FROM n1", f"SELECT 0::BIGINT, 7::INTEGER, {r6('n1.r + r1.r2', 'value')} FROM n1, r1",
+     f"SELECT 1::BIGINT, 7::INTEGER, {r6('r', 'value')} FROM n2"])))
+def qr_of_dependent_columns(spark, sf_dir):
+    """Three more columns that depend on the first five: they add no row to R."""
+    vec = F.concat("vec", F.array(F.lit(0.0), F.element_at("vec", 1), F.element_at("vec", 1) + F.element_at("vec", 2)))
+    _, r = matrix.tall_skinny_qr(event_signals(spark, sf_dir).select("signal_id", vec.alias("vec")))
+    return r.withColumn("value", rounded(F.col("value"))).where("value != 0")

@@ -57,6 +57,10 @@ def main() -> dict:
         "svd_update": lambda: rows(update.svd_dictionary_update(signals, d64, found_codes)),
         "metropolis": lambda: rows(consensus.metropolis_weights(data.supply_edges(spark, SF_DIR))),
         "consensus_update": lambda: rows(consensus.consensus_update(signals, d64, found_codes, 2, 3, ring)),
+        # every signal a site, alike: nothing but sums of the dictionary's size may move
+        "consensus_signal_sites": lambda: rows(consensus.consensus_update(consensus.assign_sites(signals), d64, found_codes, 2, mix="after", node_id=0)),
+        "svd_update_by_passes": lambda: rows(update.svd_dictionary_update(signals, d64, found_codes, "passes")),
+        "supply_weight_power": lambda: rows(matrix.matrix_power(consensus.metropolis_weights(data.supply_edges(spark, SF_DIR)), 2)),
     }
     scaled = {
         "omp_tol_k64": lambda: rows(coding.omp(copies, d64, tol=0.75)),

@@ -146,6 +146,63 @@ def test_estimates_over_the_size_limit(spark, make, case, small_limit, rng, site
     assert np.allclose(as_array(got, (5, 4, 5)), brute(case, d, w, 2, "before"))
 
 
+@pytest.mark.parametrize("mix", ["before", "after"])
+@pytest.mark.parametrize("graph", ["uniform", "ring"])
+@pytest.mark.parametrize("limit", [1 << 28, 300])
+def test_every_signal_a_site(spark, make, case, small_limit, mix, graph, limit):
+    """The reference setting; over the limit each node's estimate travels as rows."""
+    from atomweave.sources import load_dictionary
+
+    y, d, x, _ = case
+    n = len(y)
+    table, w = None, np.full((n, n), 1 / n)
+    if graph == "ring":
+        table = consensus.metropolis_weights(edges(spark, *[(i, (i + 1) % n) for i in range(n)]))
+        w = as_matrix(table, n)
+    found = load_dictionary(make.atoms(d))
+    small_limit(limit)
+    got = consensus.consensus_update(consensus.assign_sites(make.signals(y)), found, make.codes(x), power_rounds=2,
+                                     weights=table, mix=mix, sites="rows")
+    expected = brute((y, d, x, np.arange(n)), d, w, 2, mix)
+    assert np.allclose(as_array(got, expected.shape), expected)
+    one = consensus.consensus_update(consensus.assign_sites(make.signals(y)), found, make.codes(x), power_rounds=2,
+                                     weights=table, mix=mix, sites="rows", node_id=7)
+    assert one.count() == d.size and np.allclose(make.cells(one, d.shape, "atom_id", "dim"), expected[7])
+
+
+@pytest.mark.parametrize("sites", ["sums", "rows"])
+def test_estimates_of_several_blocks(spark, make, case, rng, small_limit, monkeypatch, sites):
+    """Two atoms to a block, a hot site in parts, no row of K by m values anywhere."""
+    from atomweave.operators import blocks
+    from atomweave.sizing import MAX_ROW_WIDTH
+
+    y, d, x, nodes = case
+    monkeypatch.setattr(consensus, "block_width", lambda shape: 2 * shape[1])
+    table = consensus.metropolis_weights(edges(spark, *[(i, (i + 1) % 5) for i in range(5)]))
+    w = as_matrix(table, 5)
+    found = consensus.local_dictionary(make.atoms(d))
+    source = consensus.attach_codes(make.signals(y, 3, nodes), make.codes(x))
+    coded = consensus.coded_by_table(consensus.ship(source, found))
+    exchange = consensus.Exchange.over(source.select("node_id"), table, 1)
+    at_sites = consensus.SiteSums(source, coded, found) if sites == "sums" else consensus.SiteRows(source, coded, found, rows_per_part=4)
+    assert sites == "sums" or at_sites.parts.count() == 4
+    widest = []
+    keep = consensus.cut_lineage
+    monkeypatch.setattr(consensus, "cut_lineage", lambda df: widest.append(df.agg(F.max(F.size("values"))).first()[0]) or keep(df))
+    small_limit(300)
+    spark.conf.set(MAX_ROW_WIDTH, "12")
+    try:
+        got = consensus.run_rounds(at_sites, exchange, d, 2, "before")
+        expected = brute(case, d, w, 2, "before")
+        for node in range(5):
+            assert np.allclose(consensus.estimate_of_node(got, d.shape, node), expected[node])
+        with pytest.raises(ValueError, match="do not reach"):
+            consensus.estimate_of_node(got, d.shape, 77)
+    finally:
+        spark.conf.unset(MAX_ROW_WIDTH)
+    assert widest == [10, 10] and blocks.BLOCK >= 10
+
+
 @pytest.mark.parametrize("rows_per_part", [4, 10_000])
 def test_many_nodes_are_placed_and_handed_on(spark, make, case, rows_per_part):
     """With room for one node's sums: rows are moved by node, the hot one in parts, with the same sums."""

@@ -42,6 +42,50 @@ def test_svd_fit_from_its_parts(make, planted):
         assert np.isclose(got["updated_relative_error"], after / np.linalg.norm(y))
 
 
+def test_fit_by_passes(make, planted):
+    """Without any m by m sum the fit is the same, report included."""
+    y, _, start = planted
+    by = [fit_dictionary(make.signals(y), 2, "svd", tol=6.0, dictionary=make.atoms(start), moments=m) for m in ("sums", "passes")]
+    one, two = (make.matrix(r.atoms, "atom_id", "atom") for r in by)
+    assert np.allclose(one, two, atol=1e-7)
+    assert all(np.allclose(a[3:], b[3:]) and a[:3] == b[:3] for a, b in zip(*(r.report.orderBy("iter").collect() for r in by)))
+    with pytest.raises(ValueError, match="moments"):
+        fit_dictionary(make.signals(y), 1, "svd", moments="none")
+
+
+def test_wide_signals_are_not_refused(make, small_limit, rng):
+    """The m by m sum is over the limit, the dictionary is not."""
+    y, d = rng.normal(size=(30, 40)), unit_rows(rng.normal(size=(4, 40)))
+    free = make.matrix(fit_dictionary(make.signals(y), 1, "svd", tol=0.0, n_nonzero=2, dictionary=make.atoms(d)).atoms, "atom_id", "atom")
+    small_limit(8 * 40 * 40 - 1)
+    held = make.matrix(fit_dictionary(make.signals(y), 1, "svd", tol=0.0, n_nonzero=2, dictionary=make.atoms(d)).atoms, "atom_id", "atom")
+    assert np.allclose(free, held, atol=1e-8)
+
+
+def test_one_coding_per_iteration(make, planted, monkeypatch):
+    """Once the number of picks is known, curve and sums come from the same pass."""
+    from atomweave.operators import errors
+
+    codings, run = [], errors.pursuit_totals
+    monkeypatch.setattr(errors, "pursuit_totals", lambda *a, **k: codings.append(a[2]) or run(*a, **k))
+    y, _, start = planted
+    fit_dictionary(make.signals(y), 4, "svd", tol=13.0, dictionary=make.atoms(start))
+    # the first two iterations still look for the number of picks, the last two know it
+    assert codings == [4, 3, 3, 2, 2, 2]
+
+
+@pytest.mark.parametrize("k", [256, 257])
+def test_error_after_the_update_on_both_sides_of_the_limit(make, rng, k):
+    """Up to 256 atoms from X X', beyond by one more pass: the same error as from the codes."""
+    y, d = rng.normal(size=(60, 6)), unit_rows(rng.normal(size=(k, 6)))
+    result = fit_dictionary(make.signals(y), 1, "svd", tol=0.0, n_nonzero=2, dictionary=make.atoms(d))
+    row = result.report.first()
+    x = make.dense_codes(result.codes, 60, row["n_atoms"])
+    new, old = (make.matrix(t, "atom_id", "atom") for t in (result.atoms, result.coding_atoms))
+    assert np.isclose(row["updated_relative_error"], np.linalg.norm(y - x @ new) / np.linalg.norm(y))
+    assert np.isclose(row["relative_error"], np.linalg.norm(y - x @ old) / np.linalg.norm(y))
+
+
 @pytest.mark.parametrize("method", ["svd", "consensus"])
 def test_fit_approaches_the_hidden_atoms(make, planted, method):
     y, hidden, start = planted

@@ -129,9 +129,105 @@ def test_qr(make, rng, parts, fan_in):
     assert np.allclose(r, expected * np.sign(np.diag(expected))[:, None])
 
 
-def test_qr_needs_rows(make):
-    with pytest.raises(ValueError, match="rows"):
-        matrix.tall_skinny_qr(make.signals(np.eye(2, 3)))
+def test_qr_of_dependent_columns(make, rng):
+    """A zero column, a copy and a sum: zero rows in R, zero columns in Q, the rest as without them."""
+    base = rng.normal(size=(50, 4))
+    a = np.column_stack([base[:, 0], np.zeros(50), base[:, 1], base[:, 0], base[:, 2], base[:, 0] - 3 * base[:, 1], base[:, 3]])
+    q, r = matrix.tall_skinny_qr(make.signals(a, 5), fan_in=2)
+    q, r = make.matrix(q, "signal_id", "vec"), make.cells(r, (7, 7))
+    kept = [0, 2, 4, 6]
+    assert np.allclose(q @ r, a, atol=1e-12) and not r[[1, 3, 5]].any() and not q[:, [1, 3, 5]].any()
+    assert np.abs(q[:, kept].T @ q[:, kept] - np.eye(4)).max() < 1e-12
+    expected = np.linalg.qr(base)[1]
+    assert np.allclose(r[np.ix_(kept, kept)], expected * np.sign(np.diag(expected))[:, None])
+    q, r = matrix.tall_skinny_qr(make.signals(np.eye(2, 3) + 1))
+    assert np.allclose(make.matrix(q, "signal_id", "vec") @ make.cells(r, (3, 3)), np.eye(2, 3) + 1)
+    q, r = matrix.tall_skinny_qr(make.signals(np.zeros((3, 2))))
+    assert not make.matrix(q, "signal_id", "vec").any() and not make.cells(r, (2, 2)).any()
+
+
+@pytest.mark.parametrize("condition", [1e2, 1e8, 1e12])
+def test_qr_of_an_ill_conditioned_matrix(make, rng, condition):
+    u, v = np.linalg.qr(rng.normal(size=(80, 6)))[0], np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    a = u * np.geomspace(1, 1 / condition, 6) @ v
+    q, r = matrix.tall_skinny_qr(make.signals(a, 4), fan_in=2)
+    q, r = make.matrix(q, "signal_id", "vec"), make.cells(r, (6, 6))
+    assert np.abs(q.T @ q - np.eye(6)).max() < 1e-12 and np.allclose(q @ r, a, rtol=0, atol=1e-14)
+    assert (np.diag(r) > 0).all() and np.allclose(r, np.triu(r))
+
+
+def test_column_ranges():
+    for m, cells in ((1, 1), (7, 5), (7, 100), (30, 64)):
+        ranges = matrix.column_ranges(m, cells)
+        assert [a for a, _ in ranges] == [0] + [b for _, b in ranges[:-1]] and ranges[-1][1] == m
+        assert all(b - a == 1 or sum(range(a + 1, b + 1)) <= cells for a, b in ranges)
+    assert matrix.column_ranges(0, 10) == []
+
+
+@pytest.mark.parametrize("cells", [1, 8, 1 << 20])
+def test_gramian_in_ranges_of_columns(make, a, cells):
+    """However few cells a task may hold, the triangle is the same."""
+    upper = matrix.gramian_upper(make.signals(a, 7), cells_per_task=cells)
+    assert sorted(r["packed"] for r in upper.collect()) == list(range(21))
+    assert np.allclose(make.cells(matrix.symmetrize(upper), (6, 6), "i", "j"), a.T @ a)
+
+
+def test_a_wide_gramian_travels_as_rows(spark, rng):
+    """1,440 columns in three partitions: a million cells each in 127 rows of values."""
+    a = rng.normal(size=(6, 1440))
+    signals = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(a)], "signal_id long, vec array<double>").repartition(3)
+    upper = matrix.gramian_upper(signals)
+    got = upper.where("i = 7 or j = 1439").toPandas()
+    want = a.T @ a
+    assert np.allclose(got.value, want[got.i, got.j]) and upper.count() == 1440 * 1441 // 2
+
+
+@pytest.mark.parametrize("side", [3, 1 << 10])
+def test_products_of_hubs(spark, rng, side):
+    """A hub of 300 neighbours, light keys and keys of one side only; heavy keys in blocks give the same."""
+    w = np.where(rng.random((40, 40)) < 0.1, rng.random((40, 40)), 0)
+    big = np.zeros((300, 300))
+    big[:40, :40] = w
+    big[0, :] = big[:, 0] = rng.random(300)
+    rows = [(int(i), int(j), float(big[i, j])) for i, j in zip(*np.nonzero(big))]
+    table = spark.createDataFrame(rows, "src long, dst long, w double").repartition(4)
+    got = matrix.sparse_product(table, table, side)
+    out = np.zeros((300, 300))
+    for r in got.collect():
+        out[r["src"], r["dst"]] = r["w"]
+    assert np.allclose(out, big @ big)
+    assert matrix.product_pairs(table, table) == int(((big != 0).sum(axis=0) * (big != 0).sum(axis=1)).sum())
+
+
+def test_a_hub_is_shared_between_tasks(spark):
+    """2,000 neighbours: four million products, none of the tasks of the join with more than its share of blocks."""
+    n = 2000
+    edges = spark.range(n).selectExpr("id + 1 as src", "0L as dst", "0.5D as w")
+    star = edges.union(edges.selectExpr("dst", "src", "w"))
+    assert matrix.product_pairs(star, star) == n * n + n
+    power = matrix.sparse_product(star, star, 250)
+    assert power.count() == n * n + 1
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in plain.items():
+        spark.conf.set(name, value)
+    try:
+        shares = matrix._products(star, star, 250).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for name in plain:
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(shares) == 4 and max(r["count"] for r in shares) < 2 * (n * n + n) / 4
+    assert abs(power.where("src = 0 and dst = 0").first()["w"] - 0.25 * n) < 1e-9
+
+
+@pytest.mark.parametrize("limit", [1 << 28, 1])
+def test_gramian_times_of_a_hot_row(spark, small_limit, limit):
+    """One row holds nearly all cells; over the limit it is met in parts."""
+    cells = spark.range(3000).selectExpr("case when id < 2900 then 0L else id end as row_id", "cast(id as int) as col_id", "1.0D as value")
+    v = spark.range(3000).selectExpr("cast(id as int) as col_id", "1.0D as value")
+    small_limit(limit)
+    got = {r["col_id"]: r["value"] for r in matrix.gramian_times(cells, v).collect()}
+    assert got == {j: 2900.0 if j < 2900 else 1.0 for j in range(3000)}
 
 
 @pytest.mark.parametrize("c", [0, 1, 2, 7])

@@ -74,10 +74,13 @@ def test_write_codes(spark, tmp_path, make):
     codes = make.codes(np.array([[0, 1.5, 0], [0, 0, 0], [-2.0, 0, 0.25]]))
     signals = make.signals(np.zeros((3, 2)))
     write_codes(codes, str(tmp_path / "dense"), 3, signals)
-    lines = [float(r["value"]) for r in spark.read.text(str(tmp_path / "dense" / "signal_id=2")).collect()]
-    assert lines == [-2.0, 0.0, 0.25]
-    zero = [float(r["value"]) for r in spark.read.text(str(tmp_path / "dense" / "signal_id=1")).collect()]
-    assert zero == [0.0, 0.0, 0.0]
+    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "dense")).collect())
+    assert lines == ["0 0.0 1.5 0.0", "1 0.0 0.0 0.0", "2 -2.0 0.0 0.25"]
+    one = codes.where("signal_id = 2")
+    write_codes(one, str(tmp_path / "column"), 3, layout="column")
+    assert [float(r["value"]) for r in spark.read.text(str(tmp_path / "column")).collect()] == [-2.0, 0.0, 0.25]
+    with pytest.raises(ValueError, match="single signal"):
+        write_codes(codes, str(tmp_path / "two"), 3, layout="column")
     write_codes(codes, str(tmp_path / "table"), 3, signals, layout="table")
     back = spark.read.csv(str(tmp_path / "table"), sep=" ", schema="signal_id long, atom_id int, coef double")
     assert back.count() == 9 and make.dense_codes(back, 3, 3).tolist() == [[0, 1.5, 0], [0, 0, 0], [-2.0, 0, 0.25]]
@@ -87,6 +90,55 @@ def test_write_codes(spark, tmp_path, make):
         write_codes(codes, str(tmp_path / "sparse"), layout="sparse")
 
 
+def test_only_non_zeros_move(make):
+    """The lists of codes are shuffled; the dense rows are made behind the last exchange."""
+    from atomweave.sources.sinks import dense_rows_of
+
+    x = np.where(np.arange(400).reshape(20, 20) % 7 == 0, 1.0, 0)
+    rows = dense_rows_of(make.codes(x), 20, make.signals(np.zeros((20, 2))))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange") and (make.matrix(rows, "signal_id", "vec") == x).all()
+
+
+@pytest.mark.parametrize("limit", [1 << 28, 1])
+def test_two_scans_and_no_text_shuffled(spark, tmp_path, make, rng, small_limit, limit, monkeypatch):
+    """Over several files and splits; text may be exchanged only where the table of splits is over the limit."""
+    from atomweave.sources import text as module
+
+    a = rng.integers(0, 100, (900, 3)).astype(float)
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for f in range(3):
+        (folder / f"part-{f}.txt").write_text("".join(" ".join(str(int(v)) for v in row) + "\n" for row in a[300 * f:300 * (f + 1)]))
+    scans, split = [], module._split_lines
+    monkeypatch.setattr(module, "_split_lines", lambda *p: scans.append(p) or split(*p))
+    small_limit(limit)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = numbered_lines(spark, str(folder))
+        assert len(scans) == 2 and [r["line_no"] for r in lines.orderBy("line_no").collect()] == list(range(900))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert limit == 1 or "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        turned = read_signals(spark, str(folder), " ")
+        assert len(scans) == 4 and (make.matrix(turned, "signal_id", "vec") == a.T).all()
+        assert (make.matrix(read_signals(spark, str(folder), " ", "signals"), "signal_id", "vec") == a).all()
+        assert (make.cells(read_flat_matrix(spark, str(folder), 100, 27, " "), (100, 27)) == a.reshape(100, 27)).all()
+        assert len(scans) == 8
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_turned_signals_are_not_bound_by_the_row_width(spark, tmp_path, make):
+    from atomweave.sizing import MAX_ROW_WIDTH
+
+    path = text(tmp_path, "a.txt", *[f"{i},{2 * i}" for i in range(50)])
+    spark.conf.set(MAX_ROW_WIDTH, "10")
+    try:
+        assert (make.matrix(read_signals(spark, path), "signal_id", "vec") == [np.arange(50), 2 * np.arange(50)]).all()
+    finally:
+        spark.conf.unset(MAX_ROW_WIDTH)
+
+
 @pytest.mark.parametrize("init", ["random", "formula"])
 def test_first_dictionary(spark, init):
     d = load_dictionary(init_dictionary(spark, 6, init=init, seed=3))

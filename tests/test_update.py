@@ -127,22 +127,67 @@ def test_power_update(make, case, mixed, rng):
 
 
 def test_power_update_without_m_by_m_sums(make, case, small_limit, rng):
-    """Under this limit the sums do not fit, so every step is a pass over the signals."""
-    from atomweave.operators.coding import attach_codes, ship
-    from atomweave.operators.errors import coded_by_table
+    """Under this limit the sums do not fit, so every step is a pass over the written residuals."""
     from atomweave.sources import load_dictionary
 
     q, w = unit_rows(rng.normal(size=case[1].shape)), np.abs(rng.normal(size=(5, 5)))
     signals, atoms, codes = tables(make, case)
     found, start = load_dictionary(atoms), load_dictionary(make.atoms(q))
-    source = attach_codes(signals, codes)
-    mixed = update.power_passes(source, found, coded_by_table(ship(signals, found)), q, 3, w)
+    mixed = update.power_passes(update.coded_rows(signals, found, codes), found, q, 3, w)
     assert np.allclose(make.matrix(mixed, "atom_id", "atom"), power_steps(case, q, w))
     small_limit(190)
     new = update.power_update(signals, found, codes, 3, start)
     assert np.allclose(make.matrix(new, "atom_id", "atom"), power_steps(case, q))
 
 
+def test_leading_vectors_by_passes(make, case, small_limit):
+    """Over the limit, or when asked to, the vectors come from passes; sums give the same."""
+    from atomweave.sources import load_dictionary
+
+    signals, atoms, codes = tables(make, case)
+    found = load_dictionary(atoms)
+    by_sums = make.matrix(update.top_singular(signals, found, codes, "sums"), "atom_id", "vec")
+    passed = update.top_singular(signals, found, codes, "passes").orderBy("atom_id").collect()
+    assert np.allclose([r["vec"] for r in passed], by_sums)
+    for k, e in enumerate(error_matrices(case)):
+        assert np.isclose(passed[k]["sigma"], np.linalg.svd(e, compute_uv=False)[0])
+    right = {(r["atom_id"], r["signal_id"]): r["v"] for r in update.sigma_v(signals, found, codes).collect()}
+    small_limit(190)
+    assert np.allclose(make.matrix(update.svd_dictionary_update(signals, found, codes), "atom_id", "atom"), by_sums)
+    again = {(r["atom_id"], r["signal_id"]): r["v"] for r in update.sigma_v(signals, found, codes).collect()}
+    assert again.keys() == right.keys() and all(np.isclose(again[k], right[k]) for k in right)
+
+
+def test_signals_and_codes_meet_once(make, case, monkeypatch):
+    """The singular values and the products read the same written rows."""
+    joins = []
+    monkeypatch.setattr(update, "attach_codes", lambda *a, **k: joins.append(a) or errors.attach_codes(*a, **k))
+    monkeypatch.setattr(errors, "code_totals", None)
+    signals, atoms, codes = tables(make, case)
+    assert update.update_codes(signals, atoms, codes).count() and len(joins) == 1
+    assert "Join" not in update.sigma_v(signals, atoms, codes)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("m, k, n", [(300, 12, 40), (40, 50, 300), (6, 3, 2)])
+def test_leading_pairs(rng, m, k, n):
+    """Against a full decomposition; some atoms have no error at all."""
+    from atomweave.functions import leading
+
+    y, d = rng.normal(size=(n, m)), unit_rows(rng.normal(size=(k, m)))
+    x = np.where(rng.random((n, k)) < 0.3, rng.normal(size=(n, k)), 0)
+    for r in (y - x @ d, np.zeros((n, m))):
+        rr, rx, energy = r.T @ r, x.T @ r, np.square(x).sum(axis=0)
+        times = lambda q: q @ rr
+        values, vecs = leading.leading_pairs(times, *leading.dominant(times, m), np.trace(rr), rx, energy, d)
+        for i in range(k):
+            e = r.T + np.outer(d[i], x[:, i])
+            u, s, _ = np.linalg.svd(e, full_matrices=False)
+            assert np.isclose(np.sqrt(values[i]), s[0], atol=1e-9)
+            assert s[0] < 1e-9 or np.isclose(abs(u[:, 0] @ vecs[i]), 1)
+    with pytest.raises(leading.NotConverged):
+        leading.leading_pairs(lambda q: q @ np.diag(np.arange(m)), np.ones(1), d[:1], float(m), d, np.ones(k), d, passes=1, tolerance=1e-15)
+
+
 @pytest.mark.parametrize("scope", ["all", "first"])
 def test_dimension_update(make, rng, scope):
     m = 4
