@@ -37,8 +37,8 @@ def with_origins(pages: DataFrame) -> DataFrame:
     own = own.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     large = own.where(F.col("payload_bytes") >= SMALLEST).select("page_id", "payload_digest")
     shared = large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
-    revisits = large.join(shared, "payload_digest").where("page_id > first").groupBy("page_id").agg(F.min("first").alias("refers_to"))
-    return own.join(revisits, "page_id", "left")
+    revisits = large.join(shared, "payload_digest").where("page_id > first").select("page_id", "payload_digest", F.col("first").alias("refers_to")).distinct()
+    return own.join(revisits, ["page_id", "payload_digest"], "left")
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -209,8 +209,8 @@ def round_trip(pages: DataFrame, path: str, codec: str | None = "gzip") -> DataF
     """Writes ``pages`` below ``path`` and returns what the archives give back.
 
     Null html is an empty payload; null page ids give records without a number (page_id null) that are never referred
-    to as such; a page_id that comes twice is two records, and both revisit an earlier page if one of them does. An
-    empty table gives no records. Further columns are ignored.
+    to as such; a page_id that comes twice is two records, each judged by its own payload. An empty table gives no
+    records. Further columns are ignored.
     """
     write_warc(pages, path, codec)
     return archived_pages(read_warc(pages.sparkSession, path))
