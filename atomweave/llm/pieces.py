@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import map_batches
-from .text import carried, hash_ranges, row_schema, text_slices, utf8
+from .text import hash_ranges, row_schema, text_slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -29,7 +29,7 @@ _FAR = 1 << 30  # rank of what never merges
 _START, _NONE, _UNKNOWN = -1, -2, -3
 _PACK, _BITS = 7, 9  # characters per key and bits of each
 _MEMO = 1 << 21
-_TOGETHER = 1 << 20  # bytes of distinct cuttings that are indexed together; one cutting is never split
+_TOGETHER = 1 << 18  # bytes of distinct cuttings that are indexed together; one cutting is never split
 
 
 class Vocabulary:
@@ -333,7 +333,7 @@ def decode(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarr
 def _encode(vocabulary):
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, budget=1 << 22):
+            for part in text_slices(batch):
                 data, bounds = utf8(part.column(1))
                 ids, edges = encode(vocabulary.value, data, bounds)
                 back, again = decode(vocabulary.value, ids, edges)
@@ -346,14 +346,16 @@ def _encode(vocabulary):
     return run
 
 
-def encoded(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``row, ids, round_trip``, one row per row of ``documents`` (its columns in the struct ``row``).
+def encoded(documents: DataFrame, vocabulary: Vocabulary, columns: list[str] | None = None) -> DataFrame:
+    """``row, ids, round_trip``, one row per row of ``documents`` (its columns, or those named, in the struct ``row``).
 
     ``ids`` are those of the model's own encoder; ``round_trip`` says whether decoding them gives the text back (texts
     that hold the blank mark itself do not). Null and empty texts have no ids and come back as empty.
     """
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
-    return map_batches(carried(documents).select("row", "text"), _encode(shared), row_schema(documents, "ids array<int>, round_trip boolean"))
+    kept = documents.select(columns) if columns else documents
+    rows = documents.select(F.struct(*kept.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, _encode(shared), row_schema(kept, "ids array<int>, round_trip boolean"))
 
 
 def _decode(vocabulary):

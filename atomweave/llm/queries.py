@@ -77,7 +77,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_suffix_array_pieces")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pieces.encoded(table(spark, sf_dir, "documents"), pieces.load_vocabulary())
+    found = pieces.encoded(table(spark, sf_dir, "documents"), pieces.load_vocabulary(), ["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
 
 

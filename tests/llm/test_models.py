@@ -202,6 +202,19 @@ def test_archives(spark, tmp_path):
     assert warc.round_trip(pages.where("false"), str(tmp_path / "empty")).count() == 0
 
 
+def test_pages_of_one_id(spark, tmp_path):
+    """Each record is judged by its own payload, and none is lost."""
+    import hashlib
+
+    a, other = "a" * 150, "b" * 280
+    rows = [(1, a), (5, a), (5, other), (7, other), (7, other), (None, a)]
+    pages = spark.createDataFrame([(p, "u", h) for p, h in rows], "page_id long, url string, html string").repartition(3)
+    got = sorted(((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages, str(tmp_path / "w")).collect()), key=str)
+    d = {h: hashlib.sha256(h.encode()).hexdigest() for h in (a, other)}
+    assert got == sorted([(1, d[a], "response", None), (5, d[a], "revisit", 1), (5, d[other], "response", None), (None, d[a], "response", None)]
+                         + [(7, d[other], "revisit", 5)] * 2, key=str)
+
+
 def _record(number, body):
     import hashlib
     return (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{number}>\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}\r\n"

@@ -44,3 +44,16 @@ def test_odd_rows(spark):
         assert docs.columns == ["doc_id", "text", "score"]
     assert sorted((r["doc_id"] for r in docs.collect()), key=str) == [1, 2, 3, 4, None]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == 5
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    """Only rows that are linked go; a null or empty text never wins over a real one."""
+    long = " ".join(f"word{i}" for i in range(80))
+    rows = [(3, None), (3, "a real text of some words"), (4, "another text that stands alone here"), (4, ""), (5, long), (5, long + " tail"), (6, long),
+            (7, "a real text of some words"), (None, long)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row string").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, DATA)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert [g for g in got if g[0] != 5] == sorted([(3, None), rows[1], rows[2], (4, ""), (None, long)], key=str)
+    assert len([g for g in got if g[0] == 5]) == 1
