@@ -6,7 +6,7 @@ are written and read again between each other, so that a lost executor costs one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from atomweave.llm import decontaminate, lines, neardup, pieces, toxicity
 from atomweave.llm.text import keep_ids, written
@@ -31,15 +31,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates, the one of the smallest id; rows without an id stay."""
-    gone = written(neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-duplicates")
-    kept = keep_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
-    if twice.isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy("text")
-    once = keep_ids(kept, twice, "doc_id").withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
-    return keep_ids(kept, twice, "doc_id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+    """One document of every group of near duplicates, the one of the smallest id.
+
+    A row goes only if its own text is linked to that of a row that stays: rows of one id with different texts are told
+    apart, null and empty texts are linked with nothing, rows without an id stay.
+    """
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if written(twice.select("doc_id"), "repeated-ids").isEmpty():
+        gone = written(neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-duplicates")
+        return keep_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    # numbers in the order of the ids stand for the rows
+    known = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    placed = known.repartitionByRange("id", "h").sortWithinPartitions("id", "h").withColumn("number", F.monotonically_increasing_id())
+    rows = written(placed.select("row", "number"), "numbered")
+    texts = rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))
+    gone = written(neardup.near_duplicates(texts).where("not kept").select(F.col("doc_id").alias("number")), "near-duplicates")
+    kept = keep_ids(rows, gone, "number", "left_anti").select("row.*")
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +58,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, round_trip, ids`` of every document."""
-    found = pieces.encoded(docs, pieces.load_vocabulary())
+    found = pieces.encoded(docs, pieces.load_vocabulary(), ["doc_id"])
     return found.select(F.col("row").getField("doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
 
 
