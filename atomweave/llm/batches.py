@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..shipping import map_batches
 
 BATCH_BYTES = 1 << 24  # text of the documents that share one set of keys
+HELD_ROWS = 1 << 21  # answers that a task holds before it deals them out
 SLICE_BYTES = 1 << 21  # text of the documents that are worked on and packed together
 
 
@@ -66,6 +67,35 @@ def in_order(rows: DataFrame, place: str, *values: str) -> DataFrame:
     return held.select("batch", *[F.col("_held").getField(c).alias(c) for c in (place, *values)])
 
 
+def dealt_to_batches(rows: DataFrame, kind: int) -> DataFrame:
+    """``(batch, kind, key, value)`` with arrays of a table ``batch, key, value``: a task's rows of a batch as one row.
+
+    So answers travel to their batch once, a long and a double each; a batch gets such a row from every task.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], [], []]
+        for found in batches:
+            for into, column in zip(held, found.columns):
+                into.append(np.asarray(column))
+            if sum(map(len, held[0])) > HELD_ROWS:
+                yield _by_batch(held, kind)
+                held = [[], [], []]
+        if held[0]:
+            yield _by_batch(held, kind)
+
+    return map_batches(rows.select("batch", "key", "value"), run, "batch long, kind int, key array<long>, value array<double>")
+
+
+def _by_batch(held: list[list[np.ndarray]], kind: int) -> pa.RecordBatch:
+    batch, key, value = (np.concatenate(x) for x in held)
+    order = np.lexsort((key, batch))
+    batch, key, value = batch[order], key[order], value[order]
+    at = np.flatnonzero(np.r_[True, batch[1:] != batch[:-1]]) if len(batch) else np.empty(0, np.int64)
+    first = pa.array(np.r_[at, len(batch)].astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(batch[at]), pa.array(np.full(len(at), kind, np.int32)), pa.ListArray.from_arrays(first, pa.array(key)),
+                                       pa.ListArray.from_arrays(first, pa.array(value))], names=["batch", "kind", "key", "value"])
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, int]]:
     """``(record batch, row, batch, kind)`` of every row."""
     for found in batches:

@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..shipping import map_batches
-from .batches import BATCH_BYTES, SLICE_BYTES, distinct, in_order, list_at, meet, new_batch, packed, rows_of, unpacked
+from .batches import SLICE_BYTES, dealt_to_batches, distinct, list_at, meet, new_batch, packed, rows_of, unpacked
 from .text import LOWER, Tokens, docs_only, list_column, signed, text_slices, utf8, written
 
 ORDER = 4  # longest context in bytes; five fit as well
 SYMBOLS = 257
 END = 256
 FOLD = 10
+BATCH_BYTES = 1 << 25  # text of the documents that ask together
 _BITS, _LENGTH = 9, 56  # bits of a symbol; where a key holds the number of its symbols
 _END_WORD = 0  # key of the end of a text among words
 
@@ -97,6 +98,13 @@ def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, missing:
     return np.where(known[at] == found, values[at], missing)[which]
 
 
+def _sorted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's answers from all tasks, by key."""
+    keys, values = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64), np.empty(0))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], values[order]
+
+
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums over ``first[d]:first[d + 1]``, each by itself so that it does not depend on its neighbours."""
     out = np.zeros(len(first) - 1)
@@ -108,22 +116,23 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _score(order: int, train_tokens: int, train_words: int):
     def run(batches):
-        name, answers = None, {}
+        name, told, answers = None, ([], []), None
         for found, row, batch, kind in rows_of(batches):
             if batch != name:
-                name, answers = batch, {}
+                name, told, answers = batch, ([], []), None
             if kind < 2:
-                answers[kind] = list_at(found, "key", row), list_at(found, "value", row)
+                told[kind].append((list_at(found, "key", row), list_at(found, "value", row)))
                 continue
+            if answers is None:
+                answers, told = [_sorted(parts) for parts in told], ([], [])
             docs = unpacked(found.column("docs")[row].as_buffer())
             data, bounds = utf8(docs.column("text"))
             data = LOWER[data]
             keys, first = symbol_keys(data, bounds, order)
             chance = _looked_up(keys, *answers[0], np.nan)
             tokens = Tokens(data, bounds)
-            none = np.empty(0, np.int64), np.empty(0)
-            count = _looked_up(signed(tokens.hash), *answers.get(1, none), 0.0)
-            ends = _looked_up(np.array([_END_WORD]), *answers.get(1, none), 0.0)[0]
+            count = _looked_up(signed(tokens.hash), *answers[1], 0.0)
+            ends = _looked_up(np.array([_END_WORD]), *answers[1], 0.0)[0]
             unit = train_tokens + 0.1 * (train_words + 1)
             base = _sums(np.log10((count + 0.1) / unit), tokens.first) + np.log10((ends + 0.1) / unit)
             n = np.diff(tokens.first)
@@ -234,6 +243,6 @@ def scored(documents: DataFrame, order: int = ORDER, fold: int = FOLD) -> DataFr
     nodes, contexts = trie(paths, order)
     chances = written(predictions(paths.select("key"), nodes, contexts, order), "chances")
     answers = [asked(0).select("batch", "key").join(chances, "key"), asked(1).select("batch", "key").join(words.withColumn("value", F.col("n").cast("double")), "key")]
-    told = [in_order(a, "key", "value").select("batch", F.lit(kind).alias("kind"), "key", "value") for kind, a in enumerate(answers)]
+    told = [dealt_to_batches(a, kind) for kind, a in enumerate(answers)]
     return meet(seen.where("kind = 2").select("batch", "kind", "docs"), told[0].union(told[1]), _score(order, total["n"], total["v"]),
                 "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
