@@ -7,12 +7,12 @@ gram begins another one, so that from every place of a word exactly one gram sta
 gram's own characters only. The pruned grams are broadcast; as each occurs more often than ``1 / PRUNED`` of all
 places, there are at most ``PRUNED`` times the number of lengths of them.
 
-An edit affects the grams that cover its place, so every word has a bound of affected grams: the most of its grams that
-cover one place. Lists are not merged over all grams of a word but over the fewest that no edit affects together: the
-grams before a place in the middle of the word and those after it. Two neighbouring grams there do, as the bound of one
-edit on grams that do not overlap is one. An edit leaves all on one side of the gram that it does not affect as it was;
-a gram's list is therefore kept by what is on that side (the characters up to the gram's end, or from its start on) and
-merging meets short lists only. What the lists have in common is verified by the edit distance.
+An edit affects the grams that cover its place, so a set of a word's grams has a bound of affected ones: the most that
+cover one place. Lists need only be merged for a set larger than its bound; two grams that do not overlap have the bound
+one. What an edit does not affect besides such a gram is all on the gram's other side, so a gram's list is divided by
+what stands on that side: the characters up to the gram's end, or from its start on, and the word's length. Of all pairs
+of such grams of a word the one with the shortest lists is merged, and what the lists hold is verified by the edit
+distance.
 """
 
 from __future__ import annotations
@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..shipping import map_batches
 from .text import LOWER, docs_only, text_slices, utf8, written
 
-SHORTEST, LONGEST = 2, 6
+SHORTEST, LONGEST = 2, 4
 PRUNED = 1 << 16  # a gram of more than this share of all places is pruned
 FEWEST = 64  # and no gram of fewer occurrences
 LEAST_CHARS, LEAST_TIMES, TIMES_MORE = 6, 5, 5
 NOISE = 199
 _BEFORE, _AFTER = "^", "$"  # neither is a letter
+_HELD = 400_000  # words that a task counts before it hands the counts on
 _TABLED = 256  # word lengths in bytes for which a checksum is continued by table
 
 
@@ -82,6 +83,7 @@ def letter_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _count_words(least: int):
     def run(batches):
+        words: dict[str, int] = {}
         for batch in batches:
             for part in text_slices(batch):
                 data, bounds = utf8(part.column(1))
@@ -105,17 +107,25 @@ def _count_words(least: int):
                     check[k] = zlib.crc32(kinds[which[k]], int(before[doc[k]]))
                 noisy = check % np.uint32(NOISE) == 0
                 n = np.bincount(which[~noisy], minlength=len(kinds))
-                words = dict(zip([k.decode() for k in kinds], n.tolist()))
+                for word, k in zip([k.decode() for k in kinds], n.tolist()):
+                    words[word] = words.get(word, 0) + k
                 for k in np.flatnonzero(noisy).tolist():
                     word = kinds[which[k]].decode()
                     at = int(check[k]) % len(word)
                     word = word[:at] + word[at + 1:]
                     words[word] = words.get(word, 0) + 1
-                kept = [(w, k) for w, k in words.items() if k and len(w) >= least]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([k for _, k in kept], pa.int64())], names=["word", "n"])
+                if len(words) > _HELD:
+                    yield _counted(words, least)
+                    words = {}
+        yield _counted(words, least)
     return run
 
 
+def _counted(words: dict[str, int], least: int) -> pa.RecordBatch:
+    kept = [(w, k) for w, k in words.items() if k and len(w) >= least]
+    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([k for _, k in kept], pa.int64())], names=["word", "n"])
+
+
 def word_counts(documents: DataFrame, least_chars: int = LEAST_CHARS, least_times: int = LEAST_TIMES) -> DataFrame:
     """``word, n``: the words of at least so many characters (``LONGEST`` or more) and occurrences in all rows.
 
@@ -175,38 +185,30 @@ def affected(grams: list[tuple[int, int]], chars: int) -> int:
     return most
 
 
-def merged_grams(marked: str, ends: list[int]) -> tuple[int, int]:
-    """``(end, start)`` of two grams that no edit affects both of: one that ends at or before the start of the other.
-
-    Of all such pairs the one whose shorter side is longest: the first gram's side is what is up to its end, the
-    second one's what is from its start on.
-    """
-    chars, best, chosen = len(marked), -1, None
-    for at, end in enumerate(ends):
-        if end <= chars - SHORTEST and affected([(at, end), (end, ends[end])], chars) == 1:
-            least = min(end, chars - end)
-            if least > best:
-                best, chosen = least, (end, end)
-    return chosen
+def merged_grams(marked: str, ends: list[int]) -> list[int]:
+    """Places between two grams that no edit affects both of: one ends there, the other one starts there."""
+    return sorted({end for at, end in enumerate(ends) if end <= len(marked) - SHORTEST and affected([(at, end), (end, ends[end])], len(marked)) == 1})
 
 
-def _sides(pruned, probes: bool):
+def _sides(pruned, pairs: bool):
     def run(batches):
-        """Rows of lists: the side that must agree, and the word."""
+        """Rows of lists: a side and the word; for ``pairs`` both sides of every place where two grams meet."""
         for batch in batches:
-            side, home = [], []
+            side, home, place = [], [], []
             for row, word in enumerate(batch.column(0).to_pylist()):
                 marked = _BEFORE + word + _AFTER
                 ends = gram_ends(marked, pruned.value)
-                if probes:
-                    end, start = merged_grams(marked, ends)
-                    found = [marked[:end], marked[start:]]
+                if pairs:
+                    cuts = merged_grams(marked, ends)
+                    found = [s for c in cuts for s in (marked[:c], marked[c:])]
+                    place += [c for c in cuts for _ in (0, 1)]
                 else:
                     found = [marked[:e] for e in set(ends) if e < len(marked)] + [marked[a:] for a in range(1, len(ends))]
                 side += found
                 home += [row] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(side, pa.string()), *[c.take(pa.array(home, pa.int64())) for c in batch.columns]],
-                                             names=["side", *batch.schema.names])
+            more = ([pa.array(place, pa.int32())], ["place"]) if pairs else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(side, pa.string()), *[c.take(pa.array(home, pa.int64())) for c in batch.columns], *more[0]],
+                                             names=["side", *batch.schema.names, *more[1]])
     return run
 
 
@@ -214,9 +216,15 @@ def near_words(words: DataFrame) -> DataFrame:
     """``word, n, near, near_n``: all words of a table ``word, n`` that differ by one inserted, deleted or replaced character."""
     pruned, _ = pruned_grams(words)
     shared = words.sparkSession.sparkContext.broadcast(pruned)
-    asked = map_batches(words.select("word", "n"), _sides(shared, True), "side string, word string, n long")
     lists = map_batches(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), _sides(shared, False), "side string, near string, near_n long")
-    met = asked.join(lists, "side").where((F.col("word") != F.col("near")) & (F.abs(F.length("word") - F.length("near")) <= 1))
+    lists = written(lists.withColumn("chars", F.length("near")), "lists")
+    sizes = lists.groupBy("side").agg(F.count("*").alias("size"))
+    pairs = written(map_batches(words.select("word", "n"), _sides(shared, True), "side string, word string, n long, place int"), "gram-pairs")
+    cost = pairs.join(sizes, "side", "left").groupBy("word", "place").agg(F.sum(F.coalesce("size", F.lit(0))).alias("cost"))
+    best = cost.groupBy("word").agg(F.min(F.struct("cost", "place")).alias("best")).select("word", F.col("best.place").alias("place"))
+    chars = F.explode(F.sequence(F.length("word") - 1, F.length("word") + 1)).alias("chars")
+    asked = pairs.join(best, ["word", "place"]).select("side", "word", "n", chars)
+    met = asked.join(lists, ["side", "chars"]).where(F.col("word") != F.col("near"))
     return met.where(F.levenshtein("word", "near") == 1).select("word", "n", "near", "near_n").distinct()
 
 
