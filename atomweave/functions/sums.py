@@ -75,6 +75,23 @@ class DimensionSums:
             yield part, np.arange(len(line)), np.zeros(len(line), dtype=np.int64), line
 
 
+def flat(held) -> np.ndarray:
+    """All values of a set of sums in the order of its cells, zeros included."""
+    return np.concatenate([value for *_, value in held.cells()])
+
+
+def unflat(empty, n_atoms: int, m: int, values: np.ndarray) -> "Totals":
+    """:func:`flat` undone, ``empty`` being a new set of the same sums; what is left at the end is the curve."""
+    part, i, j = ([], [], [])
+    for kind, rows, cols, _ in empty.cells():
+        part.append(np.full(len(rows), kind, dtype=np.int8))
+        i.append(rows.astype(np.int32))
+        j.append(cols.astype(np.int32))
+    rest = len(values) - sum(map(len, part))
+    part, i, j = (np.concatenate([*x, t]) for x, t in ((part, np.full(rest, CURVE, np.int8)), (i, np.arange(rest, dtype=np.int32)), (j, np.zeros(rest, np.int32))))
+    return Totals(n_atoms, m, part, i, j, values)
+
+
 def _with_curve(total: np.ndarray, more: np.ndarray | None) -> np.ndarray:
     return total if more is None else total + more if len(total) else more
 

@@ -85,8 +85,7 @@ class CodedRows:
         return run
 
     def totals(self, new_sums: Callable[[], object]) -> sums.Totals:
-        coded = self.coded(ship(self.rows, self.found))
-        return collect_totals(sum_cells(self.rows, coded, new_sums), self.found.n_atoms, self.found.width)
+        return total_sums(self.rows, self.coded(ship(self.rows, self.found)), new_sums, self.found)
 
     def residual_moment(self, vectors: np.ndarray) -> np.ndarray:
         """R R' v for every row v: a pass over the residuals; a task hands on as many values as ``vectors`` has."""
@@ -176,6 +175,35 @@ def collect_totals(cells: DataFrame, n_atoms: int, m: int) -> sums.Totals:
     return sums.Totals(n_atoms, m, part, i, j, value)
 
 
+CELL_SUMS = 1 << 20  # bytes of sums up to which cells are added up; larger ones travel as rows of values
+
+
+def total_sums(source: DataFrame, coded: Coded, new_sums: Callable[[], object], found: Dictionary, picks: int | None = None) -> sums.Totals:
+    """The sums over everything; ``picks`` is how far the curve goes that ``coded`` yields, if it does.
+
+    Past ``CELL_SUMS`` a task hands on its arrays as rows of 8,192 values, which are added up in a tree.
+    """
+    empty = new_sums()
+    if sums.width(empty) <= CELL_SUMS:
+        return collect_totals(sum_cells(source, coded, new_sums), found.n_atoms, found.width)
+    length = len(sums.flat(empty)) + (0 if picks is None else picks + 1)
+    values = local_array(added(block_sums(source, coded, new_sums), "block"), length)
+    return sums.unflat(empty, found.n_atoms, found.width, values)
+
+
+def block_sums(source: DataFrame, coded: Coded, new_sums: Callable[[], object]) -> DataFrame:
+    """Every task's sums as rows ``(block, values)``."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = None
+        for _, signals, residual, codes, *curve in coded(batches):
+            whole = whole or new_sums()
+            whole.add(signals, residual, codes, *curve)
+        if whole is not None:
+            yield block_batch(sums.flat(whole))
+
+    return source.transform(map_batches, partial, BLOCK_FIELDS)
+
+
 def rr_fits(spark, m: int) -> bool:
     return 8 * m * m <= model_bytes_limit(spark)
 
@@ -192,8 +220,8 @@ def pursuit_totals(signals: DataFrame, found: Dictionary, limit: int, tol: float
     if new_sums is None:
         new_sums = lambda: sums.ErrorSums(found.n_atoms, found.width, with_xx=xx_fits(found.n_atoms))
     model = ship(signals, found)
-    cells = sum_cells(signal_vectors(signals, native=True), coded_by_pursuit(model, limit, tol, curve), new_sums)
-    totals = collect_totals(cells, found.n_atoms, found.width)
+    picks = max(0, min(limit, found.n_atoms, found.width)) if curve else None
+    totals = total_sums(signal_vectors(signals, native=True), coded_by_pursuit(model, limit, tol, curve), new_sums, found, picks)
     model.unpersist()
     return totals
 
@@ -227,7 +255,7 @@ def code_totals(signals: DataFrame, found: Dictionary, codes: DataFrame,
     if new_sums is None:
         new_sums = lambda: sums.ErrorSums(found.n_atoms, found.width)
     source = attach_codes(signals.select("signal_id", "vec"), codes, "full")
-    return collect_totals(sum_cells(source, coded_by_table(ship(signals, found)), new_sums), found.n_atoms, found.width)
+    return total_sums(source, coded_by_table(ship(signals, found)), new_sums, found)
 
 
 def atom_errors(signals: DataFrame, atoms: DataFrame | Dictionary, codes: DataFrame) -> DataFrame:

@@ -1,93 +1,97 @@
-"""Coding against dictionaries too large to ship to every task.
+"""Coding against dictionaries too large to hold in every task.
 
-Atoms are hashed into blocks that each fit the size limit. A pass over the signals
-compares them with one block and carries the best atom found so far (its id, correlation
-and vector) along in the signal's row, so no pair table arises and no join on a popular
-atom is needed. Every pass is written to the shared folder before the next block is sent.
+Atoms are hashed into blocks that each fit the size limit. A block passes through the driver once and goes to the executors
+as a file of the session, which tasks map into memory instead of loading it; so a pass over the signals compares them with
+all blocks, a few thousand atoms at a time, and each pick is one pass. The best atom's id, correlation and vector travel in
+the signal's row: no pair table arises and no join on a popular atom is needed.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import arrow, pursuit, vectors
 from ..session import cut_lineage
 from ..shipping import map_batches
 from ..sizing import SizeLimitError, join_model, model_bytes_limit, table_bytes
-from ..sources.models import Dictionary, load_dictionary
+from ..sources.models import load_dictionary
 
 _BEST = {"best": "double", "best_id": "int", "best_coef": "double", "best_atom": "array<double>"}
+TOGETHER = 1 << 12  # atoms compared at a time
 
 
 class AtomBlocks:
-    """A written table of atoms that is read back one block at a time."""
+    """A large dictionary as files ``names`` of the session: a row per atom, its id and its values."""
 
     def __init__(self, atoms: DataFrame):
-        limit = model_bytes_limit(atoms.sparkSession)
+        spark = atoms.sparkSession
+        limit = model_bytes_limit(spark)
         table = cut_lineage(atoms.select(F.col("atom_id").cast("int").alias("atom_id"),
                                          vectors.as_vector("atom").alias("atom")))
-        self.n = max(1, -(-2 * table_bytes(table) // limit))
-        self.table = table.withColumn("block", F.pmod(F.xxhash64("atom_id"), F.lit(self.n)))
+        n = max(1, -(-2 * table_bytes(table) // limit))
+        table = table.withColumn("block", F.pmod(F.xxhash64("atom_id"), F.lit(n)))
         shape = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("atom")).alias("m")).first()
-        self.n_atoms, self.width = shape["n"], shape["m"]
-
-    def __iter__(self) -> Iterator[Dictionary]:
-        for b in range(self.n):
-            block = load_dictionary(self.table.where(F.col("block") == b).drop("block"))
+        self.n_atoms, self.width, self.names = shape["n"], shape["m"], []
+        folder, label = tempfile.mkdtemp(prefix="atomweave-"), uuid.uuid4().hex
+        for b in range(n):
+            block = load_dictionary(table.where(F.col("block") == b).drop("block"))
             if block is None:
                 raise SizeLimitError("a block of atoms is over the size limit; raise the limit")
             if block.n_atoms:
-                yield block
+                path = os.path.join(folder, f"atoms-{label}-{b}.npy")
+                np.save(path, np.column_stack([block.ids.astype(np.float64), block.matrix]))
+                spark.sparkContext.addFile(path)  # executors fetch it from here, so it stays
+                self.names.append(os.path.basename(path))
 
 
 def _search(state: DataFrame, blocks: AtomBlocks, exclude: bool) -> DataFrame:
-    """Adds the best atom of every open row's residual (columns of ``_BEST``)."""
+    """Adds the best atom of every open row's residual (columns of ``_BEST``), in one pass."""
     for name, kind in _BEST.items():
         state = state.withColumn(name, F.lit(None).cast(kind))
-    for block in blocks:
-        model = state.sparkSession.sparkContext.broadcast(block)
-        state = cut_lineage(state.transform(map_batches, _compare(model, exclude), state.schema))
-        model.unpersist()
-    return state
+    return state.transform(map_batches, _compare(blocks.names, blocks.width, exclude), state.schema)
 
 
-def _compare(model, exclude: bool):
+def _compare(names: list[str], width: int, exclude: bool):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = model.value.ids, model.value.matrix
-        width = matrix.shape[1]
+        files = [np.load(SparkFiles.get(name), mmap_mode="r") for name in names]
         for whole in batches:
-            for batch in arrow.slices(whole, arrow.rows_within(8 * (3 * len(matrix) + 6 * width))):
+            for batch in arrow.slices(whole, arrow.rows_within(8 * (3 * TOGETHER + 6 * width))):
                 rows = arrow.dense_rows(batch.column("residual"), width)
-                signed = rows @ matrix.T
-                strength = np.abs(signed)
-                if exclude:
-                    owner, _ = arrow.row_lists(batch.column("picks"))
-                    picked = np.asarray(batch.column("picks").flatten()).astype(np.int64)
-                    place = np.minimum(np.searchsorted(ids, picked), len(ids) - 1)
-                    here = ids[place] == picked
-                    strength[owner[here], place[here]] = -1.0
                 slack = pursuit.TIE * np.asarray(batch.column("size"))
-                top = strength.max(axis=1)
-                choice = (strength >= (top - slack)[:, None]).argmax(axis=1)
                 every = np.arange(len(rows))
-                mine, mine_id = strength[every, choice], ids[choice]
-                known = np.asarray(batch.column("best").is_valid())
-                other = np.where(known, np.asarray(batch.column("best").fill_null(-2.0)), -2.0)
-                other_id = np.asarray(batch.column("best_id").fill_null(-1)).astype(np.int64)
-                tied = np.abs(mine - other) <= slack
-                take = ~known | np.where(tied, mine_id < other_id, mine > other)
-                other_coef = np.asarray(batch.column("best_coef").fill_null(0.0))
-                other_atom = arrow.dense_rows_or_zero(batch.column("best_atom"), width)
-                new = {
-                    "best": pa.array(np.where(take, mine, other)),
-                    "best_id": pa.array(np.where(take, mine_id, other_id).astype(np.int32)),
-                    "best_coef": pa.array(np.where(take, signed[every, choice], other_coef)),
-                    "best_atom": arrow.list_rows(np.where(take[:, None], matrix[choice], other_atom)),
-                }
+                picked = None
+                if exclude:
+                    owner, _ = arrow.row_lists(batch.column("picks"))
+                    picked = owner, np.asarray(batch.column("picks").flatten()).astype(np.int64)
+                best, best_id = np.full(len(rows), -2.0), np.full(len(rows), -1, dtype=np.int64)
+                coef, atom = np.zeros(len(rows)), np.zeros((len(rows), width))
+                for file in files:
+                    for at in range(0, len(file), TOGETHER):
+                        some = np.asarray(file[at:at + TOGETHER])
+                        ids, matrix = some[:, 0].astype(np.int64), some[:, 1:]
+                        signed = rows @ matrix.T
+                        strength = np.abs(signed)
+                        if picked is not None:
+                            place = np.minimum(np.searchsorted(ids, picked[1]), len(ids) - 1)
+                            here = ids[place] == picked[1]
+                            strength[picked[0][here], place[here]] = -1.0
+                        top = strength.max(axis=1)
+                        choice = (strength >= (top - slack)[:, None]).argmax(axis=1)
+                        mine, mine_id = strength[every, choice], ids[choice]
+                        tied = np.abs(mine - best) <= slack
+                        take = np.flatnonzero((best_id < 0) | np.where(tied, mine_id < best_id, mine > best))
+                        best[take], best_id[take] = mine[take], mine_id[take]
+                        coef[take], atom[take] = signed[take, choice[take]], matrix[choice[take]]
+                new = {"best": pa.array(best), "best_id": pa.array(best_id.astype(np.int32)), "best_coef": pa.array(coef),
+                       "best_atom": arrow.list_rows(atom)}
                 yield pa.RecordBatch.from_arrays(
                     [new.get(name, batch.column(name)) for name in batch.schema.names], batch.schema.names)
     return step
@@ -108,10 +112,10 @@ def matching_pursuit(source: DataFrame, atoms: DataFrame, rounds: int) -> DataFr
     blocks, state = AtomBlocks(atoms), _start(source)
     for _ in range(rounds):
         found = _search(state, blocks, exclude=False)
-        state = found.select(
+        state = cut_lineage(found.select(
             *source.columns,
             F.zip_with("residual", "best_atom", lambda r, a: r - F.col("best_coef") * a).alias("residual"), "size",
-            F.concat("picks", F.array("best_id")).alias("picks"), F.concat("coefs", F.array("best_coef")).alias("coefs"))
+            F.concat("picks", F.array("best_id")).alias("picks"), F.concat("coefs", F.array("best_coef")).alias("coefs")))
     return codes_of(state, add_up=True)
 
 

@@ -56,6 +56,21 @@ def test_omp(make, case, small_limit, limit, args):
     assert np.count_nonzero(got[5]) >= 1 and not got[3].any()
 
 
+def test_large_dictionaries_take_one_pass_per_pick(make, case, small_limit, monkeypatch):
+    """However many blocks there are: the atoms are written once, signals once and finished ones once per pick."""
+    from atomweave.operators import large
+
+    y, d = case
+    small_limit(TINY)
+    blocks, writes, write = [], [], large.cut_lineage
+    monkeypatch.setattr(large, "cut_lineage", lambda df: writes.append(df) or write(df))
+    build = large.AtomBlocks
+    monkeypatch.setattr(large, "AtomBlocks", lambda atoms: blocks.append(build(atoms)) or blocks[-1])
+    got = make.dense_codes(coding.omp(make.signals(y), make.atoms(d), n_nonzero=3), *(len(y), len(d)))
+    assert np.allclose(got, brute(y, d, 3), atol=1e-8)
+    assert len(blocks[0].names) > 2 and len(writes) == 1 + 2 * 3
+
+
 def test_omp_does_not_depend_on_partitions(make, case):
     y, d = case
     runs = [make.dense_codes(coding.omp(make.signals(y, parts), make.atoms(d), tol=0.7), 50, 15) for parts in (1, 4, 17)]

@@ -203,3 +203,36 @@ def test_dimension_update(make, rng, scope):
         z = w @ (q[:, s] * np.array(errs))
         rows[s] = z / np.linalg.norm(z)
     assert np.allclose(got, unit_rows(rows.T))
+
+
+def test_large_sums_travel_as_rows_of_values(spark, make, case, monkeypatch):
+    """The same sums as by cells, curve included."""
+    from atomweave.sources import load_dictionary
+
+    y, d, _ = case
+    signals, found = make.signals(y, 4), load_dictionary(make.atoms(d))
+    new = lambda: errors.sums.ErrorSums(*d.shape, with_xx=True)
+    by_cells = errors.pursuit_totals(signals, found, 2, None, new, curve=True)
+    monkeypatch.setattr(errors, "CELL_SUMS", 0)
+    by_rows = errors.pursuit_totals(signals, found, 2, None, new, curve=True)
+    for name, value in vars(by_cells).items():
+        assert np.allclose(value, getattr(by_rows, name)), name
+    assert len(by_rows.curve) == 3 and by_rows.n_signals == len(y)
+
+
+def test_what_a_wide_problem_shuffles(spark, rng):
+    """1,440 dimensions and 6,480 atoms: a task hands on each value once, 8,192 to a row, however many signals it has."""
+    from atomweave.sources.models import Dictionary
+
+    k, m, parts = 6480, 1440, 3
+    found = Dictionary(np.arange(k), unit_rows(rng.normal(size=(k, m))))
+    y = rng.normal(size=(9, m))
+    signals = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(y)], "signal_id long, vec array<double>").repartition(parts)
+    new = lambda: errors.sums.ErrorSums(k, m)
+    length = m * (m + 1) // 2 + k * m + 2 * k + 3
+    model = errors.ship(signals, found)
+    rows = errors.block_sums(signals, errors.coded_by_pursuit(model, 2, None), new)
+    sent = rows.selectExpr("count(*) as n", "sum(size(values)) as v", "max(size(values)) as w").first()
+    assert sent["w"] == 8192 and sent["v"] <= parts * length and sent["n"] <= parts * -(-length // 8192)
+    totals = errors.pursuit_totals(signals, found, 2, None, new)
+    assert np.isclose(totals.r_square, np.trace(totals.rr)) and np.isclose(totals.y_square, np.square(y).sum()) and totals.usage.sum() == 18
