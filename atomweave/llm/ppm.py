@@ -158,6 +158,8 @@ def _context(key: Column, symbols: int) -> Column:
 
 
 def _by_length(key: str, lengths: range, made) -> Column:
+    if not lengths:
+        return F.lit(None).cast("long")
     out = F.when(_length(key) == lengths[0], made(lengths[0]))
     for n in lengths[1:]:
         out = out.when(_length(key) == n, made(n))
