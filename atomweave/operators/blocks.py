@@ -43,11 +43,16 @@ def _add(table: pa.Table) -> pa.Table:
     return table.slice(0, 1).set_column(table.schema.get_field_index("values"), "values", arrow.list_rows(total.reshape(1, -1)))
 
 
-def added(rows: DataFrame, *keys: str, fan_in: int = FAN_IN) -> DataFrame:
-    """``(keys, values)``: rows of equal keys added element by element, at most ``fan_in`` tasks' rows at a time first."""
+def added(rows: DataFrame, *keys: str, fan_in: int = FAN_IN, at_once: bool = False) -> DataFrame:
+    """``(keys, values)``: rows of equal keys added element by element, at most ``fan_in`` tasks' rows at a time first.
+
+    ``at_once`` leaves out the first step, for keys that few tasks have rows of.
+    """
     ensure_shipped(rows.sparkSession)
     of = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     ddl = ", ".join(f"{c} {of[c]}" for c in (*keys, "values"))
+    if at_once:
+        return rows.groupBy(*keys).applyInArrow(_add, ddl)
     near = rows.select(*keys, "values", (F.spark_partition_id() / fan_in).cast("int").alias("_near"))
     once = near.groupBy(*keys, "_near").applyInArrow(_add, f"{ddl}, _near int")
     return once.drop("_near").groupBy(*keys).applyInArrow(_add, ddl)

@@ -234,8 +234,11 @@ def _total_of_blocks(rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     return _total_of(rows, arrays, shape)
 
 
-def _mixed(rows: DataFrame, weights: DataFrame, measured: bool) -> DataFrame:
-    """Every node's rows times the weight of each edge, added up where they arrive, inside the sending task first."""
+def _mixed(rows: DataFrame, weights: DataFrame, measured: bool, small: bool) -> DataFrame:
+    """Every node's rows times the weight of each edge, added up where they arrive, inside the sending task first.
+
+    While all estimates together are ``small``, they come from few tasks and are added in one step.
+    """
     w = weights.where("w != 0").select(F.col("src").alias("node_id"), F.col("dst").alias("to"), "w")
     sent = join_model(rows, w, ["node_id"], "block", measured=measured).select(F.col("to").alias("node_id"), "block", "w", "values")
 
@@ -262,7 +265,7 @@ def _mixed(rows: DataFrame, weights: DataFrame, measured: bool) -> DataFrame:
         if held:
             yield out()
 
-    return added(sent.transform(map_batches, run, _ESTIMATE), "node_id", "block")
+    return added(sent.transform(map_batches, run, _ESTIMATE), "node_id", "block", at_once=small)
 
 
 def placed_for_sums(source: DataFrame, found: Dictionary, n_nodes: int) -> DataFrame:
@@ -515,7 +518,7 @@ def run_rounds(at_sites: _Sites, exchange: Exchange, start: np.ndarray, power_ro
             estimate = mean if mix == "after" else sums.unit_rows(mean)
             continue
         z = at_sites.step(estimate)
-        mixed = _mixed(_unit_blocks(z, shape[1]) if mix == "after" else z, exchange.power, exchange.power_is_small)
+        mixed = _mixed(_unit_blocks(z, shape[1]) if mix == "after" else z, exchange.power, exchange.power_is_small, small)
         mixed = mixed if mix == "after" else _unit_blocks(mixed, shape[1])
         estimate = _by_node(mixed, shape) if small else cut_lineage(mixed)
     if mix == "after":
