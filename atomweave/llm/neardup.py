@@ -225,6 +225,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = 75,
                                .where("lo <> hi"), "open-buckets")
         if open_buckets.isEmpty():
             break
+        crowded = written(crowded.join(open_buckets.select("bucket"), "bucket", "left_semi"), "crowded")  # components only grow: a closed bucket stays closed
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         members = labelled.join(open_buckets.select("bucket", blocks.alias("blocks")), "bucket")
         if every:
