@@ -220,6 +220,35 @@ def test_a_hub_is_shared_between_tasks(spark):
     assert abs(power.where("src = 0 and dst = 0").first()["w"] - 0.25 * n) < 1e-9
 
 
+@pytest.mark.parametrize("side, n, share, limit", [(7, 40, 1.0, 1 << 28), (64, 200, 0.08, 1 << 28), (1024, 90, 0.5, 1)])
+def test_a_crowded_product_is_formed_in_blocks(spark, rng, small_limit, side, n, share, limit):
+    """The join would shuffle millions of products; blocks hand on their cells only. Ids are far apart, some cells come twice."""
+    a, b = (np.where(rng.random((n, n)) < share, rng.normal(size=(n, n)), 0) for _ in "ab")
+    a[:, 3] = b[3] = 1.0  # a key of all rows and columns
+    table = lambda m: spark.createDataFrame([(int(i) * 10**12, int(j) * 10**12, float(m[i, j]) / 2) for i, j in zip(*np.nonzero(m)) for _ in range(2)], "src long, dst long, w double")
+    small_limit(limit)
+    got = matrix.sparse_product(table(a), table(b), side)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    out, rows = np.zeros((n, n)), got.collect()
+    for r in rows:
+        out[r["src"] // 10**12, r["dst"] // 10**12] = r["w"]
+    assert len(rows) == len({(r["src"], r["dst"]) for r in rows}) == ((a != 0).astype(int) @ (b != 0).astype(int) > 0).sum()
+    assert np.allclose(out, a @ b)
+
+
+def test_odd_cells_of_a_crowded_product(spark):
+    """Cells that add up to zero or are made of zeros stay, infinity meets its own products only, null ids are an id, null weights a cell."""
+    full = spark.range(20).crossJoin(spark.range(20).withColumnRenamed("id", "j")).selectExpr("id as src", "j as dst", "case when id = 3 and j = 4 then double('inf') when id = 5 then 0D else 1D end as w")
+    left = full.where("src != 7 or dst > 17").union(spark.sql("SELECT CAST(NULL AS LONG), 2L, 1D")).union(spark.sql("SELECT 9L, CAST(NULL AS LONG), 1D"))
+    right = full.selectExpr("src", "dst", "case when src = 18 then -1D when src = 4 and dst = 6 then 0D else 1D end as w").where("src != 18 or dst != 1")
+    cells = lambda df: {(r["src"], r["dst"]): repr(r["w"]) for r in df.collect()}
+    plain = lambda x, y: x.alias("x").join(y.alias("y"), F.col("x.dst") == F.col("y.src")).groupBy("x.src", "y.dst").agg(F.sum(F.col("x.w") * F.col("y.w")).alias("w"))
+    for x in (left, left.withColumn("w", F.expr("case when src = 7 and dst = 19 then null else w end"))):
+        got = cells(matrix.sparse_product(x, right, 16))
+        assert got == cells(plain(x, right)) and len(got) == 21 * 20
+    assert got[7, 1] == "None" and got[3, 6] == "nan" and got[3, 5] == "inf"
+
+
 @pytest.mark.parametrize("limit", [1 << 28, 1])
 def test_gramian_times_of_a_hot_row(spark, small_limit, limit):
     """One row holds nearly all cells; over the limit it is met in parts."""
