@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import vectors
 from ..operators.coding import signal_vectors
 from ..operators.matrix import from_entries
-from ..sizing import check_row_width
+from ..sizing import check_row_width, dealt
 from ..sources.models import Dictionary, init_dictionary, load_dictionary
 
 # The span of months of a part's row.
@@ -55,13 +55,11 @@ def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part x month of shipping, summed quantities."""
+    """part x month of shipping, summed quantities; lines are dealt by cell in as many parts as their number asks for."""
     month = (F.year("l_shipdate") - FIRST_YEAR) * 12 + F.month("l_shipdate") - 1
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_partkey").alias("row_id"), month.cast("int").alias("col_id"))
-        .agg(F.sum("l_quantity").alias("value"))
-    )
+    lines = table(spark, sf_dir, "lineitem")
+    cells = lines.select(F.col("l_partkey").alias("row_id"), month.cast("int").alias("col_id"), "l_quantity")
+    return dealt(cells, lines.count(), "row_id", "col_id").groupBy("row_id", "col_id").agg(F.sum("l_quantity").alias("value"))
 
 
 def formula_dictionary(spark: SparkSession, n_atoms: int = EMBEDDING_WIDTH, m: int = EMBEDDING_WIDTH) -> Dictionary:

@@ -274,3 +274,18 @@ def test_vector_expressions(spark):
                     vectors.add(a, b), vectors.subtract(a, b), vectors.elementwise(F.sqrt, a)).first()
     assert row[0] == -1 and row[1] == 5 and row[2] == [6, 8] and row[3] == [0.6, 0.8] and row[4] == [0, 0]
     assert row[5] == [4, 3] and row[6] == [2, 5] and row[7] == [3 ** 0.5, 2.0]
+
+
+def test_cells_of_months_are_dealt_by_the_number_of_lines(spark, tmp_path, monkeypatch):
+    """Merged by compressed bytes, all these cells were in one task; a task's share must not grow with the table."""
+    from atomweave import sizing
+    from atomweave.workloads.data import part_months
+
+    lines = spark.range(30_000).selectExpr("id % 5000 as l_partkey", "timestampadd(MONTH, cast(id % 60 as int), timestamp'1995-01-15') as l_shipdate", "double(id % 7) as l_quantity")
+    lines.union(spark.sql("SELECT CAST(NULL AS LONG), timestamp'1995-01-15', 2D")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(sizing, "TASK_ROWS", 1000)
+    cells = part_months(spark, str(tmp_path))
+    total = matrix.matrix_sum(cells, matrix.scale(cells, 0.5))
+    shares = total.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in shares) == 15_001 and max(r["count"] for r in shares) < 1000
+    assert total.agg(F.sum("value")).first()[0] == 1.5 * (sum(i % 7 for i in range(30_000)) + 2)
