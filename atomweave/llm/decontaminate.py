@@ -112,14 +112,19 @@ class Index:
         span = int(cell.max()) + 2
         # a diagonal belongs to one document, up to the pattern's length before its start
         key = (doc * len(self.length) + pattern) * span + cell
-        key, count = np.unique(key, return_counts=True)
-        lower = np.unique(np.r_[key, key - 1])  # band c joins cells c and c + 1
-        total = np.zeros(len(lower), dtype=np.int64)
-        total[np.searchsorted(lower, key)] += count
-        total[np.searchsorted(lower, key - 1)] += count
+        key.sort()
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, count = key[start], np.diff(start, append=len(key))
+        # band c joins cells c and c + 1: a band begins at each cell, and at the one before it where that has no hits
+        beside = np.r_[key[1:] == key[:-1] + 1, False]
+        joined = count.copy()
+        joined[beside] += count[1:][beside[:-1]]
+        alone = ~np.r_[False, beside[:-1]]
+        lower, total = np.r_[key, key[alone] - 1], np.r_[joined, count[alone]]
         pattern = (lower // span) % len(self.length)
         enough = total >= self.length[pattern] - Q + 1 - Q * self.edits[pattern]
-        lower, pattern = lower[enough], pattern[enough]
+        lower = np.sort(lower[enough])
+        pattern = (lower // span) % len(self.length)
         return lower // span // len(self.length), pattern, lower % span
 
     def align(self, points: np.ndarray, first: np.ndarray, doc: np.ndarray, pattern: np.ndarray, band: np.ndarray):
@@ -137,7 +142,7 @@ class Index:
                 inside = (place >= first[doc[part]][:, None]) & (place < first[doc[part] + 1][:, None] - 1)
                 text = np.where(inside, points[np.clip(place, 0, len(points) - 1)], _END)
                 want = np.stack([self.points[p] for p in pattern[part]])
-                offset = np.arange(wide)
+                offset = np.arange(wide, dtype=np.int32)
                 cost = np.zeros((len(part), wide), dtype=np.int32)
                 begin = np.tile(offset, (len(part), 1))
                 far = np.int32(m + 1)

@@ -2,8 +2,10 @@
 
 import random
 import string
+from collections import Counter
 
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -136,3 +138,29 @@ def test_normalised_texts_know_their_places():
     points, first, origin = decontaminate.normalised(data, bounds)
     assert "".join(map(chr, points[:5])) == "a é b" and origin[:5].tolist() == [0, 1, 4, 5, 7]
     assert first.tolist() == [0, 6, 7, 10]
+
+
+def test_bands_of_hits(monkeypatch):
+    """Bands against a count of every pattern's common q-grams; the hits of a batch are sorted, not hashed."""
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(rng.choice(list("abc "), n))
+    items = [(k, text(int(n))) for k, n in enumerate(rng.integers(8, 260, 30))]
+    texts = [t[a:] + text(40) + t[:90] for a, (_, t) in enumerate(items)] + [text(900), "", "a" * 300]
+    index = decontaminate.Index(items + [(99, "a" * 100), (100, "b" * 20 + "c" * 70)])
+    encoded = [t.encode() for t in texts]
+    data, bounds = np.frombuffer(b"".join(encoded), dtype=np.uint8), np.r_[0, np.cumsum([len(t) for t in encoded])]
+    points, first, _ = decontaminate.normalised(data, bounds)
+    with monkeypatch.context() as patch:
+        patch.setattr(decontaminate.np, "unique", lambda *a, **k: pytest.fail("hits are hashed"))
+        got = list(zip(*(x.tolist() for x in index.candidates(points, first))))
+    want, of = [], [decontaminate.grams(p).tolist() for p in index.points]
+    for doc in range(len(texts)):
+        own = decontaminate.grams(points[first[doc]:first[doc + 1]]).tolist()
+        places = {}
+        for at, gram in enumerate(own):
+            places.setdefault(gram, []).append(at + int(first[doc]))
+        for pattern, (length, edits) in enumerate(zip(index.length.tolist(), index.edits.tolist())):
+            cells = Counter((at - place + decontaminate._ZERO) // (edits + 1) for place, gram in enumerate(of[pattern]) for at in places.get(gram, []))
+            least = length - decontaminate.Q + 1 - decontaminate.Q * edits
+            want += [(doc, pattern, c) for c in sorted({*cells, *(c - 1 for c in cells)}) if cells[c] + cells[c + 1] >= least]
+    assert got == want and len(want) > 60
