@@ -221,8 +221,9 @@ def test_a_hub_is_shared_between_tasks(spark):
 
 
 @pytest.mark.parametrize("side, n, share, limit", [(7, 40, 1.0, 1 << 28), (64, 200, 0.08, 1 << 28), (1024, 90, 0.5, 1)])
-def test_a_crowded_product_is_formed_in_blocks(spark, rng, small_limit, side, n, share, limit):
-    """The join would shuffle millions of products; blocks hand on their cells only. Ids are far apart, some cells come twice."""
+def test_a_crowded_product_is_formed_in_blocks(spark, small_limit, side, n, share, limit):
+    """The join would shuffle millions of products; blocks hand on their cells only. Ids are far apart, cells come twice."""
+    rng = np.random.default_rng(n)
     a, b = (np.where(rng.random((n, n)) < share, rng.normal(size=(n, n)), 0) for _ in "ab")
     a[:, 3] = b[3] = 1.0  # a key of all rows and columns
     table = lambda m: spark.createDataFrame([(int(i) * 10**12, int(j) * 10**12, float(m[i, j]) / 2) for i, j in zip(*np.nonzero(m)) for _ in range(2)], "src long, dst long, w double")
