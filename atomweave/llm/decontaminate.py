@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..shipping import map_batches
+from ..shipping import map_rows
 from .text import carried, code_points, row_schema, text_slices, utf8
 
 PATTERN, STEP, Q, EDITS = 80, 40, 8, 0.1
@@ -215,5 +215,5 @@ def with_leaks(documents: DataFrame, benchmark: DataFrame, edits: float = EDITS,
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
         index = spark.sparkContext.broadcast(Index(sorted(((r["item_id"], r["text"]) for r in own), key=str), edits))
-        out = map_batches(out, _search(index), row_schema(documents, f"text string, leaks {LEAKS}"))
+        out = map_rows(out, _search(index), row_schema(documents, f"text string, leaks {LEAKS}"))
     return out

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..shipping import map_batches
+from ..shipping import map_batches, map_rows
 from .text import carried, docs_only, row_key, row_schema, text_slices, utf8, written
 
 MIN_CHARS = 60  # a single line must have so many to count as a run; two lines always do
@@ -98,4 +98,4 @@ def remove_repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> D
     runs = repeated_runs(documents, min_chars).groupBy("uid").agg(F.collect_list(F.struct("i", "n")).alias("runs"))
     rows = carried(documents, row_key(documents).alias("uid"))
     dealt = rows.join(runs, "uid", "left").select("row", "text", "runs")
-    return map_batches(dealt, _without, row_schema(documents, "text string, n_lines long, n_removed long"))
+    return map_rows(dealt, _without, row_schema(documents, "text string, n_lines long, n_removed long"))

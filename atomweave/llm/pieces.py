@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..shipping import map_batches
+from ..shipping import map_batches, map_rows
 from .text import hash_ranges, row_schema, text_slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -355,7 +355,7 @@ def encoded(documents: DataFrame, vocabulary: Vocabulary, columns: list[str] | N
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
     kept = documents.select(columns) if columns else documents
     rows = documents.select(F.struct(*kept.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, _encode(shared), row_schema(kept, "ids array<int>, round_trip boolean"))
+    return map_rows(rows, _encode(shared), row_schema(kept, "ids array<int>, round_trip boolean"))
 
 
 def _decode(vocabulary):

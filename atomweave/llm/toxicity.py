@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..shipping import map_batches
+from ..shipping import map_rows
 from .text import LOWER, Tokens, carried, docs_only, row_schema, text_slices, utf8
 
 WINDOW, STRIDE = 48, 32
@@ -267,5 +267,5 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     model, constant = None, (n_toxic + 0.5) / (len(rows) + 2)
     if 0 < n_toxic < len(rows):
         model = documents.sparkSession.sparkContext.broadcast(fit([t for t, _ in rows], [label for _, label in rows]))
-    scored = map_batches(carried(documents).select("row", "text"), _score(model, constant), row_schema(documents, "score double"))
+    scored = map_rows(carried(documents).select("row", "text"), _score(model, constant), row_schema(documents, "score double"))
     return scored.select("row", held_out(F.col("row.doc_id").cast("long")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from atomweave.llm import graph, text
+from atomweave.llm import graph, text, toxicity
+from atomweave.shipping import BATCH_BYTES, BATCH_LIMIT
 
 
 def test_words_are_runs_of_bytes_other_than_ascii_blanks(edge_rows):
@@ -62,3 +63,24 @@ def test_row_keys_and_powers():
     a = text.Tokens(*text.utf8(pa.array([f"{long_word} {long_word}y", long_word])))
     assert a.hash[0] == a.hash[2] != a.hash[1]
     assert len(np.unique(text.hash_ranges(np.frombuffer(b"ab" * 40_000, np.uint8), np.full(40_000, 2)))) == 1
+
+
+def test_rows_carried_through_python_come_in_bounded_batches(spark, monkeypatch):
+    def sizes(model, constant):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, float(batch.nbytes)))], names=["row", "score"])
+        return run
+    monkeypatch.setattr(toxicity, "_score", sizes)
+    docs = spark.range(0, 2500, numPartitions=1).selectExpr("id as doc_id", "repeat(md5(cast(id as string)), 300) as text")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+
+    def largest():
+        found = [r["score"] for r in toxicity.toxicity(docs, labels).select("score").collect()]
+        assert len(found) == 2500
+        return max(found)
+    spark.conf.unset(BATCH_LIMIT)
+    assert largest() <= BATCH_BYTES + 100_000
+    spark.conf.set(BATCH_LIMIT, str(1 << 20))  # a bound that the session has is left alone
+    assert largest() <= (1 << 20) + 100_000
+    spark.conf.unset(BATCH_LIMIT)
