@@ -220,14 +220,14 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = 75,
     crowded = written(rows_of.join(heads.where("size > 2").select("bucket"), "bucket"), "crowded")
     for every in (False, True):
         label = components(links)
-        labelled = crowded.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+        labelled = written(crowded.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")), "labelled")
         open_buckets = written(labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
                                .where("lo <> hi"), "open-buckets")
         if open_buckets.isEmpty():
             break
-        crowded = written(crowded.join(open_buckets.select("bucket"), "bucket", "left_semi"), "crowded")  # components only grow: a closed bucket stays closed
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        members = labelled.join(open_buckets.select("bucket", blocks.alias("blocks")), "bucket")
+        members = written(labelled.join(open_buckets.select("bucket", blocks.alias("blocks")), "bucket"), "members")
+        crowded = members.select("bucket", "id")  # components only grow: a closed bucket stays closed
         if every:
             apart = written(members.select(F.col("id").alias("doc_id")).distinct(), "apart")
             sketches = written(map_batches(keep_ids(texts, apart, "doc_id"), _finer(words), "id long, n long, sketch binary").dropDuplicates(["id"]), "finer")

@@ -32,6 +32,17 @@ def test_near_duplicates(docs, edge_rows):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_crowded_buckets_are_labelled_once_a_round(docs, monkeypatch):
+    plans, write = {}, neardup.written
+
+    def spy(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, label)
+    monkeypatch.setattr(neardup, "written", spy)
+    neardup.near_duplicates(docs(list(enumerate(t for c in (1, 3, 4) for t in family(c, 40, change=c))))).collect()
+    assert plans["late-pairs"] and not any("LeftOuter" in p for p in plans["open-buckets"] + plans["late-pairs"])
+
+
 def test_near_duplicates_of_nothing(docs):
     assert neardup.near_duplicates(docs([])).count() == 0
     assert [tuple(r) for r in neardup.near_duplicates(docs([(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, 1, True), (2, 0, 2, True)]
