@@ -1,9 +1,12 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from atomweave.functions import vectors
+from atomweave.functions import products, vectors
 from atomweave.operators import matrix
+from atomweave.session import SHUFFLE_CLEANUP, cut_lineage
 from atomweave.sizing import MAX_ROW_WIDTH, SizeLimitError
 
 
@@ -250,6 +253,49 @@ def test_odd_cells_of_a_crowded_product(spark):
     assert got[7, 1] == "None" and got[3, 6] == "nan" and got[3, 5] == "inf"
 
 
+def test_tiles_of_few_values_are_small(rng):
+    """A weight that many cells have is named by a number; all values come back to the bit, whatever they are."""
+    cell = np.flatnonzero(rng.random(1 << 20) < 0.6)
+    weights = 1.0 / rng.integers(500, 700, len(cell))
+    for w in (weights, rng.normal(size=len(cell)), np.resize([0.0, -0.0, np.nan, np.inf, -np.inf, 5e-324], len(cell))):
+        packed = products.pack_tile(cell, w)
+        got, value = products.unpack_tile(memoryview(packed))
+        assert np.array_equal(got, cell) and value.tobytes() == w.tobytes()
+    assert len(products.pack_tile(cell, weights)) < 2 * len(cell)
+    got, value = products.unpack_tile(memoryview(products.pack_tile(cell[:1], weights[:1])))
+    assert got.tolist() == cell[:1].tolist() and value.tolist() == weights[:1].tolist()
+
+
+def test_tiles_travel_a_few_times_only(spark, monkeypatch):
+    """Every key reaches all blocks: where neighbouring blocks are formed together, tiles travel less, and the product is the same."""
+    rng = np.random.default_rng(3)
+    w = np.where(rng.random((60, 60)) < 0.4, rng.normal(size=(60, 60)), 0)
+    table = spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w))], "src long, dst long, w double")
+    chosen, choose = [], matrix._blocks_together
+    monkeypatch.setattr(matrix, "_blocks_together", lambda *tiles: chosen.append(choose(*tiles)) or chosen[-1])
+    for spread, held, group in ((4, 1 << 25, 4), (1, 1 << 25, 16), (1, 1, 1), (100, 1 << 25, 1)):  # fifteen blocks of four
+        monkeypatch.setattr(matrix, "SPREAD", spread)
+        monkeypatch.setattr(matrix, "HELD_BYTES", held)
+        out, rows = np.zeros((60, 60)), matrix.sparse_product(table, table, 4).collect()
+        for r in rows:
+            out[r["src"], r["dst"]] = r["w"]
+        assert chosen[-1] == group and len(rows) == ((w != 0).astype(int) @ (w != 0).astype(int) > 0).sum()
+        assert np.allclose(out, w @ w)
+
+
+def test_written_copies_give_shuffle_files_back(spark):
+    """What was shuffled for a written copy is not read again; it went only with the driver's garbage."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in n}
+    before = files()
+    kept = cut_lineage(spark.range(100_000).selectExpr("id % 5000 as k").repartition(3, "k").distinct())
+    until = time.time() + 60
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and kept.count() == 5000 and kept.groupBy((F.col("k") % 7).alias("m")).count().count() == 7
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
+
+
 @pytest.mark.parametrize("limit", [1 << 28, 1])
 def test_gramian_times_of_a_hot_row(spark, small_limit, limit):
     """One row holds nearly all cells; over the limit it is met in parts."""
